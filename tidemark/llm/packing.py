@@ -62,18 +62,17 @@ def pieces_of(df: DataFrame, capacity: int, end_id: int, vocabulary: str | None)
     import public_tokenizers
 
     spec = df.sparkSession.sparkContext.broadcast(read_json_bpe(vocabulary or default_path("byte_bpe_50k.json")))
-    pattern, end = public_tokenizers.PATTERN, np.uint32(end_id).tobytes()
+    pattern, end = public_tokenizers.PATTERN, np.array([end_id], "<u4")
 
     def cut(batches):
         encoder = encoder_of(spec.value, pattern)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for doc_id, raw in zip(ids, encoder.id_bytes(batch.column(1).to_pylist()), strict=True):
-                raw += end
-                total = len(raw) >> 2
-                for start in range(0, total, capacity):
-                    part = raw[4 * start : 4 * (start + capacity)]
-                    for column, value in zip(rows, (doc_id, start, len(part) >> 2, zlib.crc32(part), total), strict=True):
+            for doc_id, own in zip(ids, encoder.id_arrays(batch.column(1).to_pylist()), strict=True):
+                own = np.append(own, end)
+                for start in range(0, len(own), capacity):
+                    part = own[start : start + capacity]
+                    for column, value in zip(rows, (doc_id, start, len(part), zlib.crc32(part), len(own)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
