@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.frames import read
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import pseudonymise
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.tiff import media_features
 from tidemark.llm.token_counts import token_counts
@@ -41,6 +42,11 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, count_col="n_replaced", kinds_col="kinds")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_top_k": op2_top_k,
+        "op3_pii": op3_pii,
         "op4_simhash": op4_simhash,
         "op6_packing": op6_packing,
         "op9_tiff": op9_tiff,
