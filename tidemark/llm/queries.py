@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.byte_bpe import round_trip
 from tidemark.llm.frames import read
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymise
@@ -55,6 +56,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "documents"))
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(read(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_simhash": op4_simhash,
         "op6_packing": op6_packing,
+        "op7_byte_bpe": op7_byte_bpe,
         "op9_tiff": op9_tiff,
     }
 
