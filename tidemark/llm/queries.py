@@ -11,10 +11,12 @@ from tidemark.llm.byte_bpe import round_trip
 from tidemark.llm.frames import read
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymise
+from tidemark.llm.quality import quality_scores
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.tiff import media_features
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.topk import top_k
+from tidemark.llm.toxicity import toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +62,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(read(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -72,7 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op6_packing": op6_packing,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_toxicity": op8_toxicity,
         "op9_tiff": op9_tiff,
+        "op10_quality": op10_quality,
     }
 
 
