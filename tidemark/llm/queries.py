@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import round_trip
 from tidemark.llm.frames import read
+from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymise
 from tidemark.llm.quality import quality_scores
@@ -54,6 +55,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, count_col="n_removed")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_top_k": op2_top_k,
         "op3_pii": op3_pii,
         "op4_simhash": op4_simhash,
+        "op5_lines": op5_lines,
         "op6_packing": op6_packing,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_toxicity": op8_toxicity,
