@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from tidemark.plans import features, series  # noqa: F401
+from tidemark.plans import features, forecasts, series  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
