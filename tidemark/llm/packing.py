@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.merging import encoder_of
 from tidemark.llm.vocab import default_path, read_json_bpe
+from tidemark.session import ship
 
 
 class CapacityTree:
@@ -61,6 +62,7 @@ def pieces_of(df: DataFrame, capacity: int, end_id: int, vocabulary: str | None)
     """Per document its ids, with ``end_id`` behind them, cut into full sequences and a rest."""
     import public_tokenizers
 
+    ship(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(read_json_bpe(vocabulary or default_path("byte_bpe_50k.json")))
     pattern, end = public_tokenizers.PATTERN, np.array([end_id], "<u4")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.calibration import calibrated, isotonic
 from tidemark.llm.frames import cut
+from tidemark.session import ship
 
 STATISTICS = (
     "log_bytes", "log_words", "letters", "capitals", "digits", "spaces", "line_ends", "beyond_ascii",
@@ -67,6 +68,7 @@ def _features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             x = pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), len(STATISTICS)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], ["id", "x"])
 
+    ship(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(measure, "id long, x array<double>")
 
 

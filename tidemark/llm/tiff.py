@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: Fixed values of the format: compressions, predictors, tags and the sizes of field types.
 PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 HORIZONTAL, FLOATING = 2, 3
@@ -327,6 +329,7 @@ def tiff_pages(df: DataFrame, content_col: str = "media") -> DataFrame:
     with the error "null", an empty table nothing, repeated rows each their
     pages.
     """
+    ship(df.sparkSession)
     new = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
     kept = [c for c in df.columns if c != content_col and c not in new]
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{content_col}`").cast("binary").alias("pixels"))
@@ -401,6 +404,7 @@ def media_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 files = pa.array([store(payload_of(t.as_py())) for t in part], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, step), pc.binary_length(part).cast(pa.int64()), files], ["id", "n_bytes", "media"])
 
+    ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(write, "id long, n_bytes long, media binary")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.merging import encoder_of
 from tidemark.llm.vocab import default_path, read_json_bpe
+from tidemark.session import ship
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, limit: int = 512) -> DataFrame:
@@ -24,6 +25,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     import public_tokenizers
 
+    ship(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(read_json_bpe(vocabulary or default_path("byte_bpe_50k.json")))
     pattern = public_tokenizers.PATTERN
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: Rows of a document-range block, whose term maxima bound its scores.
 BLOCK = 256
 #: Candidates of one task at most, as forward index of its blocks, on average.
@@ -95,6 +97,7 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     and of different vectors under one id each. An empty table, or fewer than
     ``k`` candidates, gives what there is.
     """
+    ship(df.sparkSession)
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("v").isNotNull())
     size = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("m"), F.max(F.size("v")).alias("width")).first()
     shards, blocks, width = max(1, -(-size["n"] // SHARD)), max(1, -(-size["m"] // QUERY_BLOCK)), size["width"] or 0
