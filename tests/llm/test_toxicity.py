@@ -54,3 +54,14 @@ def test_edges(spark):
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 0), (3, 0), (99, 1)], "doc_id long, toxic int")
     assert all(0 <= r.score <= 1 for r in toxicity(docs, odd).collect())
     assert toxicity(docs.limit(0), odd).count() == 0
+
+
+def test_filter_on_more_labels(spark):
+    """Of the labelled rows that were held out, nine in ten toxic ones go (some labels are noise), and all clean ones stay."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    marks = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    kept = {r.doc_id for r in without_toxic(docs, fit(docs, labels)).select("doc_id").collect()}
+    gone = set(marks) - kept
+    assert sum(marks[k] for k in gone) >= 0.9 * sum(marks.values())
+    assert sum(1 - marks[k] for k in gone) <= 0.002 * len(marks)

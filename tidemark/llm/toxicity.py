@@ -11,6 +11,7 @@ from tidemark.llm.boosting import BoostedTrees
 from tidemark.llm.calibration import calibrated, isotonic
 from tidemark.llm.frames import cut
 from tidemark.llm.quality import held_out
+from tidemark.session import ship
 
 #: Labelled rows that a model is fitted on, about and at most; the sample is by a hash of the id.
 SAMPLE = 20_000
@@ -18,7 +19,11 @@ SAMPLE = 20_000
 ENTRIES = 6_000
 #: Words between an entry and a second person that still count as near.
 NEAR = 6
+#: Entries without meaning that the lexicon may hold by chance.
+CHANCE = 20
 FOLDS = 3
+#: Letters of the word beginnings that a lexicon may list.
+STEMS = (4, 5, 6, 7, 8)
 
 #: Common insults, and second-person words of the languages at hand.
 INSULTS = "idiot idiots idiotic moron moronic stupid dumb dumbass loser losers trash garbage scum scumbag pathetic worthless disgusting clown retard bastard bitch asshole jerk".split()
@@ -34,8 +39,8 @@ FEATURES = (
 
 
 def entries_of(word: str) -> list[str]:
-    """What a word may be listed under: itself, and its first 4 and 5 letters if it is longer."""
-    return [word] + [f"{word[:k]}-" for k in (4, 5) if len(word) > k]
+    """What a word may be listed under: itself, and its beginnings if it is longer."""
+    return [word] + [f"{word[:k]}-" for k in STEMS if len(word) > k]
 
 
 class Lexicon:
@@ -55,7 +60,7 @@ class Lexicon:
         """weight, insult, second person, all capitals, obfuscated, obfuscated and listed, stretched."""
         bare = word.strip(".,;:!?\"'()[]{}*#%&$-_«»¿¡…")
         low = bare.lower()
-        weigh = lambda w: max(map(self.weights.get, entries_of(w), [0.0] * 3), default=0.0)
+        weigh = lambda w: max([self.weights.get(e, 0.0) for e in entries_of(w)])
         weight, insult = weigh(low), low in self.insults
         mixed = any(c.isalpha() for c in bare) and not bare.isalpha() and "@" not in bare[1:-1] and not any(c in "-'’./:" for c in bare)
         hidden = False
@@ -104,13 +109,14 @@ class Lexicon:
 def mined(sample: DataFrame, folds: int = FOLDS) -> list[dict[str, float]]:
     """The lexicon of all of ``sample`` (text, y, fold), and those that leave one fold out each.
 
-    Entries are counted by document on the executors; of those that at least
-    three toxic documents have and that are three times as frequent there as
-    elsewhere, the ``ENTRIES`` best go to the driver.
+    Entries are counted by document on the executors; of those that three
+    documents or more have, that are three times as frequent in toxic ones as
+    elsewhere, and that are so beyond chance, the ``ENTRIES`` best go to the
+    driver.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     stems = lambda k: F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("-")))
-    rows = sample.select("y", "fold", F.explode(F.array_distinct(F.concat(words, stems(4), stems(5)))).alias("entry"))
+    rows = sample.select("y", "fold", F.explode(F.array_distinct(F.concat(words, *[stems(k) for k in STEMS]))).alias("entry"))
     sizes = {(r["fold"], r["y"]): r["n"] for r in sample.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
     total = {y: sum(n for (_, own), n in sizes.items() if own == y) for y in (0, 1)}
     if not total[0] or not total[1]:
@@ -120,7 +126,14 @@ def mined(sample: DataFrame, folds: int = FOLDS) -> list[dict[str, float]]:
     )
     both = lambda y: sum((F.col(f"n{y}_{f}") for f in range(1, folds)), F.col(f"n{y}_0"))
     odds = F.log((both(1) + 0.5) / (total[1] + 1)) - F.log((both(0) + 0.5) / (total[0] + 1))
-    best = counts.withColumn("odds", odds).where((both(1) >= 3) & (F.col("odds") > float(np.log(3)))).orderBy((F.col("odds") * F.sqrt(both(1))).desc(), "entry").limit(ENTRIES).collect()
+    tried = cut(counts.where(both(1) + both(0) >= 3).withColumns({"odds": odds, "have": both(1) + both(0), "share": both(1) / (both(1) + both(0))}))
+    # The exponent of the chance that an entry without meaning is so often toxic; of all that are tried a few may pass by chance.
+    base = total[1] / (total[0] + total[1])
+    against = F.when(F.col("share") < 1, (1 - F.col("share")) * F.log((1 - F.col("share")) / (1 - base))).otherwise(0.0)
+    surprise = F.col("have") * (F.col("share") * F.log(F.col("share") / base) + against)
+    least = float(np.log(max(2, tried.count()) / CHANCE))
+    found = tried.where((F.col("odds") > float(np.log(3))) & (surprise > least))
+    best = found.orderBy((F.col("odds") * F.sqrt("have")).desc(), "entry").limit(ENTRIES).collect()
 
     def weigh(left_out: int | None) -> dict[str, float]:
         kept = [f for f in range(folds) if f != left_out]
@@ -129,7 +142,7 @@ def mined(sample: DataFrame, folds: int = FOLDS) -> list[dict[str, float]]:
         for r in best:
             a, b = (sum(r[f"n{y}_{f}"] for f in kept) for y in (1, 0))
             w = float(np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1)))
-            if a >= (3 if left_out is None else 2) and w > np.log(3):
+            if a >= 2 and w > np.log(3):
                 out[r["entry"]] = w
         return out
 
@@ -165,6 +178,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     of a fold's rows come from a lexicon mined without them, and calibration
     scores from trees grown without them.
     """
+    ship(df.sparkSession)
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
     usable = usable.where(~held_out(F.col("id"), folds, out))
     # Hashes are uniform, so the bound is kept by the share of them that is taken.
@@ -207,6 +221,7 @@ def toxicity_scores(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
     rows each give a row, an empty table none. A model without labels of both
     kinds gives each text the share it saw, 0.5 where it saw none.
     """
+    ship(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -228,6 +243,7 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def without_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` whose text scores below ``threshold``, all columns as they are."""
+    ship(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
