@@ -52,13 +52,14 @@ def walk_forward(forecasts: DataFrame, steps: int, season: int, q: float, most:
     )
 
 
-def paired_origins(samples: DataFrame, interval_s: int, steps: int, history: int, after: str | None = None) -> DataFrame:
+def paired_origins(samples: DataFrame, interval_s: int, steps: int, history: int, after: str | None = None, afters: DataFrame | None = None) -> DataFrame:
     """Disjoint evaluation origins per series, with the horizon's maximum: the same for all models.
 
     ``samples`` has one row per slot. A cut needs ``history`` rows before it
     and ``steps`` behind it without a missing slot, and an origin not before
-    ``after``; within a segment the first such cut and every ``steps``-th
-    after it are taken, so that no targets overlap.
+    ``after``, or before the series' own in ``afters`` (series, after); within
+    a segment the first such cut and every ``steps``-th after it are taken, so
+    that no targets overlap.
     """
     at = slot(F.col("observed_at"), interval_s)
     runs = samples.withColumn("segment", at - F.row_number().over(ordered()))
@@ -72,6 +73,9 @@ def paired_origins(samples: DataFrame, interval_s: int, steps: int, history: int
     fits = (F.col("place") >= history) & F.col("actual").isNotNull()
     if after is not None:
         fits = fits & (F.col("observed_at") >= F.lit(after).cast("timestamp"))
+    if afters is not None:
+        rows = rows.join(afters.select(*SERIES, "after"), SERIES)
+        fits = fits & (F.col("observed_at") >= F.col("after"))
     eligible = rows.where(fits).withColumn("rank", F.row_number().over(w))
     return eligible.where((F.col("rank") - 1) % steps == 0).select(*SERIES, F.col("observed_at").alias("origin"), "segment", "target_end", "actual")
 

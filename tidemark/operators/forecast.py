@@ -61,7 +61,7 @@ def holt_winters_peak(samples: DataFrame, season: int, steps: int) -> DataFrame:
     Smoothing goes through a series in order, so each is one group in Python.
     """
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values("observed_at")["observed_value"].to_numpy(float)
         ok = len(values) >= 2 * season and np.isfinite(values).all()
         peak = smoothed_peak(values, season, steps) if ok else None

@@ -309,7 +309,7 @@ def train_networks(samples: DataFrame, steps: int, q: float, kind: str = "native
     """One artifact row per series that is long enough. ``kind``: 'native' (reset first) or 'conformal' (reset after, with an offset)."""
     shape = shape or (NATIVE if kind == "native" else CONFORMAL)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         artifact = train_sequence(pdf, steps, q, shape, kind == "native", kind != "native")
         rows = [] if artifact is None else [[*key, "gru", *encoded(artifact), len(pdf)]]
         return pd.DataFrame(rows, columns=[*SERIES, "engine", "artifact", "artifact_sha256", "rows"])
@@ -321,7 +321,7 @@ def train_tree_models(rows: DataFrame, q: float) -> DataFrame:
     """One artifact row per series, from the rows of ``tree_rows``."""
     names = sorted(c for c in rows.columns if c not in (*SERIES, "observed_at", "label"))
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("observed_at")
         artifact = train_trees(pdf[names].to_numpy(float), pdf["label"].to_numpy(float), names, q)
         return pd.DataFrame([[*key, "xgboost", *encoded(artifact), len(pdf)]], columns=[*SERIES, "engine", "artifact", "artifact_sha256", "rows"])
@@ -333,7 +333,7 @@ def predict_rows(inputs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """(series, observed_at, p50, upper) from feature rows and the tree artifacts of their series."""
     names = sorted(c for c in inputs.columns if c not in (*SERIES, "observed_at", "label"))
 
-    def score(key, rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(models):
             return pd.DataFrame(columns=[*SERIES, "observed_at", "p50", "upper"])
         spec = decoded(bytes(models["artifact"].iloc[0]), models["artifact_sha256"].iloc[0])
@@ -348,7 +348,7 @@ def predict_rows(inputs: DataFrame, artifacts: DataFrame) -> DataFrame:
 def predict_last(samples: DataFrame, artifacts: DataFrame) -> DataFrame:
     """(series, p50, upper) after each series' last row, from its network artifact; null with too few rows."""
 
-    def score(key, rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(models):
             return pd.DataFrame(columns=[*SERIES, "p50", "upper"])
         out = predict_sequence(decoded(bytes(models["artifact"].iloc[0]), models["artifact_sha256"].iloc[0]), rows)
@@ -371,7 +371,7 @@ def refit_walk_forward(rows: DataFrame, q: float, cuts: int, steps: int, least:
     at = F.col("cut") * steps + 1
     used = numbered.where((F.col("back") == at) | (F.col("back") >= at + steps)).withColumn("is_target", F.col("back") == at)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         past, target = pdf[~pdf["is_target"]].sort_values("observed_at"), pdf[pdf["is_target"]]
         if len(past) < least or not len(target):
             return pd.DataFrame(columns=[*SERIES, "cut", "actual", "p50", "upper"])

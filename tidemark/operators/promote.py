@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,10 @@ class EvaluationPolicy:
         if not ok or not 0 <= self.coverage_tolerance < 1 or not 0 <= self.minimum_improvement < 1 or not 0 <= self.max_relative_underprediction <= 1:
             raise ValueError("the evaluation policy can't hold")
 
+    def stricter(self) -> EvaluationPolicy:
+        """For going back to an earlier model: a tenth better at least."""
+        return replace(self, minimum_improvement=max(0.10, self.minimum_improvement))
+
     @property
     def candidate_expiry_s(self) -> int:
         return max(72 * 3600, self.window_s + self.min_duration_s)

@@ -114,3 +114,9 @@ def latest_per(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """The first row of each key by ``order``, which should end with a tie-breaker."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def append_unique(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """``existing`` and the incoming rows whose key it lacks, one per key: a repeated append changes nothing."""
+    new = incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    return existing.unionByName(new, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import pinball as pinball_loss
-from tidemark.operators import cycle, evaluate, forecast, guard, learned, surge
+from tidemark.operators import cycle, evaluate, forecast, guard, learned, promote, surge, training
 from tidemark.operators.features import horizon_label, tree_rows
 from tidemark.operators.quality import real_suffix as suffix_of
 from tidemark.plans.features import providers, rounded
@@ -304,3 +304,29 @@ def recurrent_conformal(spark, sf_dir):
     rows = full(spark, sf_dir)
     shape = learned.CONFORMAL | {"length": 48, "epochs": 6, "examples": 512}
     return rounded(learned.predict_last(rows, learned.train_networks(rows, STEPS, Q, "conformal", shape)))
+
+
+@query(f"""WITH {SERIES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY workload_id ORDER BY observed_at DESC) AS back, count(*) OVER (PARTITION BY workload_id) AS n FROM hourly)
+SELECT workload_id, observed_at, observed_value, back <= least(48, n // 5) AS is_holdout FROM k""")
+def holdout_split(spark, sf_dir):
+    return shown(training.holdout_split(sparse(spark, sf_dir), HOUR))
+
+
+@query()
+def training_run(spark, sf_dir):
+    """Outcomes of a training run of the tree engine over all series."""
+    _, outcomes = training.train_candidates(full(spark, sf_dir), "xgboost", HOUR, SEASON, STEPS, Q, ts(END))
+    return shown(outcomes)
+
+
+@query()
+def evaluation_run(spark, sf_dir):
+    """Reports on three candidates against the seasonal baseline, by series."""
+    rows = full(spark, sf_dir)
+    policy = promote.EvaluationPolicy(window_s=20 * 86400, min_duration_s=10 * 86400, max_relative_underprediction=1.0, coverage_tolerance=0.3)
+    plan = rows.groupBy(*SERIES).agg(F.lit("evaluate_candidate").alias("action")).select(
+        *SERIES, "action", F.when(F.col("workload_id") == "error", "candidate_expired").alias("reason"), F.lit("m1").alias("target_id"), F.lit(None).cast("string").alias("expected_active_id"), F.lit(None).cast("string").alias("previous_id"), ts("2024-01-10 00:00:00").alias("evidence_after")
+    )
+    named = F.when(F.col("model") == "day_peak", "candidate").when(F.col("model") == "last_value", "baseline")
+    forecasts = model_rows(spark, sf_dir).withColumn("model", named).where("model is not null")
+    return shown(training.evaluation_reports(rows, plan, forecasts, ts(END), HOUR, STEPS, SEASON, Q, 100.0, policy))

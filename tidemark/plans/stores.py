@@ -10,7 +10,7 @@ from tidemark.plans.forecasts import SNAPSHOT_SQL, contracts, snapshots
 from tidemark.plans.registry import END, HOUR, SERIES_SQL, query
 from tidemark.plans.series import full, shown, sparse, ts
 from tidemark.schema import SERIES
-from tidemark.sources.series import table
+from tidemark.sources.series import build_samples, table
 
 
 @query(f"""WITH {SERIES_SQL}, inc AS (SELECT workload_id, observed_at, observed_value * 2 AS observed_value, 1 AS b FROM hourly WHERE hour(observed_at) % 4 = 0
@@ -278,6 +278,27 @@ def evaluation_plan(spark, sf_dir):
     return promote.evaluation_plan(models(spark, sf_dir), ts("2001-06-20 00:00:00")).select("workload_id", "action", "target_id", "expected_active_id")
 
 
+@query(f"""WITH {SERIES_SQL}, {SNAPSHOT_SQL} SELECT workload_id, count(*) AS rows FROM snaps GROUP BY 1""")
+def snapshot_append(spark, sf_dir):
+    rows = snapshots(spark, sf_dir)
+    old = rows.where("hour(observed_at) < 12")
+    out = store.append_unique(old, rows.unionByName(rows), ["snapshot_id"])
+    return out.groupBy("workload_id").agg(F.count("*").alias("rows"))
+
+
+@query("""SELECT workload_id, TIMESTAMP '2024-01-31 00:00:00' AS observed_at, observed_value FROM (SELECT event_type AS workload_id, round(max(value), 6) AS observed_value FROM events GROUP BY 1) WHERE workload_id <> 'view'""")
+def canonical_samples(spark, sf_dir):
+    readings = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("workload_id")).agg(F.round(F.max("value"), 6).alias("value"))
+    active = contracts(sparse(spark, sf_dir)).withColumn("status", F.when(F.col("workload_id") == "view", "inactive").otherwise("active"))
+    return shown(build_samples(readings, active, END))
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 <> 0""")
+def active_contracts(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").withColumn("status", F.when(F.col("c_custkey") % 5 == 0, "inactive").otherwise("active"))
+    return rows.where("status = 'active'").select("c_custkey", "c_name").orderBy("c_name", "c_custkey")
+
+
 @query()
 def commit_faults(spark, sf_dir):
     m = models(spark, sf_dir)

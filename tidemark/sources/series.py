@@ -43,3 +43,10 @@ def dense(samples: DataFrame, start: str, end: str, interval_s: int = 3600) -> D
     steps = F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp") - F.make_dt_interval(secs=F.lit(interval_s)), F.make_dt_interval(secs=F.lit(interval_s)))
     grid = series.withColumn("observed_at", F.explode(steps))
     return grid.join(samples, ["cluster_id", *SERIES, "observed_at"], "left").withColumn("observed_value", F.coalesce("observed_value", F.lit(0.0)))
+
+
+def build_samples(readings: DataFrame, contracts: DataFrame, at: str) -> DataFrame:
+    """Samples of (workload_id, value) readings taken at one time, for workloads with an active contract."""
+    active = contracts.where("status = 'active'").select("cluster_id", *SERIES)
+    rows = readings.select("workload_id", "value").join(active, "workload_id")
+    return rows.select("cluster_id", *SERIES, F.lit(at).cast("timestamp").alias("observed_at"), F.col("value").alias("observed_value"))
