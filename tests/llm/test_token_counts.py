@@ -25,11 +25,19 @@ def test_ids_are_the_librarys(text):
     assert ids(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["", "a" * 5000, " " * 999 + "x", "x<|endoftext|>y <|endoftext|>", "aaa aaaa aaaaa", "\r\n\r\n    z"])
+@pytest.mark.parametrize("text", [" a", "a ", " ", "a b\n c d", "a\n b", "a  b c", "a \n  b", "x\u00a0 y z", "\n a b c", "a b\n", "\x1c x \x1cy z", "", "a" * 5000, " " * 999 + "x", "x<|endoftext|>y <|endoftext|>", "aaa aaaa aaaaa", "\r\n\r\n    z"])
 def test_odd_texts(text):
     assert ids(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab \n\t.'\u00a0\x1c1"), max_size=30), max_size=8))
+def test_texts_of_one_run(texts):
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [a.tolist() for a in ENCODER.id_arrays(texts, 40)] == want
+    assert list(ENCODER.counts(texts, 40)) == [len(w) for w in want]
+
+
 def test_memory_starts_anew():
     encoder = TextEncoder(read_json_bpe(P.path("byte_bpe_50k.json")), P.PATTERN)
     encoder.REMEMBERED = 50
