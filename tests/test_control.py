@@ -63,7 +63,7 @@ def test_valid_contract(spark):
     "place,metadata,word",
     [
         (0, {"threshold": "0"}, "threshold"), (0, {"threshold": "NaN"}, "threshold"), (0, {"serverAddress": "http://u:p@m"}, "serverAddress"), (0, {"query": " "}, "query"),
-        (1, {"sourceTrigger": "none"}, "exactly one"), (1, {"sourceTrigger": ""}, "required"), (1, {"forecastHorizon": "90s"}, "multiple"), (1, {"forecastHorizon": "-1m"}, "positive duration"), (1, {"trainingWindow": "1d"}, "trainingWindow"),
+        (1, {"sourceTrigger": "none"}, "no trigger"), (1, {"sourceTrigger": ""}, "missing"), (1, {"forecastHorizon": "90s"}, "multiple"), (1, {"forecastHorizon": "-1m"}, "no duration"), (1, {"trainingWindow": "1d"}, "trainingWindow"),
         (1, {"trainingWindow": "91d"}, "trainingWindow"), (1, {"quantile": "1"}, "quantile"), (1, {"modelEngine": "magic"}, "modelEngine"), (1, {"immediateTraining": "maybe"}, "immediateTraining"), (1, {"samplingInterval": "7s"}, "sampling"), (1, {"businessTimezone": "not a zone"}, "Timezone"),
     ],
 )
@@ -78,7 +78,7 @@ def test_bounds_names_and_sources(spark):
     (c,), _ = declare(spark, lambda t: [t[0] | {"type": "cpu"}, t[1]])
     assert any("prometheus" in v for v in c.violations)
     rows, _ = declare(spark, lambda t: [*t, t[1]])
-    assert len(rows) == 2 and all(any("unique" in v for v in r.violations) and any("only one" in v for v in r.violations) for r in rows)
+    assert len(rows) == 2 and all(any("shared" in v for v in r.violations) and any("serves" in v for v in r.violations) for r in rows)
     rows, report = declare(spark, changed(1, scalerAddress="elsewhere"))
     assert not rows and {r.role for r in report} == {"other"}
 

@@ -112,7 +112,7 @@ def sequence_inputs(samples: DataFrame, scales: DataFrame, timezone: str = "UTC"
     minute = F.hour(at) * 60 + F.minute(at)
     day = F.dayofweek(at) - 1
     turn = {"minute": minute / 1440, "weekday": day / 7, "day": (F.dayofmonth(at) - 1) / F.day(F.last_day(at)), "month": (F.month(at) - 1) / 12}
-    out = samples.join(F.broadcast(scales) if scales.is_cached else scales, SERIES).withColumn("value", (F.col("observed_value") - F.col("minimum")) / F.col("scale"))
+    out = samples.join(scales, SERIES).withColumn("value", (F.col("observed_value") - F.col("minimum")) / F.col("scale"))
     waves = {f"{k}_{f.__name__}": f(2 * math.pi * t) for k, t in turn.items() for f in (F.sin, F.cos)}
     return out.withColumns(waves | {"weekend": F.when(day.isin(0, 6), 1.0).otherwise(0.0)}).drop("minimum", "scale")
 

@@ -10,6 +10,10 @@ from tidemark.schema import SERIES
 
 #: Steps and percentages of one scale-up, normally and on estimated inputs.
 STEP, PERCENT, STEP_ESTIMATED, PERCENT_ESTIMATED = 3.0, 100.0, 1.0, 25.0
+#: Reasons of a decision.
+UNHEALTHY, NO_CAPACITY, NO_SCALE_UP, LIMITED = "cluster_unhealthy", "capacity_unavailable", "no_predictive_scale_up", "rate_limited"
+BASELINE, AFTER_GAP, SURGE = "baseline_replicas", "recovered_after_source_gap", "sustained_abnormal_slope_and_baseline"
+INTERPOLATED, CONSERVATIVE = "inference_interpolated_points", "conservative_gap_recovery"
 
 
 def guarded(desired: Column, current: Column, most: Column, step: Column, percent: Column, healthy: Column, allowed: Column) -> Column:
@@ -17,10 +21,10 @@ def guarded(desired: Column, current: Column, most: Column, step: Column, percen
     wanted = F.least(desired, most.cast("double"))
     limit = F.least(wanted, F.when(step > 0, current + step), F.when((percent > 0) & (current > 0), current * (1 + percent / 100)))
     return (
-        F.when(~healthy, F.struct(current.alias("safe"), F.lit("cluster_unhealthy").alias("reason")))
-        .when(~allowed, F.struct(current.alias("safe"), F.lit("capacity_unavailable").alias("reason")))
-        .when(wanted <= current, F.struct(wanted.alias("safe"), F.lit("no_predictive_scale_up").alias("reason")))
-        .otherwise(F.struct(limit.alias("safe"), F.lit("rate_limited").alias("reason")))
+        F.when(~healthy, F.struct(current.alias("safe"), F.lit(UNHEALTHY).alias("reason")))
+        .when(~allowed, F.struct(current.alias("safe"), F.lit(NO_CAPACITY).alias("reason")))
+        .when(wanted <= current, F.struct(wanted.alias("safe"), F.lit(NO_SCALE_UP).alias("reason")))
+        .otherwise(F.struct(limit.alias("safe"), F.lit(LIMITED).alias("reason")))
     )
 
 
@@ -34,8 +38,8 @@ def decide(inputs: DataFrame) -> DataFrame:
     step, percent = F.when(estimated, STEP_ESTIMATED).otherwise(STEP), F.when(estimated, PERCENT_ESTIMATED).otherwise(PERCENT)
     out = inputs.withColumn("desired", desired)
     out = out.withColumn("guard", guarded(F.col("desired"), F.col("current"), F.col("max_replicas"), step, percent, F.col("healthy"), F.col("allowed")))
-    base = F.when(surging, F.lit("sustained_abnormal_slope_and_baseline")).when(F.col("used_suffix"), F.lit("baseline_replicas;recovered_after_source_gap")).otherwise("baseline_replicas")
-    note = F.when(estimated, F.concat(F.lit("inference_interpolated_points="), F.col("estimated_count").cast("string"), F.lit(";conservative_gap_recovery")))
+    base = F.when(surging, F.lit(SURGE)).when(F.col("used_suffix"), F.lit(f"{BASELINE};{AFTER_GAP}")).otherwise(BASELINE)
+    note = F.when(estimated, F.concat(F.lit(f"{INTERPOLATED}="), F.col("estimated_count").cast("string"), F.lit(f";{CONSERVATIVE}")))
     return out.select(*inputs.columns, "desired", F.when(surging, F.col("surge_demand")).otherwise(0.0).alias("surge"), F.col("guard.safe").alias("safe"), F.concat_ws(";", base, note, F.col("guard.reason")).alias("reason"))
 
 

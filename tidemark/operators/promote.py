@@ -12,6 +12,9 @@ from tidemark.schema import SERIES, finite
 
 #: Fixed value: slack of all comparisons.
 SLACK = 1e-9
+#: The rungs of the ladder in their order, and what a candidate is measured against.
+LADDER = ("invalid_policy", "candidate_safety_gate_failed", "incomparable_reference", "underprediction_regression", "safe_baseline_equivalent", "insufficient_loss_improvement", "paired_evaluation_passed")
+CHAMPION, BASELINE = "active_champion", "deterministic_baseline"
 #: Reasons that take a candidate out for good.
 TERMINAL = ("incompatible_contract", "candidate_expired", "invalid_artifact", "invalid_training_boundary")
 
@@ -62,18 +65,18 @@ def promotion(candidate: Column, champion: Column, baseline: Column, q: Column,
     the baseline where there is none (null).
     """
     reference = F.when(champion.isNotNull(), champion).otherwise(baseline)
-    name = F.when(champion.isNotNull(), "active_champion").otherwise("deterministic_baseline")
+    name = F.when(champion.isNotNull(), CHAMPION).otherwise(BASELINE)
     worse = lambda c: candidate[c] > reference[c] + SLACK
     out = lambda promote, reason, named: F.struct(F.lit(promote).alias("promote"), F.lit(reason).alias("reason"), (name if named else F.lit(None).cast("string")).alias("reference"))
     not_true = lambda c: ~F.coalesce(c, F.lit(False))
     return (
-        F.when(not_true(finite(q) & (q > 0) & (q < 1)), out(False, "invalid_policy", False))
-        .when(not_true(safe_metrics(candidate, q, p)), out(False, "candidate_safety_gate_failed", False))
-        .when(not_true(valid_metrics(reference) & (reference["windows"] == candidate["windows"])), out(False, "incomparable_reference", False))
-        .when(worse("mean_underprediction") | worse("peak_mean_underprediction") | worse("underprediction_rate"), out(False, "underprediction_regression", True))
-        .when(champion.isNull() & (candidate["pinball"] <= SLACK) & (reference["pinball"] <= SLACK), out(True, "safe_baseline_equivalent", True))
-        .when(candidate["pinball"] >= reference["pinball"] * (1 - p.minimum_improvement) - SLACK, out(False, "insufficient_loss_improvement", True))
-        .otherwise(out(True, "paired_evaluation_passed", True))
+        F.when(not_true(finite(q) & (q > 0) & (q < 1)), out(False, LADDER[0], False))
+        .when(not_true(safe_metrics(candidate, q, p)), out(False, LADDER[1], False))
+        .when(not_true(valid_metrics(reference) & (reference["windows"] == candidate["windows"])), out(False, LADDER[2], False))
+        .when(worse("mean_underprediction") | worse("peak_mean_underprediction") | worse("underprediction_rate"), out(False, LADDER[3], True))
+        .when(champion.isNull() & (candidate["pinball"] <= SLACK) & (reference["pinball"] <= SLACK), out(True, LADDER[4], True))
+        .when(candidate["pinball"] >= reference["pinball"] * (1 - p.minimum_improvement) - SLACK, out(False, LADDER[5], True))
+        .otherwise(out(True, LADDER[6], True))
     )
 
 

@@ -69,47 +69,47 @@ def contracts(rows: DataFrame, options: ParseOptions) -> DataFrame:
     def duration(k: str, default: float, least_exclusive: bool) -> Column:
         value = parse_duration(text(k))
         ok = value > 0 if least_exclusive else value >= 0
-        add((text(k) != "") & ~F.coalesce(ok, F.lit(False)), f"metadata.{k}", "must be a positive duration" if least_exclusive else "must be a non-negative duration")
+        add((text(k) != "") & ~F.coalesce(ok, F.lit(False)), f"metadata.{k}", "is no duration above zero" if least_exclusive else "is no duration from zero on")
         return F.when((text(k) != "") & ok, value).otherwise(F.lit(float(default)))
 
     def flag(k: str) -> Column:
-        add((text(k) != "") & ~text(k).isin(*_TRUE, *_FALSE), f"metadata.{k}", "must be true or false")
+        add((text(k) != "") & ~text(k).isin(*_TRUE, *_FALSE), f"metadata.{k}", "is neither true nor false")
         return text(k).isin(*_TRUE)
 
-    add(F.col("trigger_name") == "", "triggers[].name", "is required")
-    add(F.col("same_name") > 1, "triggers[].name", "must be unique among predictive triggers")
-    add(F.col("source_name") == "", "triggers[].metadata.sourceTrigger", "is required")
-    add(F.col("same_source") > 1, "triggers[].metadata.sourceTrigger", "must be used by only one predictive trigger")
-    add((F.col("source_name") != "") & (F.coalesce("sources", F.lit(0)) != 1), "triggers[].metadata.sourceTrigger", "must resolve to exactly one trigger")
+    add(F.col("trigger_name") == "", "triggers[].name", "is missing")
+    add(F.col("same_name") > 1, "triggers[].name", "is shared by several predictive triggers")
+    add(F.col("source_name") == "", "triggers[].metadata.sourceTrigger", "is missing")
+    add(F.col("same_source") > 1, "triggers[].metadata.sourceTrigger", "serves several predictive triggers")
+    add((F.col("source_name") != "") & (F.coalesce("sources", F.lit(0)) != 1), "triggers[].metadata.sourceTrigger", "names no trigger, or several")
     one = F.col("sources") == 1
-    add(one & (F.col("first.type") != "prometheus"), "triggers[].metadata.sourceTrigger", "must reference a prometheus trigger")
+    add(one & (F.col("first.type") != "prometheus"), "triggers[].metadata.sourceTrigger", "is no prometheus trigger")
     real = one & (F.col("first.type") == "prometheus")
     threshold = source("threshold").try_cast("double")
-    add(real & ~is_plain_address(source("serverAddress")), "source.metadata.serverAddress", "must be an absolute http(s) address without credentials or fragment")
-    add(real & (source("query") == ""), "source.metadata.query", "is required")
-    add(real & ~F.coalesce(finite(threshold) & (threshold > 0), F.lit(False)), "source.metadata.threshold", "must be a positive number")
+    add(real & ~is_plain_address(source("serverAddress")), "source.metadata.serverAddress", "is no plain http(s) address")
+    add(real & (source("query") == ""), "source.metadata.query", "is missing")
+    add(real & ~F.coalesce(finite(threshold) & (threshold > 0), F.lit(False)), "source.metadata.threshold", "is not above zero")
     horizon, window, interval = duration("forecastHorizon", HORIZON, True), duration("trainingWindow", WINDOW, True), duration("samplingInterval", INTERVAL, True)
     startup, buffer = duration("startupLatency", 0, False), duration("safetyBuffer", 0, False)
     immediate, clear = flag("immediateTraining"), flag("clearOldModels")
     q = text("quantile").try_cast("double")
-    add((text("quantile") != "") & ~F.coalesce((q > 0) & (q < 1), F.lit(False)), "metadata.quantile", "must be greater than 0 and less than 1")
+    add((text("quantile") != "") & ~F.coalesce((q > 0) & (q < 1), F.lit(False)), "metadata.quantile", "lies outside (0, 1)")
     quantile = F.when((text("quantile") != "") & (q > 0) & (q < 1), q).otherwise(QUANTILE)
     engine = F.when(text("modelEngine") == "", ENGINE).otherwise(text("modelEngine"))
-    add(~engine.isin(*ENGINES), "metadata.modelEngine", "unsupported engine")
-    add((window < options.least_window_s) | (window > MOST_WINDOW), "metadata.trainingWindow", "must lie between the least window and 90d")
+    add(~engine.isin(*ENGINES), "metadata.modelEngine", "is no known engine")
+    add((window < options.least_window_s) | (window > MOST_WINDOW), "metadata.trainingWindow", "is shorter or longer than allowed")
     for value, k in ((window, "trainingWindow"), (interval, "samplingInterval"), (horizon, "forecastHorizon")):
-        add(value != F.floor(value), f"metadata.{k}", "must be an exact number of seconds")
+        add(value != F.floor(value), f"metadata.{k}", "holds a fraction of a second")
     decision = horizon + startup + buffer
-    add(F.pmod(window, F.greatest(interval, F.lit(1e-9))) != 0, "metadata.trainingWindow", "must be a whole number of sampling intervals")
-    add((decision <= 0) | (F.pmod(decision, F.greatest(interval, F.lit(1e-9))) != 0), "metadata.forecastHorizon", "with latency and buffer must be a positive multiple of samplingInterval")
+    add(F.pmod(window, F.greatest(interval, F.lit(1e-9))) != 0, "metadata.trainingWindow", "is no multiple of samplingInterval")
+    add((decision <= 0) | (F.pmod(decision, F.greatest(interval, F.lit(1e-9))) != 0), "metadata.forecastHorizon", "with latency and buffer is no multiple of samplingInterval above zero")
     zone = F.when(text("businessTimezone") == "", "UTC").otherwise(text("businessTimezone"))
-    add(~zone.isin("UTC", "GMT") & ~zone.rlike(r"^[A-Z][A-Za-z_]+(/[A-Z][A-Za-z_+-]*)+$"), "metadata.businessTimezone", "must be a valid zone name")
+    add(~zone.isin("UTC", "GMT") & ~zone.rlike(r"^[A-Z][A-Za-z_]+(/[A-Z][A-Za-z_+-]*)+$"), "metadata.businessTimezone", "is no zone name")
     low, high = F.coalesce("spec.min_replicas", F.lit(options.default_min)), F.coalesce("spec.max_replicas", F.lit(options.default_max))
-    add(low < 0, "spec.minReplicaCount", "must not be negative")
-    add(high <= 0, "spec.maxReplicaCount", "must be positive")
-    add(low > high, "spec", "minReplicaCount must not exceed maxReplicaCount")
+    add(low < 0, "spec.minReplicaCount", "is negative")
+    add(high <= 0, "spec.maxReplicaCount", "is not above zero")
+    add(low > high, "spec", "minReplicaCount exceeds maxReplicaCount")
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    add(blank(F.col("spec.namespace")) | blank(F.col("spec.name")) | blank(F.col("spec.target")) | F.lit(not options.cluster_id.strip()), "object", "has required top-level fields missing")
+    add(blank(F.col("spec.namespace")) | blank(F.col("spec.name")) | blank(F.col("spec.target")) | F.lit(not options.cluster_id.strip()), "object", "lacks a name, namespace, target or cluster")
     violations = F.array_compact(F.array(*found))
     out = t.select(
         "object_id", "place", F.lit(options.cluster_id).alias("cluster_id"), F.col("spec.namespace").alias("namespace"), F.col("spec.name").alias("scaled_name"), F.col("spec.target").alias("target"),
