@@ -6,7 +6,7 @@ import base64
 import json
 
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import cut
@@ -14,8 +14,12 @@ from tidemark.llm.vocab import default_path, read_ranks
 
 #: Places of the rank table; each holds about six tokens.
 RANK_PLACES = 8192
+#: A pair's key is its left id times this, and its right id; a prime number of places spreads the keys.
+PAIR, PAIR_PLACES = 1 << 17, 65_521
+#: Bytes up to which a word is encoded by looking all its pairs up at each step.
+SHORT = 48
 #: Words that are encoded beforehand, at most, and the places of their table.
-FREQUENT, WORD_PLACES = 1 << 18, 1 << 16
+FREQUENT, WORD_PLACES = 1 << 18, 1 << 17
 
 
 def _let(value: Column, body) -> Column:
@@ -33,6 +37,50 @@ def _rank_table(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(places, separators=(",", ":"))), "array<struct<k:array<binary>,v:array<int>>>")
 
 
+def _pair_table(ranks: dict[bytes, int]) -> Column:
+    """Pairs of ids whose bytes together are a token, and its rank, as one literal: maps by the pair's key modulo ``PAIR_PLACES``."""
+    places: list[dict[str, int]] = [{} for _ in range(PAIR_PLACES)]
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            a, b = ranks.get(token[:k]), ranks.get(token[k:])
+            if a is not None and b is not None:
+                key = a * PAIR + b
+                places[key % PAIR_PLACES][str(key)] = rank
+    return F.from_json(F.lit(json.dumps(places, separators=(",", ":"))), "array<map<string,int>>").cast("array<map<bigint,int>>")
+
+
+def _byte_table(ranks: dict[bytes, int]) -> Column:
+    return F.from_json(F.lit(json.dumps([ranks[bytes((b,))] for b in range(256)])), "array<int>")
+
+
+def _tables(ranks: dict[bytes, int]) -> Column:
+    if max(ranks.values()) >= PAIR:
+        raise ValueError(f"ranks of {PAIR:,} and more have no place in a pair's key")
+    return F.struct(_rank_table(ranks).alias("ranks"), _pair_table(ranks).alias("pairs"), _byte_table(ranks).alias("bytes"))
+
+
+def _value(spark: SparkSession, table: Column) -> Column:
+    """A literal table as the value of a one-row table: it reaches the tasks as one block of bytes, not as many objects."""
+    return cut(spark.range(0, 1, 1, 1).select(table.alias("t"))).scalar()
+
+
+def _with(df: DataFrame, name: str, values: dict[str, Column], body) -> DataFrame:
+    """``df`` with ``body`` of the ``values`` as column ``name``.
+
+    Functions of arrays take no subqueries, so each value is a column first;
+    read once only, it is folded into its reader and is a value of the plan,
+    not of the rows.
+    """
+    held = {}
+    for k in values:
+        own = f"{k}_"
+        while own in df.columns or own == name:
+            own += "_"
+        held[k] = own
+    rows = df.withColumns({held[k]: v for k, v in values.items()})
+    return rows.withColumn(name, _let(F.struct(*[F.col(own).alias(k) for k, own in held.items()]), body)).drop(*held.values())
+
+
 def _piece_table(ranks: dict[bytes, int]) -> Column:
     """The tokens' bytes by id, as one literal."""
     pieces = [None] * (max(ranks.values()) + 1)
@@ -47,14 +95,43 @@ def _rank(table: Column, token: Column) -> Column:
     return _let(F.get(table, place), lambda p: F.get(p["v"], (F.array_position(p["k"], token) - 1).cast("int")))
 
 
-def encode_word(word: Column, table: Column) -> Column:
-    """A pre-token's ids: a fold that merges, at each step, the leftmost pair of lowest rank.
+def _fold_short(raw: Column, tables: Column) -> Column:
+    """A fold over the ids of a word's pieces.
 
-    The state holds the pieces and the ranks of the pairs they form; a merge
-    changes one piece and the two pairs beside it. Steps after the last merge
-    leave the state as it is. A word that is a token needs no merge.
+    The state holds them and the ranks of the pairs they form, null for a
+    pair that is no token. A step replaces the leftmost pair of lowest rank,
+    whose rank is its id, and looks up the two pairs beside it.
+    """
+
+    def rank(a: Column, b: Column) -> Column:
+        key = a.cast("long") * PAIR + b
+        return F.element_at(F.get(tables["pairs"], (key % PAIR_PLACES).cast("int")), key)
+
+    def step(state: Column, _: Column) -> Column:
+        p, r = state["p"], state["r"]
+
+        def merge(i: Column) -> Column:
+            made = F.get(r, i - 1)
+            pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(made), F.slice(p, i + 2, F.size(p)))
+            # Pairs over an end of the word are looked up with a null, and are null.
+            pairs = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.when(i > 1, F.array(rank(F.get(p, i - 2), made))).otherwise(F.slice(r, F.lit(1), F.lit(0))), F.array(rank(made, F.get(p, i + 1))), F.slice(r, i + 2, F.size(r)))
+            return F.struct(pieces.alias("p"), pairs.alias("r"))
+
+        return F.when(F.array_min(r).isNull(), state).otherwise(_let(F.array_position(r, F.array_min(r)).cast("int"), merge))
+
+    letters = F.decode(raw, "ISO-8859-1")
+    size = F.octet_length(raw)
+    start = F.transform(F.sequence(F.lit(1), size), lambda k: F.get(tables["bytes"], F.ascii(F.substring(letters, k, F.lit(1)))))
+    state = lambda p: F.struct(p.alias("p"), F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), rank).alias("r"))
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), _let(start, state), step, lambda s: s["p"])
+
+
+def _fold_long(raw: Column, table: Column) -> Column:
+    """The same for long words, in which a step touches one piece and two ranks.
+
+    The state holds the pieces and the ranks of the pairs they form. Steps
+    after the last merge leave the state as it is.
     """
-    raw = word.cast("binary")
 
     def step(state: Column, _: Column) -> Column:
         p, r = state["p"], state["r"]
@@ -71,14 +148,22 @@ def encode_word(word: Column, table: Column) -> Column:
 
         return _let(F.array_min(r), lambda m: F.when(m.isNull(), state).otherwise(_let(F.array_position(r, m).cast("int"), merge)))
 
-    def fold(b: Column) -> Column:
-        size = F.octet_length(b)
-        pieces = F.transform(F.sequence(F.lit(1), size), lambda k: F.substring(b, k, F.lit(1)))
-        pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda k: _rank(table, F.substring(b, k, F.lit(2))))).otherwise(F.array().cast("array<int>"))
-        start = F.struct(pieces.alias("p"), pairs.alias("r"))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step, lambda s: F.transform(s["p"], lambda t: _rank(table, t)))
+    size = F.octet_length(raw)
+    pieces = F.transform(F.sequence(F.lit(1), size), lambda k: F.substring(raw, k, F.lit(1)))
+    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda k: _rank(table, F.substring(raw, k, F.lit(2))))
+    start = F.struct(pieces.alias("p"), pairs.alias("r"))
+    return F.aggregate(F.sequence(F.lit(2), size), start, step, lambda s: F.transform(s["p"], lambda t: _rank(table, t)))
+
 
-    return _let(raw, lambda b: _let(_rank(table, b), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(b))))
+def encode_word(word: Column, tables: Column) -> Column:
+    """A pre-token's ids. A word that is a token needs no merge."""
+    fold = lambda b: F.when(F.octet_length(b) <= SHORT, _fold_short(b, tables)).otherwise(_fold_long(b, tables["ranks"]))
+    return _let(word.cast("binary"), lambda b: _let(_rank(tables["ranks"], b), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(b))))
+
+
+def as_text(ids: Column) -> Column:
+    """Ids in decimal digits, a space between them."""
+    return F.array_join(ids.cast("array<string>"), " ")
 
 
 def split_words(text: Column, pattern: str) -> Column:
@@ -86,7 +171,7 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def frequent_words(words: DataFrame, table: Column, most: int = FREQUENT) -> Column:
+def frequent_words(words: DataFrame, tables: Column, most: int = FREQUENT) -> Column:
     """The ids of the corpus' most frequent words, as a value that every task holds.
 
     Counts cover all of ``words`` (one array a row, in column ``words``). The
@@ -104,45 +189,45 @@ def frequent_words(words: DataFrame, table: Column, most: int = FREQUENT) -> Col
         least = row["level"]
     chosen = counts.where(level >= least) if least is not None else counts.where("false")
     place = F.pmod(F.xxhash64("word"), F.lit(WORD_PLACES)).cast("int")
-    encoded = chosen.select(place.alias("place"), "word", _let(table, lambda t: encode_word(F.col("word"), t)).alias("ids"))
+    encoded = _with(chosen.select(place.alias("place"), "word"), "ids", {"tables": tables}, lambda v: as_text(encode_word(F.col("word"), v["tables"])))
     maps = encoded.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("m"))
     every = counts.sparkSession.range(WORD_PLACES).select(F.col("id").cast("int").alias("place")).join(maps, "place", "left")
-    row = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce(F.map_keys("m"), F.array().cast("array<string>")).alias("k"), F.coalesce(F.map_values("m"), F.array().cast("array<array<int>>")).alias("v")))), lambda p: F.map_from_arrays(p["k"], p["v"])).alias("t"))
+    row = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce(F.map_keys("m"), F.array().cast("array<string>")).alias("k"), F.coalesce(F.map_values("m"), F.array().cast("array<string>")).alias("v")))), lambda p: F.map_from_arrays(p["k"], p["v"])).alias("t"))
     return row.scalar()
 
 
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks: str | None = None, pattern: str | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """``df`` with each text's token ids (array<int>) in ``ids_col``.
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks: str | None = None, pattern: str | None = None, frequent: int = FREQUENT, text_ids_col: str | None = None) -> DataFrame:
+    """``df`` with each text's token ids (array<int>) in ``ids_col`` and, if asked for, in ``text_ids_col`` as decimal text.
 
     Words (pre-tokens) are encoded by a fold over their bytes with the rank
-    table as a literal in the plan. The distinct words of the corpus are
-    counted first, and the frequent ones, a number bounded by ``frequent``,
-    encoded once; a text looks its words up and folds the rare ones itself.
-    So texts are never shuffled, whatever the number of distinct words.
+    tables, literals, as values of the plan. The distinct words of the corpus
+    are counted first, and the frequent ones, a number bounded by
+    ``frequent``, encoded once; a text looks its words up and folds the rare
+    ones itself. So texts are never shuffled, whatever the number of distinct
+    words.
 
     A null text gives no ids, as an empty one does. Special strings are
     ordinary text. Repeated rows each get theirs; an empty table stays empty.
     """
     import public_tokenizers
 
-    table = _rank_table(read_ranks(ranks or default_path("byte_bpe_50k.tiktoken")))
+    tables = _value(df.sparkSession, _tables(read_ranks(ranks or default_path("byte_bpe_50k.tiktoken"))))
     words = split_words(F.col(f"`{text_col}`").cast("string"), pattern or public_tokenizers.PATTERN)
-    known = frequent_words(df.select(words.alias("words")), table, frequent)
-
-    def ids_of(tables: Column) -> Column:
-        ranked, seen = tables["ranks"], tables["seen"]
+    known = frequent_words(df.select(words.alias("words")), tables, frequent)
 
+    def ids_of(values: Column) -> Column:
         def one(word: Column) -> Column:
             place = F.pmod(F.xxhash64(word), F.lit(WORD_PLACES)).cast("int")
-            return F.coalesce(F.element_at(F.get(seen, place), word), encode_word(word, ranked))
+            return F.coalesce(F.element_at(F.get(values["seen"], place), word), as_text(encode_word(word, values["tables"])))
 
-        return F.flatten(F.transform(words, lambda w: one(w)))
+        return F.array_join(F.transform(words, lambda w: one(w)), " ")
 
-    held = "seen"
-    while held in df.columns or held == ids_col:
-        held += "_"
-    # Read once only, the column is folded into its reader: the table is a value of the plan, not of the rows.
-    return df.withColumn(held, known).withColumn(ids_col, _let(F.struct(table.alias("ranks"), F.col(held).alias("seen")), ids_of)).drop(held)
+    digits = text_ids_col or "digits"
+    while digits in df.columns and digits != text_ids_col:
+        digits += "_"
+    out = _with(df, digits, {"seen": known, "tables": tables}, ids_of)
+    out = out.withColumn(ids_col, F.when(F.col(digits) == "", F.array().cast("array<int>")).otherwise(F.split(digits, " ").cast("array<int>")))
+    return out if text_ids_col else out.drop(digits)
 
 
 def decode(ids: Column, ranks: str | None = None) -> Column:
@@ -154,11 +239,10 @@ def decode(ids: Column, ranks: str | None = None) -> Column:
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """Per row its number of tokens and the digests of its ids and of the bytes they decode to."""
-    rows = encode(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "text", "ids", ranks, frequent=frequent)
-    out = rows.select(
+    rows = encode(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "text", "ids", ranks, frequent=frequent, text_ids_col="digits")
+    return rows.select(
         F.col("id").alias(id_col),
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("digits").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
     )
-    return out
