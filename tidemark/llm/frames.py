@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed now and kept in the shared folder, so that a lost executor loses nothing of it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
