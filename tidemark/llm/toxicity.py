@@ -46,7 +46,7 @@ def entries_of(word: str) -> list[str]:
 class Lexicon:
     """Looks words up, each once: weight, and what marks it carries."""
 
-    REMEMBERED = 200_000
+    REMEMBERED = 100_000
 
     def __init__(self, weights: dict[str, float]):
         self.weights, self.insults, self.second = weights, set(INSULTS), set(SECOND_PERSON)
