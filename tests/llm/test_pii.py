@@ -163,3 +163,26 @@ def test_whole_table(spark):
 def test_no_python_on_the_way(spark):
     df = pseudonymise(spark.createDataFrame([("x",)], "text string"))
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def hidden(spark, texts):
+    rows = pseudonymise(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), count_col="n", kinds_col="kinds").collect()
+    return [(r.text, r.n, r.kinds) for r in sorted(rows, key=lambda r: r.k)]
+
+
+def test_cards_before_short_numbers(spark):
+    tails = [" 123", " 12/27", " 12-27", " 7 11", " 12/31/1999", "", " 45 5500005555555559 737"]
+    forms = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]
+    got = hidden(spark, [f"pay {f}{t}" for t in tails for f in forms])
+    for (text, n, kinds), (tail, form) in zip(got, [(t, f) for t in tails for f in forms], strict=True):
+        made = one("card", form)
+        assert text.startswith(f"pay {made}") and luhn(made) == 0 and made != form
+        if "1999" in tail:
+            assert (text[len(made) + 4 :], n, kinds) == (" " + one("date", "12/31/1999"), 2, "card,date")
+        elif "5500" in tail:
+            assert (text[len(made) + 4 :], n) == (f" 45 {one('card', '5500005555555559')} 737", 2)
+        else:
+            assert (text[len(made) + 4 :], n, kinds) == (tail, 1, "card")
+    assert hidden(spark, ["4111 1111 1111 1112 123"]) == [("4111 1111 1111 1112 123", 0, "")]
+    nineteen = next(f"6304 0000 0000 0000 {k:03d}" for k in range(1, 1000) if luhn(f"6304 0000 0000 0000 {k:03d}") == 0)
+    assert hidden(spark, [nineteen]) == [(one("card", nineteen), 1, "card")]

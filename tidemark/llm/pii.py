@@ -21,7 +21,7 @@ PATTERNS = {
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "date": r"(?<![\w.-])(?:(?:19|20)\d\d([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2(?:19|20)\d\d)(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
+    "card": r"(?<![\w.+-])\d(?:(?:[ -](?!\d{1,4}/\d))?\d){12,18}(?![\w-]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
 }
 #: The dates' back references hold here too, as no kind before them has a capturing group.
@@ -120,13 +120,34 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.filter(F.split(value, ""), lambda c: F.length(c) > 0), F.lit(0), step)
 
 
+def _valid_start(value: Column, least: int, valid) -> Column:
+    """How long the longest valid start of ``value`` is that ends with a group and has ``least`` letters and digits or more; null if none is."""
+
+    def fits(n: Column) -> Column:
+        start = F.substr(value, F.lit(1), n)
+        return F.substr(value, n + 1, F.lit(1)).isin("", " ", "-") & (F.length(F.regexp_replace(start, "[ -]", "")) >= least) & valid(start)
+
+    return F.get(F.filter(F.sequence(F.length(value), F.lit(least), F.lit(-1)), fits), F.lit(0))
+
+
+def _start_made(value: Column, least: int, valid, made) -> Column:
+    """``value`` with ``made`` of its valid start, if it has one, and what is behind that as it is: short numbers that follow a card or an IBAN."""
+
+    def joined(n: Column) -> Column:
+        return F.when(n.isNotNull(), F.concat(_let(F.substr(value, F.lit(1), n), made), F.substr(value, n + 1)))
+
+    return _let(_valid_start(value, least, valid), joined)
+
+
 def _card(value: Column, key: str) -> Column:
     def finished(moved: Column) -> Column:
         # The digit that makes the sum 0 stands where it counts once.
         return F.concat(moved, F.pmod(10 - luhn_rest(F.concat(moved, F.lit("0"))), F.lit(10)).cast("string"))
 
-    payload = F.substr(value, F.lit(1), F.length(value) - 1)
-    return F.when(luhn_rest(value) == 0, _let(permute_chars(payload, key, F.lit("card"), DIGITS), finished))
+    def made(card: Column) -> Column:
+        return _let(permute_chars(F.substr(card, F.lit(1), F.length(card) - 1), key, F.lit("card"), DIGITS), finished)
+
+    return _start_made(value, 13, lambda card: luhn_rest(card) == 0, made)
 
 
 def _iban(value: Column, key: str) -> Column:
