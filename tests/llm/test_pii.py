@@ -186,3 +186,10 @@ def test_cards_before_short_numbers(spark):
     assert hidden(spark, ["4111 1111 1111 1112 123"]) == [("4111 1111 1111 1112 123", 0, "")]
     nineteen = next(f"6304 0000 0000 0000 {k:03d}" for k in range(1, 1000) if luhn(f"6304 0000 0000 0000 {k:03d}") == 0)
     assert hidden(spark, [nineteen]) == [(one("card", nineteen), 1, "card")]
+
+
+def test_long_credentials(spark):
+    value = "".join(hashlib.sha256(str(k).encode()).hexdigest().upper() for k in range(4))
+    ((text, n, kinds),) = hidden(spark, [f'token = "{value[:200]}" end'])
+    assert (text, n, kinds) == (one("secret", f'token = "{value[:200]}') + '" end', 1, "secret")
+    assert not any(value[k : k + 12] in text for k in range(188))

@@ -16,7 +16,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in the order in which they are tried at a place of the text. Quantifiers have ends or are possessive.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?<!\w)(?i:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?(?=[\w+/-]{0,80}\d)[\w+/-]{8,128}+",
+    "secret": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?<!\w)(?i:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?(?=[\w+/-]{0,80}\d)[\w+/-]{8,}+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}+(?!\w)",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "date": r"(?<![\w.-])(?:(?:19|20)\d\d([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2(?:19|20)\d\d)(?![\w-]|\.\d)",
