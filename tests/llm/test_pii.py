@@ -193,3 +193,12 @@ def test_long_credentials(spark):
     ((text, n, kinds),) = hidden(spark, [f'token = "{value[:200]}" end'])
     assert (text, n, kinds) == (one("secret", f'token = "{value[:200]}') + '" end', 1, "secret")
     assert not any(value[k : k + 12] in text for k in range(188))
+
+
+def test_timestamps_and_spaced_ibans(spark):
+    flat = one("iban", "DE89370400440532013000")
+    spaced = " ".join(flat[k : k + 4] for k in range(0, len(flat), 4))
+    belgian = one("iban", "BE68539007547034")
+    texts = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000.", "to DE89 3704 0044 0532 0130 00 EUR 100", "BE68 5390 0754 7034 EUR 100", "DE89 3704 0044 0532 0130 01"]
+    assert [t for t, _, _ in hidden(spark, texts)] == [spaced, flat + ".", f"to {spaced} EUR 100", " ".join(belgian[k : k + 4] for k in range(0, 16, 4)) + " EUR 100", texts[4]]
+    assert hidden(spark, ["at 2021-03-04T10:00:00Z", "2021-03-04Tx"]) == [(f"at {one('date', '2021-03-04')}T10:00:00Z", 1, "date"), ("2021-03-04Tx", 0, "")]

@@ -17,9 +17,9 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "secret": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?<!\w)(?i:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?(?=[\w+/-]{0,80}\d)[\w+/-]{8,}+",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}+(?!\w)",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+(?!\w)|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?!\w|[-/.]\d))",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "date": r"(?<![\w.-])(?:(?:19|20)\d\d([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2(?:19|20)\d\d)(?![\w-]|\.\d)",
+    "date": r"(?<![\w.-])(?:(?:19|20)\d\d([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2(?:19|20)\d\d)(?!(?!T\d)[\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])\d(?:(?:[ -](?!\d{1,4}/\d))?\d){12,18}(?![\w-]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
@@ -151,13 +151,22 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
-    def finished(body: Column) -> Column:
-        country = F.substring(value, 1, 2)
-        rest = mod97(F.concat(body, country, F.lit("00")))
-        return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
+    compact = lambda iban: F.regexp_replace(iban, " ", "")
 
-    valid = mod97(F.concat(F.substr(value, F.lit(5)), F.substring(value, 1, 4))) == 1
-    return F.when(valid, _let(permute_chars(F.substr(value, F.lit(5)), key, F.lit("iban"), CLASSES), finished))
+    def valid(iban: Column) -> Column:
+        return mod97(F.concat(F.substr(compact(iban), F.lit(5)), F.substring(iban, 1, 4))) == 1
+
+    def made(iban: Column) -> Column:
+        country = F.substring(iban, 1, 2)
+
+        def finished(body: Column) -> Column:
+            rest = mod97(F.concat(body, country, F.lit("00")))
+            return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
+
+        whole = _let(permute_chars(F.substr(compact(iban), F.lit(5)), key, F.lit("iban"), CLASSES), finished)
+        return F.when(F.instr(iban, " ") > 0, F.regexp_replace(whole, "(.{4})(?=.)", "$1 ")).otherwise(whole)
+
+    return _start_made(value, 15, valid, made)
 
 
 def _ip(value: Column, key: str) -> Column:
