@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -102,3 +103,20 @@ def test_edges(spark, monkeypatch):
     assert sorted((r.doc_id or 0, r.n_bytes, r.payload_bytes) for r in got) == [(0, 0, 576), (1, 0, 576), (2, 5000, 5184), (2, 5000, 5184), (3, 576, 576)]
     assert len({tuple(r)[1:] for r in got}) == 3
     assert media_features(df.limit(0)).count() == 0
+
+
+def test_pages_behind_a_bad_one(spark):
+    """A page that can't be read has an error row, and those behind it are read."""
+    pages = [np.full((4, 5, 3), k, np.uint8) for k in range(4)]
+    good = write_pages(pages, tiff.DEFLATE, 1)
+    entry = lambda data, tag: [k for k in range(8, len(data) - 12) if data[k : k + 2] == struct.pack("<H", tag) and data[k + 2 : k + 4] in (b"\3\0", b"\4\0")]
+    jpeg, strip, outside = bytearray(good), bytearray(good), bytearray(good)
+    struct.pack_into("<H", jpeg, entry(good, tiff.COMPRESSION)[1] + 8, 7)
+    (begin,) = struct.unpack_from("<I", good, entry(good, tiff.STRIP_OFFSETS)[2] + 8)
+    strip[begin : begin + 4] = b"\xff" * 4
+    struct.pack_into("<I", outside, entry(good, tiff.BITS)[0] + 8, 1 << 30)
+    df = spark.createDataFrame(list(enumerate(bytes(x) for x in (good, jpeg, strip, outside))), "id int, media binary")
+    rows = tiff_pages(df).orderBy("id", "page").collect()
+    assert [(r.id, r.page) for r in rows] == [(k, n) for k in range(4) for n in range(4)]
+    assert [(r.id, r.page) for r in rows if r.error is not None] == [(1, 1), (2, 2), (3, 0)]
+    assert all(bytes(r.pixels) == pages[r.page].tobytes() for r in rows if r.error is None)

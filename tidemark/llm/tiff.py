@@ -191,9 +191,11 @@ class Page:
     pixels: bytes  #: rows from the top, samples of a pixel together, in the machine's little-endian order
 
 
-def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
+def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple] | TiffError, int]:
+    """A directory's tags, or why they can't be read, and the place of the next one."""
     try:
         (count,) = struct.unpack_from(order + "H", data, at)
+        (after,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
         tags = {}
         for k in range(count):
             place = at + 2 + 12 * k
@@ -204,16 +206,15 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
             size = struct.calcsize(form)
             where = place + 8 if size <= 4 else struct.unpack_from(order + "I", data, place + 8)[0]
             if where + size > len(data):
-                raise TiffError(f"tag {tag} lies outside the file")
+                return TiffError(f"tag {tag} lies outside the file"), after
             tags[tag] = struct.unpack_from(form, data, where)
-        (after,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
     except struct.error as e:
         raise TiffError(f"a directory is cut off: {e}") from e
     return tags, after
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a file in the order of its directories."""
+def read_each(data: bytes) -> Iterator[Page | TiffError]:
+    """The pages of a file in the order of its directories; in place of one that can't be read, why."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("not a TIFF file")
@@ -224,7 +225,19 @@ def read_pages(data: bytes) -> Iterator[Page]:
             raise TiffError("the directories form a ring")
         seen.add(at)
         tags, at = _directory(data, at, order)
-        yield _page(data, tags, order, len(seen) - 1)
+        try:
+            page = tags if isinstance(tags, TiffError) else _page(data, tags, order, len(seen) - 1)
+        except TiffError as e:
+            page = e
+        yield page
+
+
+def read_pages(data: bytes) -> Iterator[Page]:
+    """The pages of a file in the order of its directories, up to one that can't be read."""
+    for page in read_each(data):
+        if isinstance(page, TiffError):
+            raise page
+        yield page
 
 
 def _page(data: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
@@ -324,10 +337,10 @@ def tiff_pages(df: DataFrame, content_col: str = "media") -> DataFrame:
     0), ``width``, ``height``, ``samples``, ``bits``, ``compression``,
     ``predictor``, ``pixels`` (rows from the top, samples of a pixel together,
     little-endian) and ``error``; a column of ``df`` with one of these names
-    gives way. A file that can't be read further gives one row whose ``error``
-    says why, behind the pages read so far; a null file gives one such row
-    with the error "null", an empty table nothing, repeated rows each their
-    pages.
+    gives way. A page that can't be read gives a row whose ``error`` says why,
+    and so does, behind the pages read so far, a file whose directories can't
+    be followed; a null file gives one such row with the error "null", an
+    empty table nothing, repeated rows each their pages.
     """
     ship(df.sparkSession)
     new = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
@@ -352,10 +365,14 @@ def tiff_pages(df: DataFrame, content_col: str = "media") -> DataFrame:
                 try:
                     if data is None:
                         raise TiffError("null")
-                    for p in read_pages(data):
+                    for p in read_each(data):
                         index.append(k)
+                        number += 1
+                        if isinstance(p, TiffError):
+                            rows.append((number - 1, None, None, None, None, None, None, None, str(p)))
+                            continue
                         rows.append((p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, None))
-                        number, held = number + 1, held + len(p.pixels)
+                        held += len(p.pixels)
                         if held > 1 << 23:
                             yield flush()
                             index, rows, held = [], [], 0
