@@ -1,10 +1,16 @@
-"""Byte-level BPE in Spark's own functions: encoding by ranked merges, and decoding."""
+"""Byte-level BPE in Spark's own functions: encoding by ranked merges, and decoding.
+
+While a word is folded, each of its tokens is one character, at ``TOKEN`` plus
+its id, so that a step is a few functions of strings. A pair of tokens that
+together are a token is merged into the character of that token, whose id is
+the pair's rank: the lowest rank is the least character.
+"""
 
 from __future__ import annotations
 
 import base64
-import json
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,56 +18,69 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import cut
 from tidemark.llm.vocab import default_path, read_ranks
 
-#: Places of the rank table; each holds about six tokens.
-RANK_PLACES = 8192
-#: A pair's key is its left id times this, and its right id; a prime number of places spreads the keys.
-PAIR, PAIR_PLACES = 1 << 17, 65_521
-#: Bytes up to which a word is encoded by looking all its pairs up at each step.
-SHORT = 48
+#: Tokens' characters begin here; ids end where Unicode does.
+TOKEN, IDS = 0x10000, 0x100000 - 16
+#: What stands for no rank, and what stands at both ends of a word.
+NONE, EDGE = "\U0010ffff", "\U0010fffd"
+#: Places, a power of two, of the table of pairs, most of which are empty.
+PAIR_PLACES = 1 << 18
+#: Bytes of a word that are folded at a time, and the step to the next such part of a longer word.
+PART, STRIDE = 512, 256
 #: Words that are encoded beforehand, at most, and the places of their table.
-FREQUENT, WORD_PLACES = 1 << 18, 1 << 17
+FREQUENT, WORD_PLACES = 1 << 17, 1 << 16
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), lambda v: body(v))[0]
+def _let(value: Column, body, kind: str = "string") -> Column:
+    """``body(value)`` with ``value`` computed once and not copied."""
+    return F.aggregate(F.array().cast("array<int>"), value.cast(kind), lambda v, _: v, body)
 
 
-def _rank_table(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: by a hash of the token's bytes, the tokens there and their ranks."""
-    places: list[dict] = [{"k": [], "v": []} for _ in range(RANK_PLACES)]
-    for token, rank in ranks.items():
-        place = places[xxhash.xxh64_intdigest(token, 42) % RANK_PLACES]
-        place["k"].append(base64.b64encode(token).decode())
-        place["v"].append(rank)
-    return F.from_json(F.lit(json.dumps(places, separators=(",", ":"))), "array<struct<k:array<binary>,v:array<int>>>")
+def _char(token: int) -> str:
+    return chr(TOKEN + token)
+
+
+def _place(key: Column, places: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(places - 1)).cast("int")
 
 
-def _pair_table(ranks: dict[bytes, int]) -> Column:
-    """Pairs of ids whose bytes together are a token, and its rank, as one literal: maps by the pair's key modulo ``PAIR_PLACES``."""
-    places: list[dict[str, int]] = [{} for _ in range(PAIR_PLACES)]
+def _unreached(ranks: dict[bytes, int]) -> list[bytes]:
+    """Tokens that merging their bytes, without the last merge's shortcut, doesn't give."""
+    out = []
     for token, rank in ranks.items():
+        parts = [token[k : k + 1] for k in range(len(token))]
+        while len(parts) > 1:
+            best, at = min(((ranks.get(parts[k] + parts[k + 1], IDS), k) for k in range(len(parts) - 1)), default=(IDS, 0))
+            if best == IDS:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) > 1 or ranks[parts[0]] != rank:
+            out.append(token)
+    return out
+
+
+def _tables(ranks: dict[bytes, int]) -> pa.Table:
+    """One row of tables: the pairs of token characters and what they make, by a hash; the tokens' lengths by id; the bytes' tokens; whole words that merges don't give."""
+    if max(ranks.values()) >= IDS:
+        raise ValueError(f"ids of {IDS:,} and more have no character")
+    places: list[list[tuple[str, str]] | None] = [None] * PAIR_PLACES
+    lengths = [0] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        lengths[rank] = len(token)
         for k in range(1, len(token)):
             a, b = ranks.get(token[:k]), ranks.get(token[k:])
             if a is not None and b is not None:
-                key = a * PAIR + b
-                places[key % PAIR_PLACES][str(key)] = rank
-    return F.from_json(F.lit(json.dumps(places, separators=(",", ":"))), "array<map<string,int>>").cast("array<map<bigint,int>>")
-
-
-def _byte_table(ranks: dict[bytes, int]) -> Column:
-    return F.from_json(F.lit(json.dumps([ranks[bytes((b,))] for b in range(256)])), "array<int>")
-
+                pair = _char(a) + _char(b)
+                place = xxhash.xxh64_intdigest(pair.encode(), 42) % PAIR_PLACES
+                places[place] = [*(places[place] or []), (pair, _char(rank))]
+    whole = [(base64.b64encode(t).decode(), _char(ranks[t])) for t in _unreached(ranks)]
+    pairs = pa.array([places], pa.list_(pa.map_(pa.string(), pa.string())))
+    row = {"pairs": pairs, "lengths": pa.array([lengths], pa.list_(pa.int32())), "letters": pa.array(["".join(_char(ranks[bytes((b,))]) for b in range(256))]), "whole": pa.array([whole], pa.map_(pa.string(), pa.string()))}
+    return pa.table(row)
 
-def _tables(ranks: dict[bytes, int]) -> Column:
-    if max(ranks.values()) >= PAIR:
-        raise ValueError(f"ranks of {PAIR:,} and more have no place in a pair's key")
-    return F.struct(_rank_table(ranks).alias("ranks"), _pair_table(ranks).alias("pairs"), _byte_table(ranks).alias("bytes"))
 
-
-def _value(spark: SparkSession, table: Column) -> Column:
-    """A literal table as the value of a one-row table: it reaches the tasks as one block of bytes, not as many objects."""
-    return cut(spark.range(0, 1, 1, 1).select(table.alias("t"))).scalar()
+def _value(spark: SparkSession, row: pa.Table) -> Column:
+    """A one-row table's columns as a value: they reach the tasks as one block of bytes, not as many objects."""
+    return cut(spark.createDataFrame(row).coalesce(1).select(F.struct(*row.column_names).alias("t"))).scalar()
 
 
 def _with(df: DataFrame, name: str, values: dict[str, Column], body) -> DataFrame:
@@ -78,87 +97,120 @@ def _with(df: DataFrame, name: str, values: dict[str, Column], body) -> DataFram
             own += "_"
         held[k] = own
     rows = df.withColumns({held[k]: v for k, v in values.items()})
-    return rows.withColumn(name, _let(F.struct(*[F.col(own).alias(k) for k, own in held.items()]), body)).drop(*held.values())
+    bound = F.transform(F.array(F.struct(*[F.col(own).alias(k) for k, own in held.items()])), body)[0]
+    return rows.withColumn(name, bound).drop(*held.values())
 
 
-def _piece_table(ranks: dict[bytes, int]) -> Column:
-    """The tokens' bytes by id, as one literal."""
-    pieces = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = base64.b64encode(token).decode()
-    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<binary>")
+def _rank(pair: Column, tables: Column) -> Column:
+    """The character of what a pair of characters makes, or ``NONE``."""
+    return F.coalesce(F.element_at(F.get(tables["pairs"], _place(pair, PAIR_PLACES)), pair), F.lit(NONE))
 
 
-def _rank(table: Column, token: Column) -> Column:
-    """A token's rank, or null."""
-    place = F.pmod(F.xxhash64(token), F.lit(RANK_PLACES)).cast("int")
-    return _let(F.get(table, place), lambda p: F.get(p["v"], (F.array_position(p["k"], token) - 1).cast("int")))
+def _letters(raw: Column, tables: Column) -> Column:
+    """Bytes as the characters of their tokens."""
+    return F.call_function("translate", F.decode(raw, "ISO-8859-1"), F.lit("".join(map(chr, range(256)))), tables["letters"])
 
 
-def _fold_short(raw: Column, tables: Column) -> Column:
-    """A fold over the ids of a word's pieces.
+def _fold(raw: Column, tables: Column) -> Column:
+    """A fold over the tokens of some bytes: their characters.
 
-    The state holds them and the ranks of the pairs they form, null for a
-    pair that is no token. A step replaces the leftmost pair of lowest rank,
-    whose rank is its id, and looks up the two pairs beside it.
+    The state holds them, between two edges, and the ranks of the pairs they
+    form. A step replaces the leftmost pair of lowest rank and looks up the
+    two pairs beside it; steps after the last merge leave the state as it is.
     """
 
-    def rank(a: Column, b: Column) -> Column:
-        key = a.cast("long") * PAIR + b
-        return F.element_at(F.get(tables["pairs"], (key % PAIR_PLACES).cast("int")), key)
-
     def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+        s, r = state["s"], state["r"]
 
-        def merge(i: Column) -> Column:
-            made = F.get(r, i - 1)
-            pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(made), F.slice(p, i + 2, F.size(p)))
-            # Pairs over an end of the word are looked up with a null, and are null.
-            pairs = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.when(i > 1, F.array(rank(F.get(p, i - 2), made))).otherwise(F.slice(r, F.lit(1), F.lit(0))), F.array(rank(made, F.get(p, i + 1))), F.slice(r, i + 2, F.size(r)))
-            return F.struct(pieces.alias("p"), pairs.alias("r"))
+        def merge(m: Column) -> Column:
+            def put(left: Column) -> Column:
+                def made(s: Column) -> Column:
+                    def beside(three: Column) -> Column:
+                        two = F.concat(_rank(F.substring(three, 1, 2), tables), _rank(F.substring(three, 2, 2), tables))
+                        return F.struct(s.alias("s"), F.overlay(r, two, left, F.lit(3)).alias("r"))
 
-        return F.when(F.array_min(r).isNull(), state).otherwise(_let(F.array_position(r, F.array_min(r)).cast("int"), merge))
+                    return _let(F.substring(s, left, F.lit(3)), beside)
 
-    letters = F.decode(raw, "ISO-8859-1")
-    size = F.octet_length(raw)
-    start = F.transform(F.sequence(F.lit(1), size), lambda k: F.get(tables["bytes"], F.ascii(F.substring(letters, k, F.lit(1)))))
-    state = lambda p: F.struct(p.alias("p"), F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), rank).alias("r"))
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), _let(start, state), step, lambda s: s["p"])
+                return _let(F.overlay(s, m, left + 1, F.lit(2)), made)
 
+            return F.when(m == NONE, state).otherwise(_let(F.instr(r, m) - 1, put, "int"))
 
-def _fold_long(raw: Column, table: Column) -> Column:
-    """The same for long words, in which a step touches one piece and two ranks.
+        return _let(F.array_min(F.split(r, "")), merge)
+
+    def start(s: Column) -> Column:
+        ranks = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda k: _rank(F.substring(s, k, F.lit(2)), tables))
+        return F.struct(s.alias("s"), F.array_join(ranks, "").alias("r"))
+
+    size = F.octet_length(raw)
+    whole = _let(F.concat(F.lit(EDGE), _letters(raw, tables), F.lit(EDGE)), start)
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), whole, step, lambda state: F.replace(state["s"], F.lit(EDGE), F.lit("")))
 
-    The state holds the pieces and the ranks of the pairs they form. Steps
-    after the last merge leave the state as it is.
-    """
+
+def _fold_runs(raw: Column, tables: Column) -> Column:
+    """The same with all places of the lowest rank merged in one step, from the left: as many steps with work as there are ranks."""
 
     def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+        def ranked(c: Column) -> Column:
+            pairs = F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.when(b.isNull(), F.lit(NONE)).otherwise(_rank(F.concat(a, b), tables)))
+
+            def merge(held: Column) -> Column:
+                m = held["m"]
+                marked = F.array_join(F.zip_with(c, held["r"], lambda a, r: F.when(r == m, F.concat(a, F.lit(EDGE))).otherwise(a)), "")
+                made = F.replace(F.regexp_replace(marked, F.lit(f".{EDGE}."), m), F.lit(EDGE), F.lit(""))
+                return F.when(m == NONE, F.struct(state["s"].alias("s"), F.lit(True).alias("done"))).otherwise(F.struct(made.alias("s"), F.lit(False).alias("done")))
+
+            return _let(_let(pairs, lambda r: F.struct(r.alias("r"), F.array_min(r).alias("m")), "array<string>"), merge, "struct<r:array<string>,m:string>")
+
+        return F.when(state["done"], state).otherwise(_let(F.split(state["s"], ""), ranked, "array<string>"))
 
-        def merge(i: Column) -> Column:
-            def put(made: Column) -> Column:
-                before = F.when(i > 1, F.array(_rank(table, F.concat(F.get(p, i - 2), made)))).otherwise(F.array().cast("array<int>"))
-                after = F.when(i + 1 < F.size(p), F.array(_rank(table, F.concat(made, F.get(p, i + 1))))).otherwise(F.array().cast("array<int>"))
-                pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(made), F.slice(p, i + 2, F.size(p)))
-                pairs = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.size(r)))
-                return F.struct(pieces.alias("p"), pairs.alias("r"))
+    start = F.struct(_letters(raw, tables).alias("s"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(2), F.octet_length(raw)), start, step, lambda state: state["s"])
 
-            return _let(F.concat(F.get(p, i - 1), F.get(p, i)), put)
 
-        return _let(F.array_min(r), lambda m: F.when(m.isNull(), state).otherwise(_let(F.array_position(r, m).cast("int"), merge)))
+def _id(char: Column) -> Column:
+    return F.ascii(char) - TOKEN
 
+
+def _fold_parts(raw: Column, tables: Column) -> Column:
+    """The ids of a long word, from folds of parts that overlap by half: work in proportion to its length.
+
+    Tokens in a row are what merging gives if and only if each two neighbours
+    are what merging the two's bytes gives. So where neighbouring parts have
+    the same token at the same place, the first part's tokens before it and
+    the second's from it on are those of the whole. Parts without a common
+    token, as in long runs of one letter, send the word to ``_fold_runs``.
+    """
     size = F.octet_length(raw)
-    pieces = F.transform(F.sequence(F.lit(1), size), lambda k: F.substring(raw, k, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda k: _rank(table, F.substring(raw, k, F.lit(2))))
-    start = F.struct(pieces.alias("p"), pairs.alias("r"))
-    return F.aggregate(F.sequence(F.lit(2), size), start, step, lambda s: F.transform(s["p"], lambda t: _rank(table, t)))
+
+    def part(o: Column) -> Column:
+        """A part's tokens, each as its place in the word and its id in one number."""
+        put = lambda a, c: F.struct((a["at"] + F.get(tables["lengths"], _id(c))).alias("at"), F.concat(a["out"], F.array(a["at"] * (1 << 20) + _id(c))).alias("out"))
+        start = F.struct(o.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(F.split(_fold(F.substring(raw, o + 1, F.lit(PART)), tables), ""), start, put, lambda a: a["out"])
+
+    def joined(parts: Column) -> Column:
+        def spliced(seams: Column) -> Column:
+            """``seams``: the first common token of each part and the next."""
+            own = lambda p, k: F.filter(p, lambda x: (x >= F.coalesce(F.get(seams, k - 1), F.lit(-1))) & (x < F.coalesce(F.get(seams, k), F.lit((1 << 63) - 1))))
+            ids = F.transform(F.flatten(F.transform(parts, own)), lambda x: x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
+            runs = F.transform(F.split(_fold_runs(raw, tables), ""), _id)
+            return F.when(F.exists(seams, lambda x: x.isNull()), runs).otherwise(ids)
+
+        seams = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda k: F.array_min(F.array_intersect(F.get(parts, k), F.get(parts, k + 1))))
+        return _let(seams, spliced, "array<bigint>")
+
+    return _let(F.transform(F.sequence(F.lit(0), size - STRIDE - 1, F.lit(STRIDE)), part), joined, "array<array<bigint>>")
 
 
 def encode_word(word: Column, tables: Column) -> Column:
-    """A pre-token's ids. A word that is a token needs no merge."""
-    fold = lambda b: F.when(F.octet_length(b) <= SHORT, _fold_short(b, tables)).otherwise(_fold_long(b, tables["ranks"]))
-    return _let(word.cast("binary"), lambda b: _let(_rank(tables["ranks"], b), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(b))))
+    """A pre-token's ids. A word that is a token is that one, also if merges don't give it."""
+
+    def of(raw: Column) -> Column:
+        own = F.element_at(tables["whole"], F.base64(raw))
+        short = F.transform(F.split(_fold(raw, tables), ""), _id)
+        return F.when(own.isNotNull(), F.array(_id(own))).when(F.octet_length(raw) <= PART, short).otherwise(_fold_parts(raw, tables))
+
+    return _let(word.cast("binary"), of, "binary")
 
 
 def as_text(ids: Column) -> Column:
@@ -188,7 +240,7 @@ def frequent_words(words: DataFrame, tables: Column, most: int = FREQUENT) -> Co
             break
         least = row["level"]
     chosen = counts.where(level >= least) if least is not None else counts.where("false")
-    place = F.pmod(F.xxhash64("word"), F.lit(WORD_PLACES)).cast("int")
+    place = _place(F.col("word"), WORD_PLACES)
     encoded = _with(chosen.select(place.alias("place"), "word"), "ids", {"tables": tables}, lambda v: as_text(encode_word(F.col("word"), v["tables"])))
     maps = encoded.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("m"))
     every = counts.sparkSession.range(WORD_PLACES).select(F.col("id").cast("int").alias("place")).join(maps, "place", "left")
@@ -217,8 +269,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks: s
 
     def ids_of(values: Column) -> Column:
         def one(word: Column) -> Column:
-            place = F.pmod(F.xxhash64(word), F.lit(WORD_PLACES)).cast("int")
-            return F.coalesce(F.element_at(F.get(values["seen"], place), word), as_text(encode_word(word, values["tables"])))
+            return F.coalesce(F.element_at(F.get(values["seen"], _place(word, WORD_PLACES)), word), as_text(encode_word(word, values["tables"])))
 
         return F.array_join(F.transform(words, lambda w: one(w)), " ")
 
@@ -230,19 +281,29 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks: s
     return out if text_ids_col else out.drop(digits)
 
 
-def decode(ids: Column, ranks: str | None = None) -> Column:
-    """The bytes of token ids, one binary piece behind the other; null for null."""
-    pieces = _piece_table(read_ranks(ranks or default_path("byte_bpe_50k.tiktoken")))
-    # Hexadecimal pieces are joined in one pass; adding them to a growing value would copy it each time.
-    return _let(pieces, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.hex(F.get(t, i))), "")))
+def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "bytes", ranks: str | None = None) -> DataFrame:
+    """``df`` with the bytes of the token ids in ``bytes_col``, one binary piece behind the other; null for null."""
+    known = read_ranks(ranks or default_path("byte_bpe_50k.tiktoken"))
+    pieces: list[str | None] = [None] * (max(known.values()) + 1)
+    for token, rank in known.items():
+        pieces[rank] = token.hex()
+    table = _value(df.sparkSession, pa.table({"pieces": pa.array([pieces], pa.list_(pa.string()))}))
+    # Hexadecimal pieces are joined in one pass; adding binary ones to a growing value would copy it each time.
+    return _with(df, bytes_col, {"pieces": table}, lambda v: F.unhex(F.array_join(F.transform(F.col(f"`{ids_col}`"), lambda i: F.get(v["pieces"]["pieces"], i)), "")))
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """Per row its number of tokens and the digests of its ids and of the bytes they decode to."""
-    rows = encode(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "text", "ids", ranks, frequent=frequent, text_ids_col="digits")
+    """Per row its number of tokens and the digests of its ids and of the bytes they decode to.
+
+    A null text counts as empty: no tokens, the digests of no bytes. A null id
+    stays null; repeated rows each give a row; an empty table gives an empty
+    result. Only the two columns are read, so others may have any name.
+    """
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = decode(encode(rows, "text", "ids", ranks, frequent=frequent, text_ids_col="digits"), "ids", "bytes", ranks)
     return rows.select(
         F.col("id").alias(id_col),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.col("digits").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )
