@@ -13,14 +13,9 @@ def _digest(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-#: Edges up to which a node's edges are dealt to one task, where a round needs three exchanges; beyond, a round takes five, which can be split.
-FEW = 5_000_000
-
-
-def _hung(edges: DataFrame, few: bool) -> DataFrame:
-    """(a, b, m): edges with the least neighbour of ``a``, partitioned by it."""
-    dealt = edges.repartition("a") if few else edges
-    return dealt.join(dealt.groupBy("a").agg(F.min("b").alias("m")), "a")
+def _hung(edges: DataFrame) -> DataFrame:
+    """(a, b, m): edges with the least neighbour of ``a``."""
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -33,8 +28,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     number of rounds logarithmic in the longest path only stars are left.
 
     A node's minimum is joined back to the edges, so a node with millions of
-    edges is no list in any task; of many edges it is aggregated before the
-    shuffle, and the join's partitions can be split. Each round's edges go to
+    edges is no list in any task; it is aggregated before the shuffle, and the
+    join's partitions can be split. Each round's edges go to
     the shared folder, which cuts the lineage. Null ends and self-loops are
     no edges; an empty table has no nodes.
     """
@@ -42,10 +37,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     now = cut(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(a, b).distinct())
     seen = _digest(now)
     while seen[0]:
-        few = seen[0] <= FEW
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _hung(both, few).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        small = _hung(large, few)
+        large = _hung(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        small = _hung(large)
         ends = F.explode(F.array(F.col("a"), F.when(F.col("b") != F.col("m"), F.col("b")))).alias("a")
         after = cut(small.select(ends, F.col("m").alias("b")).where("a is not null").distinct())
         digest = _digest(after)
