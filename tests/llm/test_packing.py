@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -65,3 +65,11 @@ def test_edges(spark):
     assert pack(df.limit(0)).count() == 0
     twice = df.unionAll(df).unionAll(spark.createDataFrame([(None, "x", 1)] * 2, df.schema))
     assert sum(r.length for r in pack(twice, capacity=16).collect()) == 2 * sum(r.length for r in rows) + 4
+
+
+def test_one_id_in_many_rows(spark):
+    """Rows with one id, equal ones too, are spread over the groups."""
+    df = spark.createDataFrame([(7, f"text number {k % 50}") for k in range(2000)], "doc_id long, text string").repartition(8)
+    rows = pack(df, group_size=100).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 2000 and len(sizes) == 20 and max(sizes.values()) < 300

@@ -69,3 +69,13 @@ def test_edges(spark):
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 0), (99, 1)], "doc_id long, quality int")
     assert all(0 <= r.score <= 1 for r in quality_scores(docs, odd).collect())
     assert quality_scores(docs.limit(0), odd).count() == 0
+
+
+def test_few_labels(spark):
+    """Eight labels that tell good from bad are enough for an order, though not for a calibration."""
+    good, bad = "The committee met on Tuesday and agreed on the budget for the coming year. ", "$$$ CLICK!!! >>> 123 ### "
+    docs = spark.createDataFrame([(k, (good if k % 2 else bad) * (3 + k % 3)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    rows = quality_scores(docs, labels).collect()
+    low, high = max(r.score for r in rows if not r.doc_id % 2), min(r.score for r in rows if r.doc_id % 2)
+    assert low < high and all(0 <= r.score <= 1 for r in rows)

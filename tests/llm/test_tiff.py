@@ -120,3 +120,24 @@ def test_pages_behind_a_bad_one(spark):
     assert [(r.id, r.page) for r in rows] == [(k, n) for k in range(4) for n in range(4)]
     assert [(r.id, r.page) for r in rows if r.error is not None] == [(1, 1), (2, 2), (3, 0)]
     assert all(bytes(r.pixels) == pages[r.page].tobytes() for r in rows if r.error is None)
+
+
+def test_damaged_headers_give_error_rows(spark):
+    """Signed, textual and huge sizes, and segments that are short or nowhere: an error each, and no memory taken for it."""
+    good = write_pages([np.arange(192, dtype=np.uint8).reshape(8, 8, 3)])
+
+    def with_tag(tag, kind, value):
+        out = bytearray(good)
+        at = struct.unpack_from("<I", out, 4)[0]
+        for k in range(struct.unpack_from("<H", out, at)[0]):
+            place = at + 2 + 12 * k
+            if struct.unpack_from("<H", out, place)[0] == tag:
+                struct.pack_into("<HHI4s", out, place, tag, kind, 1, value)
+        return bytes(out)
+
+    files = [with_tag(tag, kind, value) for tag in (256, 257, 277) for kind, value in ((9, struct.pack("<i", -5)), (2, b"a\0\0\0"), (4, b"\xff\xff\xff\x7f"), (4, bytes(4)))]
+    files += [with_tag(273, 9, struct.pack("<i", -8)), with_tag(279, 4, b"\1\0\0\0"), with_tag(259, 3, b"\x39\5\0\0"), with_tag(258, 2, b"x\0\0\0"), good[:-3], b"", b"II*\0"]
+    df = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate([*files, good])], "k int, media binary")
+    rows = tiff_pages(df).collect()
+    assert sorted(r.k for r in rows) == list(range(len(files) + 1))
+    assert all((r.error is None) == (r.k == len(files)) for r in rows)

@@ -1,3 +1,4 @@
+import json
 import random
 
 import public_tokenizers as P
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm.frames import read
-from tidemark.llm.merging import TextEncoder
+from tidemark.llm.merging import TextEncoder, encoder_of
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.vocab import read_json_bpe
 
@@ -62,3 +63,15 @@ def test_edges(spark):
     got = sorted(map(tuple, token_counts(df).collect()), key=str)
     assert got == sorted([(1, 0, 0, False), (1, 0, 0, False), (None, 8, 2, False), (2, 0, 0, False)], key=str)
     assert token_counts(df.limit(0)).count() == 0
+
+
+def test_vocabularies_that_agree_in_their_counts_are_told_apart(tmp_path):
+    """Two files with as many merges and the same last one have an encoder each."""
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    own = tmp_path / "own.json"
+    own.write_text(json.dumps(spec), encoding="utf-8")
+    a, b = (encoder_of(read_json_bpe(path), P.PATTERN) for path in (P.path("byte_bpe_50k.json"), str(own)))
+    assert a is not b and a is encoder_of(read_json_bpe(P.path("byte_bpe_50k.json")), P.PATTERN)

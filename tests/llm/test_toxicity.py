@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -65,3 +66,24 @@ def test_filter_on_more_labels(spark):
     gone = set(marks) - kept
     assert sum(marks[k] for k in gone) >= 0.9 * sum(marks.values())
     assert sum(1 - marks[k] for k in gone) <= 0.002 * len(marks)
+
+
+def test_equal_texts_with_different_labels(spark):
+    """A text counts once, with its mean label, whatever the order of the rows."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    rows, marks = [], []
+    for k in range(300):
+        toxic = k % 3 == 0
+        rows.append((k, " ".join(rng.choices(words, k=20)) + (" you vilething" if toxic else "")))
+        marks.append((k, int(toxic)))
+    rows += [(300 + k, rows[0][1]) for k in range(9)]
+    marks += [(300 + k, k % 2) for k in range(9)]
+    schema = "doc_id long, text string", "doc_id long, toxic int"
+    scores = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        random.Random(seed).shuffle(marks)
+        out = toxicity(spark.createDataFrame(rows, schema[0]).repartition(seed + 2), spark.createDataFrame(marks, schema[1]))
+        scores.append({r.doc_id: r.score for r in out.collect()})
+    assert scores[0] == scores[1]

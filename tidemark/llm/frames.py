@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one under /tmp only where the session names none, as in tests."""
+    """The folder that all executors see; one under /tmp only where the session names none and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("name a folder that all executors see in spark.checkpoint.dir")
     if not named:
         named = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     if sc.getCheckpointDir() is None:
@@ -29,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more: it does so when the driver collects its garbage."""
     gc.collect()

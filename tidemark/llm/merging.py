@@ -207,12 +207,12 @@ class TextEncoder:
                 yield row[begin:end]
 
 
-_ENCODERS: dict[int, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
 def encoder_of(spec: dict, pattern: str) -> TextEncoder:
     """One encoder for each vocabulary and Python worker."""
-    key = hash((pattern, len(spec["merges"]), tuple(spec["merges"][-1]) if spec["merges"] else (), tuple(spec["special"])))
+    key = (pattern, spec["digest"])
     if key not in _ENCODERS:
         _ENCODERS[key] = TextEncoder(spec, pattern)
     return _ENCODERS[key]

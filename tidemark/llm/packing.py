@@ -84,24 +84,23 @@ def pieces_of(df: DataFrame, capacity: int, end_id: int, vocabulary: str | None)
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, group_size: int = 4096, vocabulary: str | None = None, seed: int = 17) -> DataFrame:
     """Pieces of all documents, placed gaplessly into sequences of ``capacity`` ids.
 
-    Documents are dealt into groups of about ``group_size`` by a seeded hash
-    of id and text, and each group is packed by itself, first-fit decreasing;
-    so a group is of one size whatever the table's, and a lost task packs its
+    Pieces are dealt into groups, one for each ``group_size`` documents, by a
+    seeded hash of id, place and content and by the partition they are read
+    in, and each group is packed by itself, first-fit decreasing; so a group
+    is of about one size whatever the table's, and a lost task packs its
     group again to the same result. What is dealt are the pieces' numbers,
     never ids or texts. A sequence belongs to one group: its id holds the
     group and the bin.
 
     A null text is an empty document, that is one piece with the end id
-    alone. Null ids and repeated rows are documents of their own; equal rows
-    meet in one group, where any order of them packs alike. An empty table
+    alone. Null ids and repeated rows are documents of their own; equal pieces
+    of one group are packed in any order, which makes no difference. An empty table
     gives no pieces.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     groups = max(1, -(-df.count() // group_size))
-    # Rows without an id, or with the same, are dealt by what is cut from them.
-    dealt = pieces_of(rows, capacity, end_id, vocabulary).withColumn(
-        "pack_group", F.pmod(F.xxhash64(F.lit(seed), "id", F.when(F.col("id").isNull(), F.col("ids_crc32"))), F.lit(groups))
-    )
+    # By what is cut from a row too, and by where it is read: so rows with one id, or equal ones, are not one group.
+    dealt = pieces_of(rows, capacity, end_id, vocabulary).withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "id", "start", "ids_crc32", F.spark_partition_id()), F.lit(groups)))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "start", "ids_crc32", "length"], kind="stable", ignore_index=True)

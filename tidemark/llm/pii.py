@@ -15,7 +15,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: Kinds in the order in which they are tried at a place of the text. Quantifiers have ends or are possessive.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![\w-])",
+    "email": r"(?<![\p{L}\p{M}\p{N}_.%+-])[\p{L}\p{M}\p{N}_.%+-]{1,64}+@(?:[\p{L}\p{M}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}(?![\p{L}\p{M}\p{N}_-])",
     "secret": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?<!\w)(?i:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?(?=[\w+/-]{0,80}\d)[\w+/-]{8,}+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+(?!\w)|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?!\w|[-/.]\d))",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
@@ -27,7 +27,10 @@ PATTERNS = {
 #: The dates' back references hold here too, as no kind before them has a capturing group.
 ANY = "|".join(PATTERNS.values())
 #: What each kind holds at least one of; texts without are left as they are after one quick look.
-HINT = r"[0-9@]"
+HINT = r"[0-9@]|AKIA"
+
+#: A country code at the start of an international number: fixed values of the numbering plan, of one or two digits, or else three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 ROUNDS = 8
 #: Days of the years 1900 to 2099, 73,049, as the product of the two sides of their Feistel network.
@@ -50,15 +53,36 @@ def _moved(char: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
     out = char
     for letters in reversed(alphabets):
         place = F.instr(F.lit(letters), char)
-        out = F.when((F.length(char) > 0) & (place > 0), F.substr(F.lit(letters), (place - 1 + by) % len(letters) + 1, F.lit(1))).otherwise(out)
+        fits = (F.length(char) > 0) if letters.isascii() else (F.octet_length(char) > 1)
+        out = F.when(fits & (place > 0), F.substr(F.lit(letters), (place - 1 + by) % len(letters) + 1, F.lit(1))).otherwise(out)
     return out
 
 
+def _bare(value: Column) -> Column:
+    """The digits of a number, so that equal numbers are linked however they are written."""
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
+def _relaid(value: Column, digits: Column) -> Column:
+    """``value`` with ``digits`` in the places of its own."""
+    at = lambda k: F.length(_bare(F.substr(value, F.lit(1), k)))
+    char = lambda k: F.substr(value, k, F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda k: F.when(char(k).rlike("[0-9]"), F.substr(digits, at(k), F.lit(1))).otherwise(char(k))), "")
+
+
 DIGITS = ("0123456789",)
 HEX = ("0123456789abcdef",)
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def _letters(first: int, last: int) -> str:
+    return "".join(c for c in map(chr, range(first, last + 1)) if c.isalpha())
+
+
+#: Letters of further scripts: Latin (lower, capital, extended), Greek, Cyrillic, Kana, Hangul, Han.
+SCRIPTS = tuple(_letters(a, b) for a, b in ((0xDF, 0xFF), (0xC0, 0xDE), (0x100, 0x17F), (0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0xAC00, 0xD7A3), (0x4E00, 0x9FA5)))
+
+
 def permute_chars(value: Column, key: str, tweak: Column, alphabets: tuple[str, ...]) -> Column:
     """A Feistel network over a string: each character stays in its alphabet, others stay what they are.
 
@@ -145,7 +169,8 @@ def _card(value: Column, key: str) -> Column:
         return F.concat(moved, F.pmod(10 - luhn_rest(F.concat(moved, F.lit("0"))), F.lit(10)).cast("string"))
 
     def made(card: Column) -> Column:
-        return _let(permute_chars(F.substr(card, F.lit(1), F.length(card) - 1), key, F.lit("card"), DIGITS), finished)
+        whole = _let(permute_chars(F.substr(_bare(card), F.lit(1), F.length(_bare(card)) - 1), key, F.lit("card"), DIGITS), finished)
+        return _let(whole, lambda digits: _relaid(card, digits))
 
     return _start_made(value, 13, lambda card: luhn_rest(card) == 0, made)
 
@@ -223,14 +248,17 @@ def _secret(value: Column, key: str) -> Column:
 
 
 def _email(value: Column, key: str) -> Column:
-    end = F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1)
-    return F.concat(permute_chars(F.substr(value, F.lit(1), F.length(value) - F.length(end)), key, F.lit("email"), CLASSES), end)
+    end = F.regexp_extract(value, r"(\.\p{L}+)$", 1)
+    return F.concat(permute_chars(F.substr(value, F.lit(1), F.length(value) - F.length(end)), key, F.lit("email"), CLASSES + SCRIPTS), end)
 
 
 def _phone(value: Column, key: str) -> Column:
-    digits = F.length(F.regexp_replace(value, r"\D", ""))
-    head = F.regexp_extract(value, r"^(\+\d{1,3}(?=\D)|\+\d)", 1)
-    return F.when((digits >= 8) & (digits <= 15), F.concat(head, permute_chars(F.substr(value, F.length(head) + 1), key, F.lit("phone"), DIGITS)))
+    def made(digits: Column) -> Column:
+        head = F.when(value.startswith("+"), F.regexp_extract(digits, COUNTRY, 0)).otherwise("")
+        moved = F.concat(head, permute_chars(F.substr(digits, F.length(head) + 1), key, F.lit("phone"), DIGITS))
+        return F.when(F.length(digits).between(8, 15), _let(moved, lambda d: _relaid(value, d)))
+
+    return _let(_bare(value), made)
 
 
 _MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -255,7 +283,10 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "change me",
     digits), IPv4 addresses, dates from 1900 to 2099, social security
     numbers, card numbers (with a right Luhn digit) and telephone numbers
     (but the country code) that pass their kind's validation give way to
-    their pseudonym under ``key``; numbers that fail it stay. One narrow
+    their pseudonym under ``key``; numbers that fail it stay. Cards, IBANs
+    and telephone numbers keep their separators, which don't enter the
+    pseudonym. In mail names letters of Latin, Greek, Cyrillic, Kana, Hangul
+    and Han move within their script. One narrow
     pass of JVM functions: no shuffle, no state, so repeated rows and any
     skew are harmless and links between documents need no lookup.
 

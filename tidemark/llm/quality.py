@@ -125,12 +125,15 @@ def held_out(id_col: Column, folds: int, out: int) -> Column:
 
 
 BINS = 2048
+#: Rows that a calibration needs.
+LEAST = 30
 
 
 def fit(features: DataFrame, labels: DataFrame, id_col: str, label_col: str, usable: Column, width: int = 192, bandwidth: float = 6.0, ridge: float = 1e-3, seed: int = 5):
     """The scoring function (matrix of statistics to scores), learnt from all usable labelled rows.
 
-    A tenth of these, by a hash of the id, is left for the calibration. The
+    A tenth of these, by a hash of the id, is left for the calibration; if it
+    holds fewer than ``LEAST`` rows, or labels of one kind, there is none. The
     driver sees sums, one matrix and ``BINS`` counts, whatever the number of rows.
     """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
@@ -163,6 +166,8 @@ def fit(features: DataFrame, labels: DataFrame, id_col: str, label_col: str, usa
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used, 0]), pa.array(total[used, 1])], ["bin", "n", "y"])
 
     counted = rows.where("late").select("x", "y").mapInArrow(bins, "bin long, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).toPandas()
+    if counted["n"].sum() < LEAST or counted["y"].sum() in (0, counted["n"].sum()):
+        return lambda x: np.clip(raw(x), 0.0, 1.0)  # too few to calibrate on; the regression's own scores
     knots = isotonic((counted["bin"].to_numpy() + 0.5) / BINS * 3 - 1, counted["y"].to_numpy(), counted["n"].to_numpy())
     return lambda x: calibrated(raw(x), knots)
 

@@ -31,6 +31,8 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 284, 317,
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 
 CLEAR, END = 256, 257
+#: Bytes that one stored byte gives at most; the last strip of a page may be shorter than the others.
+MOST = {PLAIN: 2, LZW: 8192, DEFLATE: 2064, OLD_DEFLATE: 2064, PACKBITS: 128}
 
 
 class TiffError(ValueError):
@@ -229,6 +231,8 @@ def read_each(data: bytes) -> Iterator[Page | TiffError]:
             page = tags if isinstance(tags, TiffError) else _page(data, tags, order, len(seen) - 1)
         except TiffError as e:
             page = e
+        except (ValueError, TypeError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
+            page = TiffError(f"a page is damaged: {e}")
         yield page
 
 
@@ -244,7 +248,8 @@ def _page(data: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-    if not width or not height or not samples:
+    numbers = [v for tag in (WIDTH, HEIGHT, SAMPLES, TILE_WIDTH, TILE_HEIGHT, ROWS_PER_STRIP) for v in tags.get(tag, ())]
+    if not width or not height or not samples or not all(isinstance(v, int) and v > 0 for v in numbers):
         raise TiffError("a page has no size")
     if bits not in (8, 16, 32) or len(set(tags.get(BITS, (8,)))) > 1 or predictor not in (1, HORIZONTAL, FLOATING):
         raise TiffError(f"{bits} bits a sample, predictor {predictor}")
@@ -262,10 +267,14 @@ def _page(data: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
     columns, rows = -(-width // across), -(-height // down)
     if len(offsets) != columns * rows * planes or len(sizes) != len(offsets):
         raise TiffError(f"{len(offsets)} segments, not {columns * rows * planes}")
+    if not all(isinstance(v, int) and v >= 0 for v in (*offsets, *sizes)):
+        raise TiffError("a segment has no place")
+    if any(begin + size > len(data) for begin, size in zip(offsets, sizes, strict=True)):
+        raise TiffError("a segment lies outside the file")
+    if columns * rows * planes * down * across * depth * bits // 8 > sum(sizes) * MOST.get(compression, 1):
+        raise TiffError("the segments are too short for the page")
     image = np.empty((height, width, samples), kind.newbyteorder("="))
     for k, (begin, size) in enumerate(zip(offsets, sizes, strict=True)):
-        if begin + size > len(data):
-            raise TiffError("a segment lies outside the file")
         plane, place = divmod(k, columns * rows)
         y, x = place // columns * down, place % columns * across
         tall = down if TILE_WIDTH in tags else min(down, height - y)
@@ -402,7 +411,7 @@ def store(payload: bytes) -> bytes:
     form = zlib.crc32(payload) % 16
     if form == 0:
         return write_pages(pages, PACKBITS, 1, order=">")
-    if form == 1 and len(payload) <= 8 * ROW:  # the LZW coder goes byte by byte in Python
+    if form == 1:
         return write_pages(pages, LZW, HORIZONTAL)
     if form == 2:
         return write_pages(pages, DEFLATE, HORIZONTAL, tile=(16, 64))

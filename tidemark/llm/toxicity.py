@@ -173,7 +173,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """A model of the labelled rows that are not held out, ``most`` of them at most.
 
     Of more, about as many are taken by a hash of the id; only their ids are
-    broadcast. The texts stay on the executors; the driver gets the best
+    broadcast. Equal texts count as one, with their mean label. The texts stay on the executors; the driver gets the best
     entries and the sample's features, ``FEATURES`` numbers a row. Features
     of a fold's rows come from a lexicon mined without them, and calibration
     scores from trees grown without them.
@@ -184,10 +184,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     # Hashes are uniform, so the bound is kept by the share of them that is taken.
     n = usable.count()
     place = F.pmod(F.xxhash64(F.lit(31), "id"), F.lit(1 << 30))
-    chosen = usable.where(place < int(min(1.0, 0.97 * most / max(n, 1)) * (1 << 30))).limit(most)
+    chosen = usable.where(place < int(min(1.0, 0.97 * most / max(n, 1)) * (1 << 30))).orderBy(place, "id").limit(most)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Copies of a text teach once.
-    sample = texts.join(F.broadcast(chosen), "id").where(F.col("text").isNotNull()).withColumn("same", F.xxhash64("text")).dropDuplicates(["same"])
+    # Copies of a text teach once, with their mean label.
+    known = texts.join(F.broadcast(chosen), "id").where(F.col("text").isNotNull()).withColumn("same", F.xxhash64("text"))
+    sample = known.groupBy("same").agg(F.min("id").alias("id"), F.min("text").alias("text"), (F.avg("y") >= 0.5).cast("int").alias("y"))
     sample = cut(sample.select("id", "text", "y", F.pmod(F.col("same"), F.lit(FOLDS)).cast("int").alias("fold")).repartition(sample.sparkSession.sparkContext.defaultParallelism))
     lexica = mined(sample)
     models = sample.sparkSession.sparkContext.broadcast(lexica)
@@ -236,13 +237,27 @@ def toxicity_scores(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, out: int = 0) -> DataFrame:
-    """Fit and score: per row its id, whether it is held out, its score and the predicted label."""
+    """Fit and score: per row its id, whether it is held out, its score and the predicted label.
+
+    Null texts count as empty and are scored; a null id is scored and not held
+    out; null labels and labels without a document don't count, and several
+    labels of one id count as their mean. Repeated rows each give a row;
+    without any usable label each score is 0.5; an empty table gives an empty
+    result. Only the id and the text are read, so others may have any name.
+    """
     scored = toxicity_scores(df, fit(df, labels, id_col, text_col, label_col, folds, out), id_col, text_col)
     return scored.select(id_col, held_out(F.col(id_col), folds, out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``df`` whose text scores below ``threshold``, all columns as they are."""
+    """The rows of ``df`` whose text scores below ``threshold``, all columns as they are.
+
+    Null texts are scored as empty ones; repeated rows stay or go together; an
+    empty table stays empty. A model that saw labels of one kind only, or
+    none, can't tell texts apart: all rows stay.
+    """
+    if model.trees is None:
+        return df
     ship(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 
 
@@ -24,9 +25,10 @@ def printable_bytes() -> dict[str, int]:
 
 
 def read_json_bpe(path: str) -> dict:
-    """Parts of a byte-level BPE file: byte ids, merges as id pairs, special strings."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    """Parts of a byte-level BPE file: byte ids, merges as id pairs, special strings; and the file's digest."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    spec = json.loads(raw)
     vocab = spec["model"]["vocab"]
     alphabet = printable_bytes()
     byte_ids = [0] * 256
@@ -37,7 +39,7 @@ def read_json_bpe(path: str) -> dict:
         left, right = pair.split(" ") if isinstance(pair, str) else pair
         merges.append((vocab[left], vocab[right], vocab[left + right]))
     special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
-    return {"byte_ids": byte_ids, "merges": merges, "special": special}
+    return {"digest": hashlib.sha256(raw).hexdigest(), "byte_ids": byte_ids, "merges": merges, "special": special}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
