@@ -144,3 +144,13 @@ def dataset_fingerprint(samples: DataFrame) -> DataFrame:
     row = F.concat_ws(":", F.unix_micros("observed_at").cast("string"), F.round(F.col("observed_value") * 1_000_000).cast("long").cast("string"))
     rows = samples.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct(F.col("observed_at").alias("t"), row.alias("r")))).alias("rows"))
     return rows.select(*SERIES, F.sha2(F.array_join(F.transform("rows", lambda x: x["r"]), "\n"), 256).alias("fingerprint"))
+
+
+def comparison_fingerprint(origins: DataFrame, forecasts: DataFrame, most: int) -> DataFrame:
+    """Per series a SHA-256 over what a comparison rests on: its origins, their maxima and each model's forecast, in order."""
+    chosen = evenly(origins, most, SERIES, "origin").select(*SERIES, "origin", "actual")
+    rows = chosen.join(forecasts.select(*SERIES, "origin", "model", "upper"), [*SERIES, "origin"])
+    micro = lambda c: F.round(F.col(c) * 1_000_000).cast("long").cast("string")
+    row = F.concat_ws(":", F.unix_micros("origin").cast("string"), micro("actual"), "model", micro("upper"))
+    lists = rows.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("origin", "model", row.alias("r")))).alias("rows"))
+    return lists.select(*SERIES, F.sha2(F.array_join(F.transform("rows", lambda x: x["r"]), "\n"), 256).alias("fingerprint"))

@@ -7,13 +7,14 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.store import latest_per
+from tidemark.operators.store import append_audit, latest_per
 from tidemark.schema import SERIES, finite
 
 #: Fixed value: slack of all comparisons.
 SLACK = 1e-9
 #: The rungs of the ladder in their order, and what a candidate is measured against.
-LADDER = ("invalid_policy", "candidate_safety_gate_failed", "incomparable_reference", "underprediction_regression", "safe_baseline_equivalent", "insufficient_loss_improvement", "paired_evaluation_passed")
+INVALID_POLICY, UNSAFE, INCOMPARABLE, REGRESSION = "invalid_policy", "candidate_safety_gate_failed", "incomparable_reference", "underprediction_regression"
+EQUIVALENT, NO_GAIN, PASSED = "safe_baseline_equivalent", "insufficient_loss_improvement", "paired_evaluation_passed"
 CHAMPION, BASELINE = "active_champion", "deterministic_baseline"
 #: Reasons that take a candidate out for good.
 TERMINAL = ("incompatible_contract", "candidate_expired", "invalid_artifact", "invalid_training_boundary")
@@ -67,17 +68,19 @@ def promotion(candidate: Column, champion: Column, baseline: Column, q: Column,
     reference = F.when(champion.isNotNull(), champion).otherwise(baseline)
     name = F.when(champion.isNotNull(), CHAMPION).otherwise(BASELINE)
     worse = lambda c: candidate[c] > reference[c] + SLACK
-    out = lambda promote, reason, named: F.struct(F.lit(promote).alias("promote"), F.lit(reason).alias("reason"), (name if named else F.lit(None).cast("string")).alias("reference"))
     not_true = lambda c: ~F.coalesce(c, F.lit(False))
-    return (
-        F.when(not_true(finite(q) & (q > 0) & (q < 1)), out(False, LADDER[0], False))
-        .when(not_true(safe_metrics(candidate, q, p)), out(False, LADDER[1], False))
-        .when(not_true(valid_metrics(reference) & (reference["windows"] == candidate["windows"])), out(False, LADDER[2], False))
-        .when(worse("mean_underprediction") | worse("peak_mean_underprediction") | worse("underprediction_rate"), out(False, LADDER[3], True))
-        .when(champion.isNull() & (candidate["pinball"] <= SLACK) & (reference["pinball"] <= SLACK), out(True, LADDER[4], True))
-        .when(candidate["pinball"] >= reference["pinball"] * (1 - p.minimum_improvement) - SLACK, out(False, LADDER[5], True))
-        .otherwise(out(True, LADDER[6], True))
+    # One expression says which rung it is; the rest follows from that.
+    rung = (
+        F.when(not_true(finite(q) & (q > 0) & (q < 1)), INVALID_POLICY)
+        .when(not_true(safe_metrics(candidate, q, p)), UNSAFE)
+        .when(not_true(valid_metrics(reference) & (reference["windows"] == candidate["windows"])), INCOMPARABLE)
+        .when(worse("mean_underprediction") | worse("peak_mean_underprediction") | worse("underprediction_rate"), REGRESSION)
+        .when(champion.isNull() & (candidate["pinball"] <= SLACK) & (reference["pinball"] <= SLACK), EQUIVALENT)
+        .when(candidate["pinball"] >= reference["pinball"] * (1 - p.minimum_improvement) - SLACK, NO_GAIN)
+        .otherwise(PASSED)
     )
+    named = F.when(~rung.isin(INVALID_POLICY, UNSAFE, INCOMPARABLE), name)
+    return F.struct(rung.isin(EQUIVALENT, PASSED).alias("promote"), rung.alias("reason"), named.alias("reference"))
 
 
 def may_revalidate(active: Column, baseline: Column, q: Column, p: EvaluationPolicy = EvaluationPolicy()) -> Column:
@@ -120,64 +123,139 @@ def model_validity(models: DataFrame) -> DataFrame:
     return models.where("status = 'active'").withColumn("valid_from", F.greatest("activated_at", validated))
 
 
+#: What a model was made for and an evaluation is about. A model without one is from before there were any.
+CONTRACT = "struct<version:string,policy_revision:string,horizon_s:bigint,interval_s:bigint,season_s:bigint,quantile:double,timezone:string>"
+CONTRACT_VERSION = "1"
+
+
+def evaluation_contract(season_s: int) -> Column:
+    """The contract of a row of declared contracts, for all of its decision horizon."""
+    horizon = F.col("horizon_s") + F.coalesce("startup_s", F.lit(0)) + F.coalesce("buffer_s", F.lit(0))
+    return F.struct(F.lit(CONTRACT_VERSION).alias("version"), F.col("policy_revision"), horizon.cast("long").alias("horizon_s"), F.col("interval_s").cast("long").alias("interval_s"), F.lit(season_s).cast("long").alias("season_s"), F.col("quantile").cast("double").alias("quantile"), F.col("timezone"))
+
+
 def comparable_contract(a: Column, b: Column) -> Column:
     """Contracts that may be compared: equal but for the policy revision."""
     blank = lambda c: c.withField("policy_revision", F.lit(""))
     return blank(a).eqNullSafe(blank(b))
 
 
-def evaluation_plan(models: DataFrame, now: Column, p: EvaluationPolicy = EvaluationPolicy()) -> DataFrame:
-    """Per series, what its evaluation run would look at, and the reason where it can't.
+def artifact_intact(quantile: Column) -> Column:
+    """Whether a model's artifact is what its digest says and, if it names a quantile, made for this one."""
+    own = F.get_json_object(F.decode("artifact", "UTF-8"), "$.quantile").try_cast("double")
+    return F.coalesce(F.sha2("artifact", 256) == F.col("artifact_sha256"), F.lit(False)) & (own.isNull() | (F.abs(own - quantile) <= SLACK))
+
 
-    A series' candidate is the target if it has one that is old enough to
-    have evidence after its training, else the active model is revalidated; a
-    candidate past its expiry is withheld as expired.
+def evaluation_plan(models: DataFrame, contracts: DataFrame, now: Column, season_s: int, p: EvaluationPolicy = EvaluationPolicy()) -> DataFrame:
+    """Per series with an active contract, what its evaluation run looks at, and the ``reason`` where it can't.
+
+    The candidate is the target, unless its last report is newer than the
+    active model's: then that one has its turn, so that neither starves the
+    other. The champion is the active model if it is of the target's engine,
+    intact and made for a comparable contract. An active model may give way to
+    ``previous_id``, the model it followed by its own report, if that one is
+    retired and was made for the same contract. Evidence begins behind all
+    that these models have seen, for a return behind the activation too, and
+    no earlier than the policy's window. A policy that is off plans nothing.
     """
-    picked = evaluation_candidates(models)
-    wide = picked.groupBy(*SERIES).agg(
-        F.max(F.when(F.col("status") == "candidate", F.struct("created_at", "model_id", "trained_until"))).alias("candidate"),
-        F.max(F.when(F.col("status") == "active", F.struct("created_at", "model_id", "trained_until"))).alias("champion"),
-        F.max(F.when(F.col("status") == "retired", F.struct("created_at", "model_id", "trained_until"))).alias("previous"),
-    )
+    rows = contracts.where("status = 'active'").select(*SERIES, F.col("engine").alias("own_engine"), "policy_revision", evaluation_contract(season_s).alias("contract"))
+    if p.mode == "off":
+        rows = rows.where("false")
+    report = lambda path: F.get_json_object("validation_metrics", f"$.promotion.{path}")
+    made_for = F.from_json(F.get_json_object("hyperparameters", "$.evaluation_contract"), CONTRACT)
+    known = evaluation_candidates(models).join(rows.select(*SERIES, "contract"), SERIES)
+    known = known.withColumn("facts", F.struct("created_at", "model_id", "trained_until", "engine", "activated_at", made_for.alias("contract"), F.coalesce(F.try_to_timestamp(report("at")), F.timestamp_seconds(F.lit(0))).alias("report_at"), report("previous_id").alias("followed"), artifact_intact(F.col("contract.quantile")).alias("intact")))
+    newest = lambda status: F.max(F.when(F.col("status") == status, F.col("facts")))
+    found = known.groupBy(*SERIES).agg(newest("candidate").alias("candidate"), newest("active").alias("active"), newest("retired").alias("retired"))
+    wide = rows.join(found, SERIES, "left")
+    waits = F.coalesce(F.col("candidate.report_at") > F.col("active.report_at"), F.lit(False))
+    wide = wide.withColumn("candidate", F.when(~waits, F.col("candidate"))).withColumn("target", F.coalesce("candidate", "active"))
+    has, serving = F.col("candidate").isNotNull(), F.col("active").isNotNull()
+    unversioned = lambda m: F.coalesce(F.col(f"{m}.contract.version"), F.lit("")) == ""
+    legacy = ~has & unversioned("target") & (F.col("target.engine") == F.col("own_engine"))
     age = (F.unix_micros(now) - F.unix_micros("candidate.created_at")) / 1_000_000
-    has = F.col("candidate").isNotNull()
-    action = (
-        F.when(has & (age > p.candidate_expiry_s), "withheld")
-        .when(has, F.lit("shadow" if p.mode == "shadow" else "evaluate_candidate"))
-        .when(F.col("champion").isNotNull(), "revalidate")
-        .otherwise("withheld")
+    champion = has & serving & (F.col("active.engine") == F.col("target.engine")) & (unversioned("active") | comparable_contract(F.col("active.contract"), F.col("contract"))) & F.col("active.intact")
+    returns = ~has & serving & F.lit(p.rollback) & F.col("retired.model_id").eqNullSafe(F.col("active.followed")) & F.col("retired").isNotNull() & F.col("retired.contract").eqNullSafe(F.col("contract"))
+    champion, returns = F.coalesce(champion, F.lit(False)), F.coalesce(returns, F.lit(False))
+    reason = (
+        F.when(F.col("target").isNull(), "no_model")
+        .when(~F.col("target.contract").eqNullSafe(F.col("contract")) & ~legacy, "incompatible_contract")
+        .when(F.col("target.trained_until").isNull() | (F.col("target.trained_until") > now), "invalid_training_boundary")
+        .when(has & (age > p.candidate_expiry_s), "candidate_expired")
+        .when(~F.col("target.intact"), "invalid_artifact")
+        .when(returns & ~F.col("retired.intact"), "invalid_rollback_artifact")
     )
-    reason = F.when(has & (age > p.candidate_expiry_s), "candidate_expired").when(~has & F.col("champion").isNull(), "no_model")
-    after = F.greatest(F.col("candidate.trained_until"), F.col("champion.trained_until"))
-    return wide.select(*SERIES, action.alias("action"), reason.alias("reason"), F.coalesce("candidate.model_id", "champion.model_id").alias("target_id"), F.col("champion.model_id").alias("expected_active_id"), F.col("previous.model_id").alias("previous_id"), after.alias("evidence_after"))
+    action = F.when(reason.isNotNull(), "withheld").when(has, F.lit("shadow" if p.mode == "shadow" else "evaluate_candidate")).otherwise("revalidate")
+    after = F.greatest("target.trained_until", F.when(champion, F.col("active.trained_until")), F.when(returns, F.col("retired.trained_until")), F.when(returns, F.col("active.activated_at")), now - F.make_dt_interval(secs=F.lit(p.window_s)))
+    return wide.select(
+        *SERIES, action.alias("action"), reason.alias("reason"), F.col("target.model_id").alias("target_id"), F.col("active.model_id").alias("expected_active_id"), F.when(champion, F.col("active.model_id")).alias("champion_id"),
+        F.when(returns, F.col("retired.model_id")).alias("previous_id"), F.when(reason.isNull(), after).alias("evidence_after"), F.when(has, F.col("active.model_id")).otherwise(F.col("active.followed")).alias("follows_id"), "policy_revision", "contract",
+    )
 
 
-def commit_faults(reports: DataFrame, contracts: DataFrame, models: DataFrame) -> DataFrame:
-    """Reports (series, target_id, expected_active_id, policy_revision, action, promote) that may not be written, and why.
+def commit_faults(reports: DataFrame, contracts: DataFrame, models: DataFrame, now: Column, season_s: int, p: EvaluationPolicy = EvaluationPolicy()) -> DataFrame:
+    """Reports that may not be written, and why: all is decided again from the evidence, as it may have changed since.
 
+    ``reports`` have the plan's target_id, expected_active_id, policy_revision
+    and contract, the action, ``at``, the evidence's start, end and
+    fingerprint, and the metrics candidate, champion, baseline and previous.
     There are no row locks here: this is checked at the write, by one writer.
     """
-    current = contracts.where("status = 'active'").select(*SERIES, F.col("policy_revision").alias("current_revision"))
-    active = models.where("status = 'active'").groupBy(*SERIES).agg(F.max("model_id").alias("active_id"))
-    target = models.select(F.col("model_id").alias("target_id"), F.col("status").alias("target_status"))
-    rows = reports.join(current, SERIES, "left").join(active, SERIES, "left").join(target, "target_id", "left")
-    switches = F.col("action").isin("promote", "rollback")
+    current = contracts.where("status = 'active'").select(*SERIES, F.col("policy_revision").alias("now_revision"), F.col("engine").alias("now_engine"))
+    made_for = F.from_json(F.get_json_object("hyperparameters", "$.evaluation_contract"), CONTRACT)
+    active = models.where("status = 'active'").groupBy(*SERIES).agg(F.max(F.struct("created_at", "model_id", "trained_until", "activated_at", F.get_json_object("validation_metrics", "$.promotion.previous_id").alias("followed"))).alias("active"))
+    target = models.select(*SERIES, F.col("model_id").alias("written_id"), F.struct("status", "engine", "trained_until", made_for.alias("contract")).alias("target"))
+    back = F.col("action") == "rollback"
+    rows = reports.withColumn("written_id", F.when(back, F.col("previous_id")).otherwise(F.col("target_id"))).join(current, SERIES, "left").join(active, SERIES, "left").join(target, [*SERIES, "written_id"], "left")
+    switches, renews = F.col("action").isin("promote", "rollback"), F.col("action") == "revalidated"
+    q = F.col("contract.quantile")
+    fresh = fresh_evidence(F.col("start"), F.col("end"), F.col("at"), now, F.col("contract.horizon_s"), F.col("contract.interval_s"), F.col("fingerprint"), p)
+    behind = lambda t: F.col("start") >= F.coalesce(F.col(t), F.lit("1970-01-01").cast("timestamp"))
+    compatible = F.col("target.contract").eqNullSafe(F.col("contract")) & (F.col("contract.policy_revision") == F.col("now_revision")) & F.lit(p.mode == "automatic") & behind("target.trained_until")
+    compatible = compatible & (F.col("champion").isNull() | behind("active.trained_until")) & (~back | (behind("active.activated_at") & behind("active.trained_until")))
+    verdict = promotion(F.col("candidate"), F.col("champion"), F.col("baseline"), q, p)["promote"]
+    returned = promotion(F.col("previous"), F.col("candidate"), F.col("baseline"), q, p.stricter())["promote"]
+    renewed = (F.col("target.status") == "active") & (F.col("contract.policy_revision") == F.col("now_revision")) & behind("target.trained_until") & may_revalidate(F.col("candidate"), F.col("baseline"), q, p)
+    false_or_null = lambda c: ~F.coalesce(c, F.lit(False))
     fault = (
-        F.when(F.col("current_revision").isNull() | (F.col("current_revision") != F.col("policy_revision")), "policy_changed")
-        .when(~F.col("active_id").eqNullSafe(F.col("expected_active_id")), "active_model_changed")
-        .when(switches & ~F.col("promote"), "evidence_refuses")
-        .when((F.col("action") == "promote") & (F.col("target_status") != "candidate"), "unexpected_status")
-        .when((F.col("action") == "rollback") & (F.col("target_status") != "retired"), "unexpected_status")
-        .when((F.col("action") == "revalidated") & (F.col("target_status") != "active"), "unexpected_status")
+        F.when(false_or_null(F.col("now_revision") == F.col("policy_revision")), "policy_changed")
+        .when(~F.col("active.model_id").eqNullSafe(F.col("expected_active_id")), "active_model_changed")
+        .when(false_or_null(F.col("target.engine") == F.col("now_engine")), "unknown_target")
+        .when((switches | renews) & ~fresh, "evidence_not_current")
+        .when(renews & false_or_null(renewed), "renewal_refused")
+        .when(switches & false_or_null(compatible), "incompatible_evidence")
+        .when(switches & ~F.when(back, returned).otherwise(verdict), "evidence_refuses")
+        .when((F.col("action") == "promote") & (F.col("target.status") != "candidate"), "unexpected_status")
+        .when(back & ((F.col("target.status") != "retired") | ~F.lit(p.rollback)), "unexpected_status")
+        .when(back & ~F.col("active.followed").eqNullSafe(F.col("written_id")), "not_the_previous_champion")
     )
     return rows.withColumn("fault", fault).where("fault is not null").select(*SERIES, "target_id", "fault")
 
 
 def switched(models: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
-    """Models after reports that passed: the target active, the series' active one retired."""
-    r = reports.where(F.col("action").isin("promote", "rollback")).select(*SERIES, "target_id")
+    """Models after reports that passed: the target (of a return, the previous model) active, the series' active one retired."""
+    winner = F.when(F.col("action") == "rollback", F.col("previous_id")).otherwise(F.col("target_id"))
+    r = reports.where(F.col("action").isin("promote", "rollback")).select(*SERIES, winner.alias("winner_id"))
     rows = models.join(r, SERIES, "left")
-    wins = F.col("target_id") == F.col("model_id")
-    loses = F.col("target_id").isNotNull() & ~F.coalesce(wins, F.lit(False)) & (F.col("status") == "active")
+    wins = F.col("winner_id") == F.col("model_id")
+    loses = F.col("winner_id").isNotNull() & ~F.coalesce(wins, F.lit(False)) & (F.col("status") == "active")
     return rows.withColumn("activated_at", F.when(wins, now).otherwise(F.col("activated_at"))).withColumn("status", F.when(wins, "active").when(loses, "retired").otherwise(F.col("status"))).select(*models.columns)
 
+
+def audited(models: DataFrame, reports: DataFrame, kept: int = 20) -> DataFrame:
+    """Models whose ``validation_metrics`` hold the report written on them, behind the last ones of its ``history``.
+
+    A report keeps the link to the model that its target followed. A renewal
+    or a switch makes its time the model's validation.
+    """
+    back = F.col("action") == "rollback"
+    follows = F.when(F.col("action") == "promote", F.col("expected_active_id")).when(back, F.col("expected_active_id")).otherwise(F.col("follows_id"))
+    entry = F.to_json(F.struct("action", "reason", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at"), follows.alias("previous_id")))
+    renewed = F.when(F.col("action").isin("promote", "rollback", "revalidated"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    own = reports.select(*SERIES, F.when(back, F.col("previous_id")).otherwise(F.col("target_id")).alias("model_id"), entry.alias("entry"), renewed.alias("renewed"))
+    rows = models.join(own, [*SERIES, "model_id"], "left")
+    before = F.from_json(F.get_json_object("validation_metrics", "$.history"), "array<string>")
+    validated = F.coalesce("renewed", F.get_json_object("validation_metrics", "$.validated_at"))
+    parts = F.array(F.concat(F.lit('"promotion":'), F.col("entry")), F.concat(F.lit('"history":['), F.array_join(append_audit(before, F.col("entry"), kept), ","), F.lit("]")), F.concat(F.lit('"validated_at":"'), validated, F.lit('"')))
+    text = F.concat(F.lit("{"), F.array_join(F.array_compact(parts), ","), F.lit("}"))
+    return rows.withColumn("validation_metrics", F.when(F.col("entry").isNotNull(), text).otherwise(F.col("validation_metrics"))).select(*models.columns)

@@ -56,7 +56,7 @@ def train_candidates(samples: DataFrame, engine: str, interval_s: int, season: i
 def evaluation_reports(
     samples: DataFrame, plan: DataFrame, forecasts: DataFrame, now: Column, interval_s: int, steps: int, history: int, q: float, threshold: float, policy: promote.EvaluationPolicy = promote.EvaluationPolicy()
 ) -> DataFrame:
-    """(series, action, reason, reference, windows, start, end): one report per planned series.
+    """One report per planned series: action, reason, and the evidence with its digest and metrics, for the commit to decide again.
 
     ``samples`` has one row per slot; ``plan`` is that of
     ``promote.evaluation_plan``; ``forecasts`` (series, origin, model, upper)
@@ -69,13 +69,14 @@ def evaluation_reports(
     status = evaluate.comparison_status(origins, steps, interval_s, policy.min_windows, policy.min_duration_s).withColumnRenamed("reason", "evidence")
     minutes = steps * interval_s / 60
     scored = evaluate.compared(origins, forecasts, q, threshold, minutes, policy.max_windows)
+    prints = evaluate.comparison_fingerprint(origins, forecasts, policy.max_windows)
     metrics = F.struct(*[F.col(c) for c in METRICS])
     by_model = scored.groupBy(*SERIES).pivot("model", ["candidate", "champion", "baseline", "previous"]).agg(F.first(metrics))
     latest = samples.groupBy(*SERIES).agg(F.max("observed_at").alias("latest"))
-    rows = plan.join(status, SERIES, "left").join(by_model, SERIES, "left").join(latest, SERIES, "left")
+    rows = plan.join(status, SERIES, "left").join(by_model, SERIES, "left").join(latest, SERIES, "left").join(prints, SERIES, "left")
     age = seconds_between(now, F.col("latest"))
     stale = F.coalesce((age < 0) | (age > 3 * interval_s), F.lit(True))
-    fresh = promote.fresh_evidence(F.col("start"), F.col("end"), now, now, F.lit(steps * interval_s), F.lit(interval_s), F.lit("paired"), policy)
+    fresh = promote.fresh_evidence(F.col("start"), F.col("end"), now, now, F.lit(steps * interval_s), F.lit(interval_s), F.col("fingerprint"), policy)
     is_candidate = ~F.col("target_id").eqNullSafe(F.col("expected_active_id"))
     verdict = promote.promotion(F.col("candidate"), F.when(is_candidate, F.col("champion")), F.col("baseline"), F.lit(q), policy)
     back = promote.promotion(F.col("previous"), F.col("candidate"), F.col("baseline"), F.lit(q), policy.stricter())
@@ -105,4 +106,5 @@ def evaluation_reports(
         .when(returns, F.col("back.reason"))
         .otherwise("active_revalidation_failed")
     )
-    return rows.select(*SERIES, action.alias("action"), reason.alias("reason"), "target_id", "expected_active_id", F.col("eligible_windows").alias("windows"), "start", "end")
+    told = [c for c in ("previous_id", "follows_id", "policy_revision", "contract") if c in plan.columns]
+    return rows.select(*SERIES, action.alias("action"), reason.alias("reason"), "target_id", "expected_active_id", *told, now.alias("at"), F.col("eligible_windows").alias("windows"), "start", "end", "fingerprint", "candidate", "champion", "baseline", "previous")

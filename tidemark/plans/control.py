@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text, time
 from tidemark.operators import capacity, guard, report
-from tidemark.plans.forecasts import snapshots
+from tidemark.plans.forecasts import THRESHOLD_SQL, snapshots
 from tidemark.plans.registry import END, HOUR, SEASON, SERIES_SQL, STEPS, query
 from tidemark.plans.series import events, shown, sparse, ts
 from tidemark.schema import contract_faults as faults_of
@@ -146,10 +146,10 @@ def metric_report(spark, sf_dir):
 
 @query(f"""WITH {SERIES_SQL}, f AS (SELECT workload_id, observed_at, max(observed_value) OVER (PARTITION BY workload_id ORDER BY observed_at ROWS BETWEEN {SEASON - 1} PRECEDING AND {SEASON - STEPS} PRECEDING) AS upper, row_number() OVER (PARTITION BY workload_id ORDER BY observed_at) AS place FROM dense
 ), k AS (SELECT * FROM f WHERE place >= {SEASON})
-SELECT workload_id, observed_at, epoch(TIMESTAMP '2024-01-20 01:00:00') - epoch(observed_at + INTERVAL 30 SECOND) BETWEEN 0 AND 7200 AND epoch(TIMESTAMP '2024-01-20 01:00:00') - epoch(observed_at) BETWEEN 0 AND 10800 AS fresh FROM k""")
+SELECT workload_id, observed_at, epoch(TIMESTAMP '2024-01-20 01:00:00') - epoch(observed_at + INTERVAL 30 SECOND) BETWEEN 0 AND 7200 AND epoch(TIMESTAMP '2024-01-20 01:00:00') - epoch(observed_at) BETWEEN 0 AND 10800 AS fresh, CASE WHEN fresh THEN ceil(upper / ({THRESHOLD_SQL})) ELSE 0 END AS served FROM k""")
 def served_value(spark, sf_dir):
     out = guard.served(snapshots(spark, sf_dir), ts("2024-01-20 01:00:00"), 7200, 3, HOUR)
-    return shown(out.select("workload_id", "observed_at", "fresh"))
+    return shown(out.select("workload_id", "observed_at", "fresh", "served"))
 
 
 @query()

@@ -269,21 +269,12 @@ def contract_match(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", promote.comparable_contract(a, b).alias("comparable"))
 
 
-@query(f"""WITH {MODELS_SQL}, n AS (SELECT workload_id, max(created_at) AS active_at FROM models WHERE status = 'active' GROUP BY 1
-), o AS (SELECT m.* FROM models m LEFT JOIN n USING (workload_id) WHERE status <> 'candidate' OR (created_at > coalesce(active_at, TIMESTAMP '1970-01-01') AND action <> 'rejected' AND report_reason NOT IN ('incompatible_contract', 'candidate_expired', 'invalid_artifact', 'invalid_training_boundary'))
-), r AS (SELECT *, row_number() OVER (PARTITION BY workload_id, status ORDER BY CASE WHEN status = 'candidate' THEN epoch_us(created_at) ELSE -epoch_us(created_at) END, model_id) AS k FROM o
-), w AS (SELECT workload_id, max(CASE WHEN status = 'candidate' THEN created_at END) AS ca, max(CASE WHEN status = 'candidate' THEN model_id END) AS cm, max(CASE WHEN status = 'active' THEN model_id END) AS am FROM r WHERE k = 1 GROUP BY 1)
-SELECT workload_id, CASE WHEN ca IS NOT NULL AND epoch_us(TIMESTAMP '2001-06-20') - epoch_us(ca) > 259200000000 THEN 'withheld' WHEN ca IS NOT NULL THEN 'evaluate_candidate' WHEN am IS NOT NULL THEN 'revalidate' ELSE 'withheld' END AS action, coalesce(cm, am) AS target_id, am AS expected_active_id FROM w""")
-def evaluation_plan(spark, sf_dir):
-    return promote.evaluation_plan(models(spark, sf_dir), ts("2001-06-20 00:00:00")).select("workload_id", "action", "target_id", "expected_active_id")
-
-
-@query(f"""WITH {SERIES_SQL}, {SNAPSHOT_SQL} SELECT workload_id, count(*) AS rows FROM snaps GROUP BY 1""")
+@query(f"""WITH {SERIES_SQL}, {SNAPSHOT_SQL} SELECT workload_id, observed_at, upper, safe FROM snaps""")
 def snapshot_append(spark, sf_dir):
     rows = snapshots(spark, sf_dir)
     old = rows.where("hour(observed_at) < 12")
     out = store.append_unique(old, rows.unionByName(rows), ["snapshot_id"])
-    return out.groupBy("workload_id").agg(F.count("*").alias("rows"))
+    return shown(out.select("workload_id", "observed_at", "upper", "safe"))
 
 
 @query("""SELECT workload_id, TIMESTAMP '2024-01-31 00:00:00' AS observed_at, observed_value FROM (SELECT event_type AS workload_id, round(max(value), 6) AS observed_value FROM events GROUP BY 1) WHERE workload_id <> 'view'""")
@@ -297,14 +288,3 @@ def canonical_samples(spark, sf_dir):
 def active_contracts(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").withColumn("status", F.when(F.col("c_custkey") % 5 == 0, "inactive").otherwise("active"))
     return rows.where("status = 'active'").select("c_custkey", "c_name").orderBy("c_name", "c_custkey")
-
-
-@query()
-def commit_faults(spark, sf_dir):
-    m = models(spark, sf_dir)
-    plan = promote.evaluation_plan(m, ts("2001-06-20 00:00:00"))
-    current = plan.select(*SERIES, F.lit("active").alias("status"), F.lit("r1").alias("policy_revision"))
-    reports = plan.where("target_id is not null").select(*SERIES, "target_id", "expected_active_id", F.when(F.length("target_id") > 4, "r1").otherwise("r0").alias("policy_revision"), F.lit("promote").alias("action"), F.lit(True).alias("promote"))
-    return promote.commit_faults(reports, current, m).drop("source_fingerprint")
-
-
