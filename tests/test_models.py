@@ -227,7 +227,9 @@ def test_promotion_ladder(spark, candidate, champion, baseline, verdict):
 
 def test_switch_retires_the_active(spark):
     models = spark.createDataFrame([("a", "active"), ("b", "candidate"), ("c", "retired")], "model_id string, status string").withColumns({"workload_id": F.lit("w"), "source_fingerprint": F.lit("f"), "activated_at": F.lit(None).cast("timestamp")})
-    reports = spark.createDataFrame([("w", "f", "b", "promote")], "workload_id string, source_fingerprint string, target_id string, action string")
+    reports = spark.createDataFrame([("w", "f", "b", "promote", None)], "workload_id string, source_fingerprint string, target_id string, action string, previous_id string")
+    back = reports.selectExpr("workload_id", "source_fingerprint", "'a' AS target_id", "'rollback' AS action", "'c' AS previous_id")
+    assert {r.model_id: r.status for r in promote.switched(models, back, F.lit(START.replace(tzinfo=None))).collect()} == {"a": "retired", "b": "candidate", "c": "active"}
     out = {r.model_id: r.status for r in promote.switched(models, reports, F.lit(START.replace(tzinfo=None))).collect()}
     assert out == {"a": "retired", "b": "active", "c": "retired"}
     with pytest.raises(ValueError):

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import seconds_between
+from tidemark.operators.features import PROVIDERS, calendar_features, feature_rows
 from tidemark.operators.fill import bounded_fill
+from tidemark.operators.forecast import ENGINES, resolved_engine
 from tidemark.operators.forecast import engine as engine_of
-from tidemark.operators.guard import decide
+from tidemark.operators.guard import decide, eligible_models
+from tidemark.operators.learned import predict_last, predict_rows
+from tidemark.operators.promote import model_validity
 from tidemark.operators.quality import real_suffix, recent_contiguous
 from tidemark.operators.surge import SurgePolicy, lead_minutes, surges
 from tidemark.schema import SERIES
@@ -25,42 +31,92 @@ def model_input(samples: DataFrame, interval_s: int, max_gap_s: int, lookback: i
     return kept.join(flags, SERIES).select(*SERIES, "observed_at", "observed_value", F.lit(False).alias("is_estimated"), "used_suffix", F.lit(0).cast("long").alias("estimated_count"), F.lit("ok").alias("status"))
 
 
+#: Fixed value: the longest training window, in seconds; older samples are never read.
+MOST_WINDOW_S = 90 * 86_400
+
+
+def settings_of(contracts: DataFrame, interval_s: int, steps: int | None, engine: str | None) -> DataFrame:
+    """The active contracts with all that a cycle needs of them: what is not a column takes its default, ``steps`` and ``engine`` hold for all."""
+    have = set(contracts.columns)
+    own = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in have else F.lit(default)
+    ahead = F.floor((own("horizon_s", interval_s) + own("startup_s", 0) + own("buffer_s", 0)) / interval_s)
+    asked = F.lit(engine) if engine else F.trim(own("engine", ""))
+    q = own("quantile", 0.95)
+    return contracts.where("status = 'active'").select(
+        *SERIES, "threshold", "min_replicas", "max_replicas", own("startup_s", 0).alias("startup_s"), own("buffer_s", 0).alias("buffer_s"), F.when((q > 0) & (q < 1), q).otherwise(0.95).alias("quantile"),
+        F.greatest(F.lit(steps) if steps else ahead, F.lit(1)).cast("int").alias("steps"), F.least(own("training_window_s", MOST_WINDOW_S), F.lit(MOST_WINDOW_S)).alias("window_s"), asked.alias("engine"), own("timezone", "UTC").alias("timezone"), F.lit("active").alias("status"),
+    )
+
+
+def _learned(usable: DataFrame, artifacts: DataFrame, season: int) -> DataFrame:
+    """(series, p50, upper) of the series that an intact artifact serves: trees at the last row, networks on the last rows."""
+    trees, networks = (usable.where(F.col("served") == e) for e in ("xgboost", "gru"))
+    providers = [*PROVIDERS[:-1], lambda rows: calendar_features(rows, F.col("timezone"))]
+    rows = feature_rows(trees, providers)
+    last = rows.join(rows.groupBy(*SERIES).agg(F.max("observed_at").alias("observed_at")), [*SERIES, "observed_at"], "left_semi")
+    return predict_rows(last, artifacts.where("engine = 'xgboost'")).drop("observed_at").unionByName(predict_last(networks, artifacts.where("engine = 'gru'")))
+
+
 def forecast_cycle(
-    samples: DataFrame, contracts: DataFrame, state: DataFrame, now: Column, interval_s: int, season: int, steps: int, engine: str = "seasonal-baseline",
-    max_gap_s: int = 300, min_samples: int | None = None, policy: SurgePolicy = SurgePolicy(), interpolate: bool = True,
+    samples: DataFrame, contracts: DataFrame, state: DataFrame, now: Column, interval_s: int, season: int, steps: int | None = None, engine: str | None = None,
+    max_gap_s: int = 300, min_samples: int | None = None, policy: SurgePolicy | None = SurgePolicy(), interpolate: bool = True, models: DataFrame | None = None, max_age_s: int = 72 * 3600,
 ) -> DataFrame:
-    """One row per active contract of this engine, horizon and interval: a decision, or the ``status`` that prevents one.
+    """One row per active contract of this interval: a decision, or the ``status`` that prevents one.
 
-    ``state`` has the series' current replicas, healthy and allowed. All
-    series go through one plan; a series that fails carries its reason and
-    no other is touched. Statuses in order: stale_source, unreliable_inputs,
-    insufficient_history, model_error, invalid_configuration, ok.
+    Each contract has its quantile, decision horizon, training window, engine
+    and time zone; ``steps`` and ``engine``, if given, hold for all. A
+    contract whose series has an active model that may serve it, and whose
+    artifact is intact, is forecast by that; any other by its engine, if that
+    needs no artifact. ``state`` has the series' current replicas, healthy and
+    allowed. No ``policy`` means no surges.
+
+    Samples are read from the longest window on and dealt by series once; all
+    that follows is joined where it lies. A series that fails carries its
+    reason and no other is touched. Statuses in order: model_unavailable,
+    stale_source, unreliable_inputs, insufficient_history, model_error,
+    invalid_configuration, ok.
     """
-    active = contracts.where("status = 'active'").select(*SERIES, "threshold", "quantile", "startup_s", "buffer_s", "min_replicas", "max_replicas")
-    own = samples.join(active.select(*SERIES), SERIES, "left_semi")
+    active = settings_of(contracts, interval_s, steps, engine)
+    if engine and engine_of(engine).needs_artifact and models is None:
+        raise ValueError(f"{engine} needs models")
+    artifacts = None
+    if models is not None:
+        whole = model_validity(models.where(F.sha2("artifact", 256) == F.col("artifact_sha256")))
+        fit = eligible_models(active, whole, now, max_age_s).where("model_id is not null").select(*SERIES, "model_id")
+        artifacts = whole.join(fit, [*SERIES, "model_id"], "left_semi").select(*SERIES, "engine", "artifact", "artifact_sha256")
+        active = active.join(artifacts.select(*SERIES, F.col("engine").alias("model_engine")), SERIES, "left")
+        active = active.withColumn("served", F.coalesce("model_engine", resolved_engine(F.col("engine"), F.lit(False)))).drop("model_engine")
+    else:
+        active = active.withColumn("served", resolved_engine(F.col("engine"), F.lit(False)))
+    end = F.timestamp_seconds(F.floor(F.unix_seconds(now) / interval_s) * interval_s)
+    back = lambda s: end - F.make_dt_interval(secs=s)
+    recent = samples.where(F.col("observed_at").between(back(F.lit(MOST_WINDOW_S)), end))
+    own = recent.join(active.select(*SERIES, "window_s"), SERIES).where(F.col("observed_at") >= back(F.col("window_s"))).drop("window_s").repartition(*SERIES)
     latest = own.groupBy(*SERIES).agg(F.max("observed_at").alias("latest"))
     filled = model_input(own, interval_s, max_gap_s, 0, interpolate)
     inputs = filled.groupBy(*SERIES).agg(F.count("*").alias("rows"), F.max("used_suffix").alias("used_suffix"), F.max("estimated_count").alias("estimated_count"), F.max("status").alias("input_status"))
-    e = engine_of(engine)
-    if e.predict is None:
-        raise ValueError(f"{engine} needs an artifact; predict with it and call decide")
-    usable = filled.where("status = 'ok'").select(*SERIES, "observed_at", "observed_value")
-    predicted = e.predict(usable, season, steps, 0.95)
-    suffix = real_suffix(own, interval_s)
-    surge = surges(suffix, interval_s, active.select(*SERIES, lead_minutes(F.col("startup_s"), F.col("buffer_s")).alias("lead_minutes")), policy)
-    rows = (
-        active.join(latest, SERIES, "left").join(inputs, SERIES, "left").join(predicted, SERIES, "left")
-        .join(surge.select(*SERIES, F.col("triggered").alias("surge_triggered"), F.col("demand").alias("surge_demand")), SERIES, "left")
-        .join(state.select(*SERIES, "current", "healthy", "allowed"), SERIES, "left")
-    )
-    age = seconds_between(now, F.col("latest"))
+    usable = filled.where("status = 'ok'").select(*SERIES, "observed_at", "observed_value").join(active.select(*SERIES, "served", "steps", "quantile", "timezone"), SERIES)
+    plain = [e for e in ENGINES.values() if e.predict is not None and (not engine or engine == e.name)]
+    parts = [e.predict(usable.where(F.col("served") == e.name), season, steps or F.col("steps"), F.col("quantile")) for e in plain]
+    if artifacts is not None:
+        parts.append(_learned(usable, artifacts, season))
+    predicted = reduce(DataFrame.unionByName, parts)
+    rows = active.join(latest, SERIES, "left").join(inputs, SERIES, "left").join(predicted, SERIES, "left").join(state.select(*SERIES, "current", "healthy", "allowed"), SERIES, "left")
+    if policy is not None:
+        found = surges(real_suffix(own, interval_s), interval_s, active.select(*SERIES, lead_minutes(F.col("startup_s"), F.col("buffer_s")).alias("lead_minutes")), policy)
+        rows = rows.join(found.select(*SERIES, F.col("triggered").alias("surge_triggered"), F.col("demand").alias("surge_demand")), SERIES, "left")
+    else:
+        rows = rows.withColumns({"surge_triggered": F.lit(False), "surge_demand": F.lit(0.0)})
+    age = seconds_between(end, F.col("latest"))
     least = min_samples if min_samples is not None else season
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")) | (F.col(c) < 0)
     status = (
-        F.when(F.col("latest").isNull() | (age < 0) | (age > 2 * interval_s), "stale_source")
+        F.when(F.col("served").isNull(), "model_unavailable")
+        .when(F.col("latest").isNull() | (age < 0) | (age > 2 * interval_s), "stale_source")
         .when(F.col("input_status") != "ok", "unreliable_inputs")
         .when(F.col("rows") < least, "insufficient_history")
-        .when(F.col("upper").isNull() | F.isnan("upper") | (F.col("upper") < 0), "model_error")
-        .when(~(F.col("threshold") > 0), "invalid_configuration")
+        .when(bad("p50") | bad("upper"), "model_error")
+        .when(~F.coalesce(F.col("threshold") > 0, F.lit(False)), "invalid_configuration")
         .otherwise("ok")
     )
     rows = rows.withColumn("status", status)
@@ -68,4 +124,4 @@ def forecast_cycle(
     decided = decide(safe.withColumn("upper", F.coalesce("upper", F.lit(0.0))).withColumn("threshold", F.when(F.col("threshold") > 0, F.col("threshold")).otherwise(1.0)))
     ok = F.col("status") == "ok"
     only = lambda c: F.when(ok, F.col(c)).alias(c)
-    return decided.select(*SERIES, "status", "latest", "rows", *[only(c) for c in ("p50", "upper", "surge", "desired", "safe", "reason")])
+    return decided.select(*SERIES, "status", F.col("served").alias("engine"), F.col("steps").cast("long").alias("steps"), "latest", "rows", *[only(c) for c in ("p50", "upper", "surge", "desired", "safe", "reason")])

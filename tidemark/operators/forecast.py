@@ -25,20 +25,34 @@ def seasonal_at_rows(samples: DataFrame, season: int, steps: int, name: str = "u
     return samples.withColumn(name, F.when(place >= season, F.max("observed_value").over(w)))
 
 
-def seasonal_peak(samples: DataFrame, season: int, steps: int) -> DataFrame:
-    """Per series (p50, upper): the last season's maximum over the next horizon's places; null where history is shorter."""
+def seasonal_peak(samples: DataFrame, season: int, steps: Column | int) -> DataFrame:
+    """Per series (p50, upper): the last season's maximum over the next horizon's places; null where history is shorter. ``steps`` may differ between series."""
     back = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.col("observed_at").desc()))
-    rows = samples.withColumn("back", back).groupBy(*SERIES).agg(F.count("*").alias("n"), F.max(F.when((F.col("back") <= season) & (F.col("back") > season - min(steps, season)), F.col("observed_value"))).alias("peak"))
+    ahead = F.least(F.lit(steps) if isinstance(steps, int) else steps, F.lit(season))
+    inside = (F.col("back") <= season) & (F.col("back") > season - ahead)
+    rows = samples.withColumn("back", back).groupBy(*SERIES).agg(F.count("*").alias("n"), F.max(F.when(inside, F.col("observed_value"))).alias("peak"))
     peak = F.when(F.col("n") >= season, F.col("peak"))
     return rows.select(*SERIES, peak.alias("p50"), peak.alias("upper"))
 
 
-def rolling_quantile_peak(samples: DataFrame, steps: int, q: Column | float) -> DataFrame:
-    """Per series the nearest-rank median and q-quantile of all windows' maxima; null where history is no longer than a window."""
-    w = ordered().rowsBetween(0, steps - 1)
-    peaks = samples.withColumn("peak", F.when(F.count("*").over(w) == steps, F.max("observed_value").over(w))).withColumn("n", F.count("*").over(Window.partitionBy(*SERIES)))
-    rows = peaks.groupBy(*SERIES).agg(F.collect_list(F.when(F.col("n") > steps, F.col("peak"))).alias("peaks"))
-    return rows.select(*SERIES, nearest_rank(F.col("peaks"), 0.5).alias("p50"), nearest_rank(F.col("peaks"), q).alias("upper"))
+def rolling_quantile_peak(samples: DataFrame, steps: Column | int, q: Column | float) -> DataFrame:
+    """Per series the nearest-rank median and q-quantile of all windows' maxima; null where history is no longer than a window.
+
+    Windows of one length are a frame; ``steps`` and ``q`` that differ between
+    series are taken over the series' values in order.
+    """
+    if isinstance(steps, int) and not isinstance(q, Column):
+        w = ordered().rowsBetween(0, steps - 1)
+        peaks = samples.withColumn("peak", F.when(F.count("*").over(w) == steps, F.max("observed_value").over(w))).withColumn("n", F.count("*").over(Window.partitionBy(*SERIES)))
+        rows = peaks.groupBy(*SERIES).agg(F.collect_list(F.when(F.col("n") > steps, F.col("peak"))).alias("peaks"), F.lit(None).alias("q"))
+        rank = q
+    else:
+        own = samples.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("observed_at", "observed_value"))).alias("all"), F.first(F.lit(steps) if isinstance(steps, int) else steps).cast("int").alias("steps"), F.first(F.lit(q) if isinstance(q, float) else q).alias("q"))
+        values = own.withColumn("all", F.transform("all", lambda x: x["observed_value"]))
+        windows = F.transform(F.sequence(F.lit(1), F.size("all") - F.col("steps") + 1), lambda k: F.array_max(F.slice("all", k, F.col("steps"))))
+        rows = values.withColumn("peaks", F.when(F.size("all") > F.col("steps"), windows).otherwise(F.array().cast("array<double>")))
+        rank = F.col("q")
+    return rows.select(*SERIES, nearest_rank(F.col("peaks"), 0.5).alias("p50"), nearest_rank(F.col("peaks"), rank).alias("upper"))
 
 
 def smoothed_peak(values: np.ndarray, season: int, steps: int, alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA) -> float:
@@ -55,7 +69,7 @@ def smoothed_peak(values: np.ndarray, season: int, steps: int, alpha: float = AL
     return max(0.0, float((level + ahead * trend + seasonal[(len(values) - 1 + ahead) % season]).max()))
 
 
-def holt_winters_peak(samples: DataFrame, season: int, steps: int) -> DataFrame:
+def holt_winters_peak(samples: DataFrame, season: int, steps: Column | int) -> DataFrame:
     """Per series its smoothed peak as p50 and upper; null with less than two seasons or values that are not finite.
 
     Smoothing goes through a series in order, so each is one group in Python.
@@ -64,11 +78,12 @@ def holt_winters_peak(samples: DataFrame, season: int, steps: int) -> DataFrame:
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values("observed_at")["observed_value"].to_numpy(float)
         ok = len(values) >= 2 * season and np.isfinite(values).all()
-        peak = smoothed_peak(values, season, steps) if ok else None
+        peak = smoothed_peak(values, season, int(pdf["ahead"].iloc[0])) if ok else None
         return pd.DataFrame([[*key, peak, peak]], columns=[*SERIES, "p50", "upper"]).astype({"p50": float, "upper": float})
 
     schema = "workload_id string, source_fingerprint string, p50 double, upper double"
-    return samples.select(*SERIES, "observed_at", "observed_value").groupBy(*SERIES).applyInPandas(fit, schema)
+    ahead = (F.lit(steps) if isinstance(steps, int) else steps).alias("ahead")
+    return samples.select(*SERIES, "observed_at", "observed_value", ahead).groupBy(*SERIES).applyInPandas(fit, schema)
 
 
 def clamped(forecasts: DataFrame) -> DataFrame:

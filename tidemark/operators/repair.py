@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import slot
+from tidemark.functions.time import slot, slot_start
 from tidemark.operators.store import insert_missing
 from tidemark.schema import SERIES
 
@@ -25,8 +25,8 @@ class RepairLimits:
     tries: int = 2
 
     def __post_init__(self):
-        if self.timeout_s <= 0 or self.query_timeout_s <= 0 or self.query_timeout_s > self.timeout_s:
-            raise ValueError("timeouts must be positive, a query's no longer than the whole")
+        if not 0 < self.timeout_s <= 1800 or not 0 < self.query_timeout_s <= min(self.timeout_s, 120):
+            raise ValueError("timeouts must be positive, the whole's half an hour at most, a query's two minutes and no longer than the whole")
         if not 0 < self.points <= 2_000_000:
             raise ValueError("the point limit must lie in 1 to 2,000,000")
 
@@ -92,24 +92,48 @@ def repair_points(points: DataFrame, missing: DataFrame, interval_s: int, tolera
 def repair(samples: DataFrame, contracts: DataFrame, start: str, end: str, interval_s: int, ask: Callable[[DataFrame], DataFrame], limits: RepairLimits = RepairLimits()) -> tuple[DataFrame, DataFrame]:
     """Samples with the missing slots of [start, end) filled by what ``ask`` answers to the plan, and a report per series.
 
-    ``ask`` gets (series, first, last, points) and returns (series,
+    ``ask`` gets (series, first, last, points, timeout_s) and returns (series,
     observed_at, value). A series any of whose answers has a fault takes none
-    of them. The plan is over all series at once; nothing passes the driver.
+    of them. What a try leaves missing is planned and asked for again, up to
+    ``limits.tries`` times and, over all tries, ``limits.requests`` queries a
+    series; a series of more slots than ``limits.points`` is not asked for.
+    The plan is over all series at once; nothing passes the driver.
     """
-    missing = missing_slots(samples, contracts, start, end, interval_s)
-    plan = repair_plan(missing)
-    asked = plan.withColumn("requests", F.count("*").over(Window.partitionBy(*SERIES)))
-    answers = repair_points(ask(asked.where(F.col("requests") <= limits.requests).drop("requests")), missing, interval_s)
-    faulty = answers.where("fault is not null").select(*SERIES).distinct()
-    good = answers.where("fault is null").join(faulty, SERIES, "left_anti").select(F.lit("main").alias("cluster_id"), *SERIES, "observed_at", F.col("value").alias("observed_value"))
-    after = insert_missing(samples, good, interval_s)
-    left = missing_slots(after, contracts, start, end, interval_s)
-    expected = slot(F.lit(end).cast("timestamp"), interval_s) - slot(F.lit(start).cast("timestamp"), interval_s)
+    first, last = (slot(F.lit(t).cast("timestamp"), interval_s) for t in (start, end))
+    before = missing_slots(samples, contracts, start, end, interval_s)
+    cluster = contracts.select(*SERIES, F.col("cluster_id") if "cluster_id" in contracts.columns else F.lit("main").alias("cluster_id")).dropDuplicates(SERIES)
+    after, left, spent = samples, before, cluster.select(*SERIES, F.lit(0).cast("long").alias("requests"))
+    for _ in range(limits.tries):
+        plan = repair_plan(left).where(last - first <= limits.points).withColumn("timeout_s", F.lit(limits.query_timeout_s))
+        costs = plan.groupBy(*SERIES).agg(F.count("*").alias("cost"))
+        paid = spent.join(costs, SERIES, "left").withColumn("cost", F.coalesce("cost", F.lit(0))).withColumn("cost", F.when(F.col("requests") + F.col("cost") <= limits.requests, F.col("cost")).otherwise(0))
+        # Kept, so that no source is asked twice for one answer.
+        answers = repair_points(ask(plan.join(paid.where("cost > 0").select(*SERIES), SERIES, "left_semi")), left, interval_s).persist()
+        faulty = answers.where("fault is not null").select(*SERIES).distinct()
+        good = answers.where("fault is null").join(faulty, SERIES, "left_anti").join(cluster, SERIES).select("cluster_id", *SERIES, "observed_at", F.col("value").alias("observed_value"))
+        after = insert_missing(after, good, interval_s).persist()
+        left = missing_slots(after, contracts, start, end, interval_s).persist()
+        spent = paid.select(*SERIES, (F.col("requests") + F.col("cost")).alias("requests")).persist()
     count = lambda df, name: df.groupBy(*SERIES).agg(F.count("*").alias(name))
-    report = contracts.select(*SERIES).distinct().withColumn("expected", expected)
-    for df, name in ((missing, "missing_before"), (left, "missing_after"), (plan, "requests")):
+    report = contracts.select(*SERIES).distinct().withColumn("expected", last - first)
+    for df, name in ((before, "missing_before"), (left, "missing_after")):
         report = report.join(count(df, name), SERIES, "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return after, report.withColumn("inserted", F.col("missing_before") - F.col("missing_after"))
+    return after, report.join(spent, SERIES, "left").withColumn("inserted", F.col("missing_before") - F.col("missing_after"))
+
+
+def repair_faults(asked: DataFrame, contracts: DataFrame, now: Column) -> DataFrame:
+    """(workload_id, fault) of the repairs (workload_id, policy_revision, end) that must not run: for a contract that is not active or has changed, or up to an end that is not closed yet, not on the grid, or too long ago."""
+    own = contracts.where("status = 'active'").select("workload_id", F.col("policy_revision").alias("current_revision"), "interval_s")
+    rows = asked.join(own, "workload_id", "left")
+    step = F.col("interval_s")
+    closed = slot_start(slot(now, step), step)
+    age = F.unix_seconds(now) - F.unix_seconds("end")
+    fault = (
+        F.when(F.col("current_revision").isNull(), "not_active")
+        .when(F.coalesce(F.col("policy_revision"), F.lit("")) != F.col("current_revision"), "policy_changed")
+        .when(F.col("end").isNull() | (F.col("end") > closed) | (slot_start(slot(F.col("end"), step), step) != F.col("end")) | (age > F.greatest(F.lit(600), step + 60)), "invalid_end")
+    )
+    return rows.withColumn("fault", fault).where("fault is not null").select("workload_id", "fault")
 
 
 def recovery_range(series: DataFrame, end: Column, window_s: int, interval_s: int) -> DataFrame:

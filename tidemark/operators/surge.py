@@ -72,13 +72,14 @@ def surges(suffix: DataFrame, interval_s: int, leads: DataFrame, policy: SurgePo
         "back": back,
         "rows": F.count("*").over(Window.partitionBy(*SERIES)),
     })
-    p95 = slope_quantile(suffix, interval_s, k)
-    last = rows.where(F.col("back") <= k).join(p95, SERIES)
-    candidate = is_candidate(F.col("observed_value"), F.col("baseline"), F.col("slope"), F.col("slope_p95"), policy)
-    at_end = lambda c: F.max(F.when(F.col("back") == 1, F.col(c)))
-    out = last.withColumn("candidate", F.coalesce(candidate, F.lit(False))).groupBy(*SERIES).agg(
-        F.bool_and("candidate").alias("confirmed"), F.max("rows").alias("rows"), F.max("slope_p95").alias("slope_p95"), at_end("observed_value").alias("value"), at_end("slope").alias("slope"), at_end("baseline").alias("baseline")
+    recent = F.col("back") <= k
+    out = rows.groupBy(*SERIES).agg(
+        F.collect_list(F.when(~recent, F.col("slope"))).alias("slopes"), F.array_sort(F.collect_list(F.when(recent, F.struct("back", "observed_value", "slope", "baseline")))).alias("last"), F.max("rows").alias("rows")
     )
+    out = out.withColumn("slope_p95", nearest_rank(F.col("slopes"), 0.95))
+    candidate = lambda x: F.coalesce(is_candidate(x["observed_value"], x["baseline"], x["slope"], F.col("slope_p95"), policy), F.lit(False))
+    at_end = lambda c: F.get("last", F.lit(0))[c]
+    out = out.withColumns({"confirmed": F.forall("last", candidate), "value": at_end("observed_value"), "slope": at_end("slope"), "baseline": at_end("baseline")}).drop("slopes", "last")
     triggered = F.col("confirmed") & (F.col("rows") >= k + BASELINE_ROWS)
     out = out.join(leads.select(*SERIES, "lead_minutes"), SERIES, "left").withColumn("lead_minutes", F.coalesce("lead_minutes", F.lit(LEAD_MINUTES)))
     out = out.withColumn("triggered", triggered & (F.col("lead_minutes") > 0))

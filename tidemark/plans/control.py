@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text, time
 from tidemark.operators import capacity, guard, report
 from tidemark.plans.forecasts import THRESHOLD_SQL, snapshots
+from tidemark.plans.operations import fnv_sql
 from tidemark.plans.registry import END, HOUR, SEASON, SERIES_SQL, STEPS, query
 from tidemark.plans.series import events, shown, sparse, ts
 from tidemark.schema import contract_faults as faults_of
@@ -152,7 +153,7 @@ def served_value(spark, sf_dir):
     return shown(out.select("workload_id", "observed_at", "fresh", "served"))
 
 
-@query()
+@query(f"""SELECT c_name, TIMESTAMP '{END}' AS slot, {fnv_sql('c_name', '14400')} AS offset_s, 0 >= {fnv_sql('c_name', '14400')} AS is_due FROM customer""")
 def training_schedule(spark, sf_dir):
     """Per workload: its slot's start at a time, its offset within the slot, and whether it is due."""
     now = ts(END)

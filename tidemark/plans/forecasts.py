@@ -11,7 +11,7 @@ from tidemark.operators.features import horizon_label, tree_rows
 from tidemark.operators.quality import real_suffix as suffix_of
 from tidemark.plans.features import providers, rounded
 from tidemark.plans.registry import END, HOUR, SEASON, SERIES_SQL, STEPS, query
-from tidemark.plans.series import full, raw, shown, sparse, ts
+from tidemark.plans.series import FILL_SQL, SUFFIX_SQL, full, raw, shown, sparse, ts
 from tidemark.schema import SERIES
 from tidemark.sources.series import table
 
@@ -248,26 +248,73 @@ def state(samples: DataFrame) -> DataFrame:
     return samples.select(*SERIES).distinct().select(*SERIES, F.length("workload_id").cast("double").alias("current"), F.lit(True).alias("healthy"), (F.col("workload_id") != "error").alias("allowed"))
 
 
-@query(f"""WITH {SERIES_SQL}, {SEASONAL_SQL}, {SURGE_SQL.replace('MULT', '3.0').replace('BASE', '1.5')}, j AS (
-  SELECT s.workload_id, s.upper, CASE WHEN triggered THEN least(value + greatest(0, slope) * 15, value * 1.5) ELSE 0 END AS sd, triggered, CAST(length(s.workload_id) AS DOUBLE) AS cur, s.workload_id <> 'error' AS allowed, {THRESHOLD_SQL.replace('workload_id', 's.workload_id')} AS thr FROM seasonal s JOIN surges USING (workload_id)
-), d AS (SELECT *, triggered AND sd > upper AS surging, ceil(CASE WHEN triggered AND sd > upper THEN sd ELSE upper END / thr) AS desired FROM j
-), w AS (SELECT *, least(desired, 50) AS wanted FROM d)
-SELECT workload_id, 'ok' AS status, TIMESTAMP '2024-01-30 23:00:00' AS latest, CAST(720 AS BIGINT) AS rows, round(upper, 6) AS p50, round(upper, 6) AS upper, round(CASE WHEN surging THEN sd ELSE 0 END, 6) AS surge, desired,
-  CASE WHEN NOT allowed THEN cur WHEN wanted <= cur THEN wanted ELSE least(wanted, cur + 3, cur * 2) END AS safe,
-  CASE WHEN surging THEN 'sustained_abnormal_slope_and_baseline' ELSE 'baseline_replicas' END || ';' || CASE WHEN NOT allowed THEN 'capacity_unavailable' WHEN wanted <= cur THEN 'no_predictive_scale_up' ELSE 'rate_limited' END AS reason FROM w""")
+def varied(samples: DataFrame) -> DataFrame:
+    """Contracts that differ in engine, quantile, horizon and training window."""
+    w = F.col("workload_id")
+    return contracts(samples).withColumns({
+        "engine": F.when(w.isin("click", "view"), "rolling-quantile").when(w == "signup", "gru").otherwise(""),
+        "quantile": F.when(w == "view", 0.8).otherwise(0.97),
+        "horizon_s": F.when(w.isin("click", "purchase"), 6 * HOUR).otherwise(3 * HOUR).cast("long"),
+        "startup_s": F.lit(600).cast("long"),
+        "buffer_s": F.lit(3000).cast("long"),
+        "training_window_s": F.when(w.isin("view", "error"), 7 * 24 * HOUR).otherwise(20 * 24 * HOUR).cast("long"),
+        "timezone": F.when(w == "view", "Europe/Istanbul").otherwise("UTC"),
+    })
+
+
+_VARIED_SQL = """varied AS (SELECT *, CASE WHEN workload_id IN ('click', 'view') THEN 'rolling-quantile' WHEN workload_id = 'signup' THEN NULL ELSE 'seasonal-baseline' END AS engine, CASE WHEN workload_id = 'view' THEN 0.8::DOUBLE ELSE 0.97::DOUBLE END AS q, CASE WHEN workload_id IN ('click', 'purchase') THEN 7 ELSE 4 END AS steps,
+  CASE WHEN workload_id IN ('view', 'error') THEN 7 ELSE 20 END AS days FROM (SELECT DISTINCT workload_id FROM hourly))"""
+
+
+def _cycle_sql(source: str, filled: str, rows: str, estimated: str, used: str, status: str) -> str:
+    """The decisions from ``filled`` (workload_id, observed_at, observed_value), a series' model input."""
+    return f"""{_VARIED_SQL}, suffix_ AS (SELECT workload_id, observed_at, observed_value FROM {source}
+), rows_ AS (SELECT workload_id, observed_at, observed_value, (observed_value - lag(observed_value) OVER w) / 60 AS slope, avg(observed_value) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS baseline, row_number() OVER (PARTITION BY workload_id ORDER BY observed_at DESC) AS back, count(*) OVER (PARTITION BY workload_id) AS n FROM suffix_ WINDOW w AS (PARTITION BY workload_id ORDER BY observed_at)
+), sk AS (SELECT workload_id, slope, row_number() OVER (PARTITION BY workload_id ORDER BY slope) AS r, count(*) OVER (PARTITION BY workload_id) AS m FROM rows_ WHERE back > 2 AND slope IS NOT NULL
+), p95 AS (SELECT workload_id, max(CASE WHEN r = ceil(0.95::DOUBLE * m) THEN slope END) AS slope_p95 FROM sk GROUP BY 1
+), cand AS (SELECT r.*, coalesce(slope > 0 AND baseline > 0 AND (slope_p95 <= 0 OR slope >= slope_p95 * 3.0) AND observed_value >= baseline * 1.5, false) AS candidate FROM rows_ r LEFT JOIN p95 USING (workload_id) WHERE back <= 2
+), surges AS (SELECT workload_id, bool_and(candidate) AND max(n) >= 7 AS triggered, max(CASE WHEN back = 1 THEN observed_value END) AS value, max(CASE WHEN back = 1 THEN slope END) AS slope FROM cand GROUP BY 1
+), input_ AS ({filled}
+), numbered AS (SELECT i.workload_id, i.observed_value, v.steps, v.engine, v.q, row_number() OVER (PARTITION BY i.workload_id ORDER BY i.observed_at) AS place, row_number() OVER (PARTITION BY i.workload_id ORDER BY i.observed_at DESC) AS back, count(*) OVER (PARTITION BY i.workload_id) AS n FROM input_ i JOIN varied v USING (workload_id)
+), seasonal_ AS (SELECT workload_id, max(CASE WHEN back <= {SEASON} AND back > {SEASON} - least(steps, {SEASON}) AND n >= {SEASON} THEN observed_value END) AS p50 FROM numbered WHERE engine = 'seasonal-baseline' GROUP BY 1
+), peaks_ AS (SELECT a.workload_id, a.place, a.q, max(b.observed_value) AS peak FROM numbered a JOIN numbered b ON a.workload_id = b.workload_id AND b.place BETWEEN a.place AND a.place + a.steps - 1 WHERE a.engine = 'rolling-quantile' AND a.n > a.steps AND a.place + a.steps - 1 <= a.n GROUP BY 1, 2, 3
+), ranked_ AS (SELECT workload_id, q, peak, row_number() OVER (PARTITION BY workload_id ORDER BY peak) AS r, count(*) OVER (PARTITION BY workload_id) AS m FROM peaks_
+), predicted AS (SELECT workload_id, p50, p50 AS upper FROM seasonal_ UNION ALL SELECT workload_id, max(CASE WHEN r = ceil(0.5::DOUBLE * m) THEN peak END), max(CASE WHEN r = ceil(q * m) THEN peak END) FROM ranked_ GROUP BY 1
+), facts AS ({rows}
+), j AS (SELECT v.workload_id, v.engine, v.steps, f.latest, f.rows, {estimated} AS estimated, {used} AS used, p.p50, p.upper, coalesce(s.triggered, false) AS triggered, CASE WHEN s.triggered THEN least(value + greatest(0, slope) * 60, value * 1.5) ELSE 0 END AS sd, CAST(length(v.workload_id) AS DOUBLE) AS cur, v.workload_id <> 'error' AS allowed, {THRESHOLD_SQL.replace('workload_id', 'v.workload_id')} AS thr, {status} AS status
+  FROM varied v LEFT JOIN facts f USING (workload_id) LEFT JOIN predicted p USING (workload_id) LEFT JOIN surges s USING (workload_id)
+), d AS (SELECT *, triggered AND sd > upper AS surging, ceil(CASE WHEN triggered AND sd > upper THEN sd ELSE upper END / thr) AS raw_desired FROM j
+), e AS (SELECT *, CASE WHEN estimated > 0 THEN greatest(raw_desired, cur) ELSE raw_desired END AS desired, CASE WHEN estimated > 0 THEN 1 ELSE 3 END AS step, CASE WHEN estimated > 0 THEN 1.25::DOUBLE ELSE 2.0::DOUBLE END AS factor FROM d
+), g AS (SELECT *, least(desired, 50) AS wanted FROM e)
+SELECT workload_id, status, engine, CAST(steps AS BIGINT) AS steps, latest, rows, CASE WHEN status = 'ok' THEN round(p50, 6) END AS p50, CASE WHEN status = 'ok' THEN round(upper, 6) END AS upper, CASE WHEN status = 'ok' THEN round(CASE WHEN surging THEN sd ELSE 0 END, 6) END AS surge, CASE WHEN status = 'ok' THEN desired END AS desired,
+  CASE WHEN status = 'ok' THEN CASE WHEN NOT allowed THEN cur WHEN wanted <= cur THEN wanted ELSE least(wanted, cur + step, cur * factor) END END AS safe,
+  CASE WHEN status = 'ok' THEN CASE WHEN surging THEN 'sustained_abnormal_slope_and_baseline' WHEN used THEN 'baseline_replicas;recovered_after_source_gap' ELSE 'baseline_replicas' END || CASE WHEN estimated > 0 THEN ';inference_interpolated_points=' || estimated || ';conservative_gap_recovery' ELSE '' END || ';' || CASE WHEN NOT allowed THEN 'capacity_unavailable' WHEN wanted <= cur THEN 'no_predictive_scale_up' ELSE 'rate_limited' END END AS reason FROM g"""
+
+
+_INSIDE = f"d.observed_at BETWEEN TIMESTAMP '{END}' - v.days * INTERVAL 1 DAY AND TIMESTAMP '{END}'"
+
+
+@query(f"""WITH {SERIES_SQL}, {_cycle_sql(f"dense d JOIN (SELECT workload_id, CASE WHEN workload_id IN ('view', 'error') THEN 7 ELSE 20 END AS days FROM (SELECT DISTINCT workload_id FROM hourly)) v USING (workload_id) WHERE {_INSIDE}", "SELECT * FROM suffix_", "SELECT workload_id, max(observed_at) AS latest, count(*) AS rows FROM suffix_ GROUP BY 1", "0", "false", "CASE WHEN v.engine IS NULL THEN 'model_unavailable' ELSE 'ok' END")}""")
 def replica_decision(spark, sf_dir):
     rows = full(spark, sf_dir)
-    return rounded(cycle.forecast_cycle(rows, contracts(rows), state(rows), ts(END), HOUR, SEASON, STEPS))
+    return rounded(cycle.forecast_cycle(rows, varied(rows), state(rows), ts(END), HOUR, SEASON))
 
 
-@query()
+_OWN_SQL = f"own_ AS (SELECT d.* FROM hourly d JOIN (SELECT workload_id, CASE WHEN workload_id IN ('view', 'error') THEN 7 ELSE 20 END AS days FROM (SELECT DISTINCT workload_id FROM hourly)) v USING (workload_id) WHERE {_INSIDE})"
+_RUN_SQL = """(SELECT workload_id, observed_at, observed_value FROM (SELECT *, max(seg) OVER (PARTITION BY workload_id) AS last_seg FROM (SELECT *, sum(CASE WHEN gap >= 5400 THEN 1 ELSE 0 END) OVER (PARTITION BY workload_id ORDER BY observed_at ROWS UNBOUNDED PRECEDING) AS seg
+  FROM (SELECT *, epoch(observed_at) - epoch(lag(observed_at) OVER (PARTITION BY workload_id ORDER BY observed_at)) AS gap FROM own_))) WHERE seg = last_seg)"""
+_GAP_STATUS = """CASE WHEN v.engine IS NULL THEN 'model_unavailable' WHEN f.latest IS NULL OR f.latest < TIMESTAMP '2024-01-30 22:00:00' THEN 'stale_source' WHEN input_status <> 'ok' THEN 'unreliable_inputs' WHEN f.rows < 5 THEN 'insufficient_history' WHEN p.p50 IS NULL THEN 'model_error' ELSE 'ok' END"""
+
+
+@query(f"""WITH {SERIES_SQL}, {_OWN_SQL}, filled_ AS ({FILL_SQL.replace('SOURCE', 'own_')}), {_cycle_sql(_RUN_SQL, "SELECT * FROM filled_ WHERE status = 'ok'", "SELECT o.workload_id, max(o.observed_at) AS latest, max(k.rows) AS rows, max(k.est) AS est, bool_or(k.used) AS used_, max(k.status) AS input_status FROM own_ o LEFT JOIN (SELECT workload_id, count(*) AS rows, max(estimated_count) AS est, bool_or(used_suffix) AS used, max(status) AS status FROM filled_ GROUP BY 1) k USING (workload_id) GROUP BY 1", "coalesce(f.est, 0)", "coalesce(f.used_, false)", _GAP_STATUS)}""")
 def gap_tolerant_decision(spark, sf_dir):
-    """The cycle on series with holes: rows of every status."""
+    """The cycle on series with holes, of which the latest run counts."""
     rows = sparse(spark, sf_dir)
-    return rounded(cycle.forecast_cycle(rows, contracts(rows), state(rows), ts(END), HOUR, SEASON, STEPS, "rolling-quantile", max_gap_s=5 * HOUR))
+    return rounded(cycle.forecast_cycle(rows, varied(rows), state(rows), ts(END), HOUR, SEASON, max_gap_s=5 * HOUR, min_samples=5))
 
 
-@query()
+@query(f"""WITH {SERIES_SQL}, run_ AS ({SUFFIX_SQL}), {SURGE_SQL.replace('MULT', '3.0').replace('BASE', '1.5').replace('FROM dense', 'FROM run_').replace('p AS (', 'p95 AS (').replace('JOIN p USING', 'LEFT JOIN p95 USING').replace('p.slope_p95', 'p95.slope_p95').replace('slope > 0 AND baseline', 'coalesce(slope > 0 AND baseline').replace('baseline * 1.5 AS candidate', 'baseline * 1.5, false) AS candidate')}
+SELECT workload_id, triggered, round(CASE WHEN triggered THEN least(value + greatest(0, slope) * 15, value * 1.5) ELSE 0 END, 6) AS demand, value, round(slope, 6) AS slope, round(baseline, 6) AS baseline, round(slope_p95, 6) AS slope_p95 FROM surges""")
 def surge_on_raw(spark, sf_dir):
     rows = raw(spark, sf_dir)
     return rounded(surge.surges(suffix_of(rows, HOUR), HOUR, contracts(rows).select(*SERIES, F.lit(15.0).alias("lead_minutes"))))

@@ -147,7 +147,8 @@ def training_segment(spark, sf_dir):
     return shown(quality.training_segment(sparse(spark, sf_dir), HOUR, 10).drop("slot"))
 
 
-@query(f"""WITH {SERIES_SQL}, p AS (
+#: The latest run of real hours.
+SUFFIX_SQL = """WITH p AS (
   SELECT workload_id, source_fingerprint, date_trunc('hour', observed_at) AS slot_at, min(observed_at) AS first_at, max(observed_at) AS last_at FROM raw GROUP BY 1, 2, 3
 ), v AS (
   SELECT p.*, k.observed_value, k.sequence FROM p JOIN (
@@ -156,13 +157,17 @@ def training_segment(spark, sf_dir):
 ), g AS (SELECT *, epoch_us(first_at) - epoch_us(lag(last_at) OVER (PARTITION BY workload_id ORDER BY slot_at)) AS gap FROM v
 ), s AS (SELECT *, sum(CASE WHEN gap >= 5400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY workload_id ORDER BY last_at ROWS UNBOUNDED PRECEDING) AS seg FROM g
 ), m AS (SELECT *, max(seg) OVER (PARTITION BY workload_id) AS last_seg FROM s)
-SELECT workload_id, last_at AS observed_at, observed_value, sequence FROM m WHERE seg = last_seg""")
+SELECT workload_id, last_at AS observed_at, observed_value, sequence FROM m WHERE seg = last_seg"""
+
+
+@query(f"WITH {SERIES_SQL} {SUFFIX_SQL.replace('WITH p AS', ', p AS', 1)}")
 def real_suffix(spark, sf_dir):
     return shown(quality.real_suffix(raw(spark, sf_dir), HOUR).drop("slot"))
 
 
-@query(f"""WITH {SERIES_SQL}, g AS (
-  SELECT *, lag(observed_at) OVER w AS before_at, lag(observed_value) OVER w AS before FROM hourly WINDOW w AS (PARTITION BY workload_id ORDER BY observed_at)
+#: The model input of a table ``SOURCE`` with a row per hour.
+FILL_SQL = """WITH g AS (
+  SELECT *, lag(observed_at) OVER w AS before_at, lag(observed_value) OVER w AS before FROM SOURCE WINDOW w AS (PARTITION BY workload_id ORDER BY observed_at)
 ), q AS (SELECT *, (epoch_us(observed_at) - epoch_us(before_at)) / 1000000.0 AS gap FROM g
 ), b AS (
   SELECT *, round(gap / 3600) AS steps, coalesce(gap >= 5400 AND gap <= 18000 + 900 AND abs(gap - round(gap / 3600) * 3600) <= 900 AND abs(observed_value - before) / greatest(1, before, observed_value) <= 0.25 AND round(gap / 3600) <= 6, false) AS bridge FROM q
@@ -179,8 +184,11 @@ def real_suffix(spark, sf_dir):
   SELECT *, sum(is_estimated::INT) OVER p AS est, count(*) OVER p AS size, sum(CASE WHEN from_end <= 60 THEN is_estimated::INT ELSE 0 END) OVER p AS rest, sum(CASE WHEN from_end <= 60 THEN 1 ELSE 0 END) OVER p AS rsize,
     min(CASE WHEN is_estimated THEN from_end END) OVER p AS nearest FROM e WINDOW p AS (PARTITION BY workload_id)
 )
-SELECT workload_id, observed_at, round(observed_value, 6) AS observed_value, is_estimated, used_suffix, CAST(est AS BIGINT) AS estimated_count,
-  CASE WHEN est > 0 AND est / size::DOUBLE > 0.05 THEN 'too_many_estimated' WHEN est > 0 AND rest / rsize::DOUBLE > 0.05 THEN 'too_many_recent' WHEN est > 0 AND nearest <= 2 THEN 'short_real_tail' ELSE 'ok' END AS status FROM t""")
+SELECT workload_id, observed_at, observed_value, is_estimated, used_suffix, CAST(est AS BIGINT) AS estimated_count,
+  CASE WHEN est > 0 AND est / size::DOUBLE > 0.05 THEN 'too_many_estimated' WHEN est > 0 AND rest / rsize::DOUBLE > 0.05 THEN 'too_many_recent' WHEN est > 0 AND nearest <= 2 THEN 'short_real_tail' ELSE 'ok' END AS status FROM t"""
+
+
+@query(f"""WITH {SERIES_SQL} SELECT workload_id, observed_at, round(observed_value, 6) AS observed_value, is_estimated, used_suffix, estimated_count, status FROM ({FILL_SQL.replace('SOURCE', 'hourly')})""")
 def bounded_fill(spark, sf_dir):
     out = fill.bounded_fill(sparse(spark, sf_dir), HOUR, max_gap_s=5 * HOUR)
     return shown(out.withColumn("observed_value", F.round("observed_value", 6)).withColumn("estimated_count", F.col("estimated_count").cast("long")))
@@ -211,8 +219,8 @@ def repair_plan(spark, sf_dir):
     return shown(repair.repair_plan(holes(spark, sf_dir), points=100, most_runs=25))
 
 
-@query(MISSING_SQL + """, n AS (SELECT workload_id, count(*) AS missing_before FROM missing GROUP BY 1)
-SELECT s.workload_id, CAST(720 AS BIGINT) AS expected, coalesce(missing_before, 0) AS missing_before, CAST(0 AS BIGINT) AS missing_after, coalesce(missing_before, 0) AS inserted
+@query(MISSING_SQL + """, n AS (SELECT workload_id, count(*) AS missing_before, count(DISTINCT run) AS runs FROM (SELECT *, place - row_number() OVER (PARTITION BY workload_id ORDER BY place) AS run FROM missing) GROUP BY 1)
+SELECT s.workload_id, CASE WHEN runs > 128 THEN 1 ELSE coalesce(runs, 0) END AS requests, CAST(720 AS BIGINT) AS expected, coalesce(missing_before, 0) AS missing_before, CAST(0 AS BIGINT) AS missing_after, coalesce(missing_before, 0) AS inserted
 FROM (SELECT DISTINCT workload_id FROM hourly) s LEFT JOIN n USING (workload_id)""")
 def repair_report(spark, sf_dir):
     rows = sparse(spark, sf_dir)
@@ -221,8 +229,7 @@ def repair_report(spark, sf_dir):
         places = plan.withColumn("place", F.explode(F.sequence("first", "last")))
         return places.select(*SERIES, F.timestamp_seconds(F.unix_seconds(ts(START)) + F.col("place") * HOUR).alias("observed_at"), F.lit(123.0).alias("value"))
 
-    report = repair.repair(rows, rows.select(*SERIES).distinct(), START, END, HOUR, ask)[1]
-    return shown(report.drop("requests"))
+    return shown(repair.repair(rows, rows.select("cluster_id", *SERIES).distinct(), START, END, HOUR, ask)[1])
 
 
 @query("""
