@@ -3,33 +3,16 @@
 from __future__ import annotations
 
 import gc
-import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import cut, shared_folder
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
+__all__ = ["cut", "read", "remove", "shared_folder", "tidy"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one under /tmp only where the session names none and all runs on one machine, as in tests."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named and not re.match(r"local(\[|$)", sc.master):
-        raise ValueError("name a folder that all executors see in spark.checkpoint.dir")
-    if not named:
-        named = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed now and kept in the shared folder, so that a lost executor loses nothing of it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def remove(spark: SparkSession, path: str) -> None:
