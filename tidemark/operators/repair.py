@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.time import slot, slot_start
 from tidemark.operators.store import insert_missing
 from tidemark.schema import SERIES
+from tidemark.session import cut
 
 #: Points of a query, and runs beyond which a plan is made of whole shards.
 POINTS, MOST_RUNS = 10_000, 128
@@ -100,20 +102,21 @@ def repair(samples: DataFrame, contracts: DataFrame, start: str, end: str, inter
     The plan is over all series at once; nothing passes the driver.
     """
     first, last = (slot(F.lit(t).cast("timestamp"), interval_s) for t in (start, end))
-    before = missing_slots(samples, contracts, start, end, interval_s)
+    before = cut(missing_slots(samples, contracts, start, end, interval_s))
     cluster = contracts.select(*SERIES, F.col("cluster_id") if "cluster_id" in contracts.columns else F.lit("main").alias("cluster_id")).dropDuplicates(SERIES)
-    after, left, spent = samples, before, cluster.select(*SERIES, F.lit(0).cast("long").alias("requests"))
+    left, spent, made = before, cluster.select(*SERIES, F.lit(0).cast("long").alias("requests")), []
     for _ in range(limits.tries):
-        plan = repair_plan(left).where(last - first <= limits.points).withColumn("timeout_s", F.lit(limits.query_timeout_s))
+        plan = cut(repair_plan(left).where(last - first <= limits.points).withColumn("timeout_s", F.lit(limits.query_timeout_s)))
         costs = plan.groupBy(*SERIES).agg(F.count("*").alias("cost"))
         paid = spent.join(costs, SERIES, "left").withColumn("cost", F.coalesce("cost", F.lit(0))).withColumn("cost", F.when(F.col("requests") + F.col("cost") <= limits.requests, F.col("cost")).otherwise(0))
         # Kept, so that no source is asked twice for one answer.
-        answers = repair_points(ask(plan.join(paid.where("cost > 0").select(*SERIES), SERIES, "left_semi")), left, interval_s).persist()
+        answers = cut(repair_points(ask(plan.join(paid.where("cost > 0").select(*SERIES), SERIES, "left_semi")), left, interval_s))
         faulty = answers.where("fault is not null").select(*SERIES).distinct()
-        good = answers.where("fault is null").join(faulty, SERIES, "left_anti").join(cluster, SERIES).select("cluster_id", *SERIES, "observed_at", F.col("value").alias("observed_value"))
-        after = insert_missing(after, good, interval_s).persist()
-        left = missing_slots(after, contracts, start, end, interval_s).persist()
-        spent = paid.select(*SERIES, (F.col("requests") + F.col("cost")).alias("requests")).persist()
+        good = answers.where("fault is null").join(faulty, SERIES, "left_anti")
+        made.append(good.join(cluster, SERIES).select("cluster_id", *SERIES, "observed_at", F.col("value").alias("observed_value")))
+        left = cut(left.join(good.select(*SERIES, "slot"), [*SERIES, "slot"], "left_anti"))
+        spent = cut(paid.select(*SERIES, (F.col("requests") + F.col("cost")).alias("requests")))
+    after = insert_missing(samples, reduce(DataFrame.unionByName, made), interval_s)
     count = lambda df, name: df.groupBy(*SERIES).agg(F.count("*").alias(name))
     report = contracts.select(*SERIES).distinct().withColumn("expected", last - first)
     for df, name in ((before, "missing_before"), (left, "missing_after")):

@@ -17,6 +17,7 @@ from tidemark.operators.quality import sufficient_history
 from tidemark.operators.repair import query_chunks
 from tidemark.operators.store import insert_missing
 from tidemark.schema import SERIES
+from tidemark.session import cut
 from tidemark.sources.payloads import instant_values
 
 Ask = Callable[[DataFrame], DataFrame]
@@ -43,7 +44,7 @@ def sample_cycle(contracts: DataFrame, now: Column, ask: Ask, failed: DataFrame
     for attempt in range(max(tries, 1)):
         wait = backoff_s * 2 ** (attempt - 1) if attempt else 0.0
         asked = left.withColumns({"attempt": F.lit(attempt), "wait_s": F.lit(wait)})
-        answers = ask(asked).select(*SERIES, F.col("value").cast("double").alias("value"), "fault").persist()
+        answers = cut(ask(asked).select(*SERIES, F.col("value").cast("double").alias("value"), "fault"))
         rows = asked.select(*SERIES, "cluster_id").join(answers, SERIES, "left").withColumn("fault", F.when(F.col("value").isNull(), F.coalesce("fault", F.lit("no_answer"))))
         last = attempt == max(tries, 1) - 1
         kept.append((rows if last else rows.where("fault is null")).withColumns({"tries": F.lit(attempt + 1), "waited_s": F.lit(backoff_s * (2**attempt - 1))}))

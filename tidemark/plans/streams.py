@@ -11,6 +11,7 @@ from tidemark.plans.features import rounded
 from tidemark.plans.registry import HOUR, SEASON, SERIES_SQL, STEPS, query
 from tidemark.plans.series import shown
 from tidemark.schema import SERIES
+from tidemark.session import shared_folder
 from tidemark.sources.series import observations
 from tidemark.streaming import twins
 
@@ -18,9 +19,8 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def folder(spark) -> str:
-    """A new folder under the shared one; under /tmp only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{named.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
 def stream(spark, sf_dir) -> DataFrame:

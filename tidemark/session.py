@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Times are compared in UTC throughout; plans are adapted while they run.
 SETTINGS = {
@@ -15,6 +17,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -40,3 +43,22 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(str(target))
     sc._tidemark_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see; one under /tmp only where the session names none and all runs on one machine, as in tests."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("name a folder that all executors see in spark.checkpoint.dir")
+    if not named:
+        named = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept in the shared folder, so that a lost executor loses nothing of it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
