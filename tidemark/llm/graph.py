@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import cut
+from tidemark.llm.frames import cut, tidy
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -43,6 +43,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         ends = F.explode(F.array(F.col("a"), F.when(F.col("b") != F.col("m"), F.col("b")))).alias("a")
         after = cut(small.select(ends, F.col("m").alias("b")).where("a is not null").distinct())
         digest = _digest(after)
+        tidy(edges.sparkSession)  # of the round's shuffles
         now, done, seen = after, digest == seen, digest
         if done:
             break
