@@ -13,6 +13,10 @@ def _digest(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
+#: Edges of a task.
+EDGES = 1 << 16
+
+
 def _hung(edges: DataFrame) -> DataFrame:
     """(a, b, m): edges with the least neighbour of ``a``."""
     return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
@@ -37,11 +41,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     now = cut(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(a, b).distinct())
     seen = _digest(now)
     while seen[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _hung(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        # Tasks in proportion to the edges: late rounds have few, which would otherwise be many small files.
+        tasks = max(1, seen[0] // EDGES)
+        now = now.coalesce(tasks)
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
+        large = _hung(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).coalesce(tasks)
         small = _hung(large)
         ends = F.explode(F.array(F.col("a"), F.when(F.col("b") != F.col("m"), F.col("b")))).alias("a")
-        after = cut(small.select(ends, F.col("m").alias("b")).where("a is not null").distinct())
+        after = cut(small.select(ends, F.col("m").alias("b")).where("a is not null").coalesce(tasks).distinct().coalesce(tasks))
         digest = _digest(after)
         tidy(edges.sparkSession)  # of the round's shuffles
         now, done, seen = after, digest == seen, digest
