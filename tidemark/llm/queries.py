@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import round_trip
+from tidemark.llm.clusters import cluster_rows, cluster_sql
 from tidemark.llm.frames import read
+from tidemark.llm.licenses import license_labels, license_sql
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymise
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.runs import run_digests
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.tiff import media_features
 from tidemark.llm.token_counts import token_counts
@@ -80,6 +83,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(read(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(read(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_rows(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -92,8 +107,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_tiff": op9_tiff,
         "op10_quality": op10_quality,
+        "op11_licenses": op11_licenses,
+        "op12_runs": op12_runs,
+        "op13_clusters": op13_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL}
+    return {"op2_top_k": OP2_SQL, "op11_licenses": license_sql(), "op13_clusters": cluster_sql()}
