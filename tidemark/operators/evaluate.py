@@ -52,43 +52,48 @@ def walk_forward(forecasts: DataFrame, steps: int, season: int, q: float, most:
     )
 
 
-def paired_origins(samples: DataFrame, interval_s: int, steps: int, history: int, after: str | None = None, afters: DataFrame | None = None) -> DataFrame:
+def _column(value: Column | float) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def paired_origins(samples: DataFrame, interval_s: Column | int, steps: Column | int, history: Column | int, after: Column | str | None = None, afters: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Disjoint evaluation origins per series, with the horizon's maximum: the same for all models.
 
     ``samples`` has one row per slot. A cut needs ``history`` rows before it
     and ``steps`` behind it without a missing slot, and an origin not before
     ``after``, or before the series' own in ``afters`` (series, after); within
     a segment the first such cut and every ``steps``-th after it are taken, so
-    that no targets overlap.
+    that no targets overlap. Interval, steps and history may be columns of
+    ``samples`` that are equal within a series, as may those to ``carry``.
+
+    As targets lie end to end behind a segment's first cut, each row belongs
+    to one target by its place, whatever the series' steps are.
     """
-    at = slot(F.col("observed_at"), interval_s)
-    runs = samples.withColumn("segment", at - F.row_number().over(ordered()))
+    runs = samples if afters is None else samples.join(afters.select(*SERIES, "after"), SERIES)
+    bound = F.col("after") if afters is not None else F.lit(after).cast("timestamp") if isinstance(after, str) else after
+    runs = runs.withColumn("segment", slot(F.col("observed_at"), interval_s) - F.row_number().over(ordered()))
     w = ordered("segment")
-    ahead = w.rowsBetween(1, steps)
-    rows = runs.withColumns({
-        "place": F.row_number().over(w),
-        "actual": F.when(F.count("*").over(ahead) == steps, F.greatest(F.max("observed_value").over(ahead), F.lit(0.0))),
-        "target_end": F.max("observed_at").over(ahead),
-    })
-    fits = (F.col("place") >= history) & F.col("actual").isNotNull()
-    if after is not None:
-        fits = fits & (F.col("observed_at") >= F.lit(after).cast("timestamp"))
-    if afters is not None:
-        rows = rows.join(afters.select(*SERIES, "after"), SERIES)
-        fits = fits & (F.col("observed_at") >= F.col("after"))
-    eligible = rows.where(fits).withColumn("rank", F.row_number().over(w))
-    return eligible.where((F.col("rank") - 1) % steps == 0).select(*SERIES, F.col("observed_at").alias("origin"), "segment", "target_end", "actual")
-
-
-def comparison_status(origins: DataFrame, steps: int, interval_s: int, min_windows: int, min_duration_s: int) -> DataFrame:
+    rows = runs.withColumns({"place": F.row_number().over(w), "before_at": F.lag("observed_at").over(w), "steps_": _column(steps).cast("long")})
+    fits = F.col("place") >= _column(history)
+    if bound is not None:
+        fits = fits & (F.col("observed_at") >= bound)
+    ahead = F.col("place") - F.min(F.when(fits, F.col("place"))).over(Window.partitionBy(*SERIES, "segment"))
+    targets = rows.withColumn("ahead", ahead).where("ahead > 0").withColumn("target", F.expr("(ahead - 1) div steps_"))
+    held = targets.groupBy(*SERIES, "segment", "target", *carry).agg(
+        F.min("before_at").alias("origin"), F.max("observed_at").alias("target_end"), F.greatest(F.max("observed_value"), F.lit(0.0)).alias("actual"), F.count("*").alias("rows"), F.max("steps_").alias("steps_")
+    )
+    return held.where("rows = steps_").select(*SERIES, "origin", "segment", "target_end", "actual", *carry)
+
+
+def comparison_status(origins: DataFrame, steps: Column | int, interval_s: Column | int, min_windows: int, min_duration_s: int) -> DataFrame:
     """Per series of ``origins``: windows, first origin, last target, and whether they suffice."""
-    out = origins.groupBy(*SERIES).agg(F.count("*").alias("eligible_windows"), F.min("origin").alias("start"), F.max("target_end").alias("end"))
+    out = origins.groupBy(*SERIES).agg(F.count("*").alias("eligible_windows"), F.min("origin").alias("start"), F.max("target_end").alias("end"), F.max(_column(steps) * _column(interval_s)).alias("horizon"))
     span = seconds_between(F.col("end"), F.col("start"))
-    reason = F.when(F.col("eligible_windows") < min_windows, "insufficient_complete_windows").when((span < min_duration_s) | (F.col("eligible_windows") * steps * interval_s < 0.9 * min_duration_s), "insufficient_evaluation_duration").otherwise("ok")
-    return out.withColumn("reason", reason)
+    reason = F.when(F.col("eligible_windows") < min_windows, "insufficient_complete_windows").when((span < min_duration_s) | (F.col("eligible_windows") * F.col("horizon") < 0.9 * min_duration_s), "insufficient_evaluation_duration").otherwise("ok")
+    return out.withColumn("reason", reason).drop("horizon")
 
 
-def compared(origins: DataFrame, forecasts: DataFrame, q: float, threshold: float, horizon_minutes: float, most: int) -> DataFrame:
+def compared(origins: DataFrame, forecasts: DataFrame, q: Column | float, threshold: Column | float, horizon_minutes: Column | float, most: int) -> DataFrame:
     """(series, model, nine metrics): ``forecasts`` (series, origin, model, upper) on identical origins, ``most`` of them spread evenly.
 
     A peak is a horizon whose maximum is at or above the element at nine

@@ -14,11 +14,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import FEATURE_SCHEMA
-from tidemark.schema import SERIES
+from tidemark.operators.features import FEATURE_SCHEMA, WARM_UP
+from tidemark.schema import SERIES, apart
+from tidemark.session import ship
 
 #: Fixed values of the engines: rounds and rates by quantile; sizes of the networks.
 TREES = {"p50": (80, 0.1), "upper": (120, 0.08)}
@@ -238,6 +239,11 @@ def _calendar(times: pd.Series) -> np.ndarray:
     return np.stack([*waves, day.isin([0, 6]).to_numpy(float)], axis=1)
 
 
+def _clock(pdf: pd.DataFrame) -> pd.Series:
+    """The wall clock of the rows: ``clock`` where there is one, that of the business time zone."""
+    return pdf["clock"] if "clock" in pdf else pdf["observed_at"]
+
+
 def train_sequence(pdf: pd.DataFrame, steps: int, q: float, shape: dict, reset_first: bool, conformal: bool) -> dict | None:
     """An artifact of one series, or None if it is too short."""
     pdf = pdf.sort_values("observed_at")
@@ -250,7 +256,7 @@ def train_sequence(pdf: pd.DataFrame, steps: int, q: float, shape: dict, reset_f
     seen = values[: parts[0].stop + length - 1]
     low, scale = float(seen.min()), float(seen.max() - seen.min())
     scale = scale if scale >= 1e-9 else 1.0
-    rows = np.hstack([((values - low) / scale)[:, None], _calendar(pdf["observed_at"])])
+    rows = np.hstack([((values - low) / scale)[:, None], _calendar(_clock(pdf))])
     windows = np.lib.stride_tricks.sliding_window_view(rows, length, axis=0)[:n].transpose(0, 2, 1)
     labels = (_horizon_maxima(values, steps)[length - 1 : length - 1 + n] - low) / scale
     pick = evenly_spaced(parts[0].stop, shape["examples"])
@@ -296,7 +302,7 @@ def predict_sequence(spec: dict, pdf: pd.DataFrame) -> tuple[float, float] | Non
     pdf = pdf.sort_values("observed_at").tail(spec["length"])
     if len(pdf) < spec["length"]:
         return None
-    rows = np.hstack([((pdf["observed_value"].to_numpy(float) - spec["minimum"]) / spec["scale"])[:, None], _calendar(pdf["observed_at"])])
+    rows = np.hstack([((pdf["observed_value"].to_numpy(float) - spec["minimum"]) / spec["scale"])[:, None], _calendar(_clock(pdf))])
     low, high = spec["model"].quantiles(rows[None])[0] * spec["scale"] + spec["minimum"]
     low = max(0.0, float(low))
     return low, max(low, float(high))
@@ -305,28 +311,58 @@ def predict_sequence(spec: dict, pdf: pd.DataFrame) -> tuple[float, float] | Non
 ARTIFACT = "workload_id string, source_fingerprint string, engine string, artifact binary, artifact_sha256 string, rows long"
 
 
-def train_networks(samples: DataFrame, steps: int, q: float, kind: str = "native", shape: dict | None = None) -> DataFrame:
-    """One artifact row per series that is long enough. ``kind``: 'native' (reset first) or 'conformal' (reset after, with an offset)."""
+def _own(rows: DataFrame, steps: Column | int, q: Column | float) -> DataFrame:
+    """Rows with their series' steps and quantile."""
+    one = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return rows.withColumns({"steps_": one(steps).cast("int"), "q_": one(q).cast("double")})
+
+
+def train_networks(samples: DataFrame, steps: Column | int, q: Column | float, kind: str = "native", shape: dict | None = None) -> DataFrame:
+    """One artifact row per series that is long enough. ``kind``: 'native' (reset first) or 'conformal' (reset after, with an offset).
+
+    ``steps`` and ``q`` may be columns of ``samples``; ``clock``, if there is
+    one, is the wall clock that the calendar's inputs are taken from.
+    """
+    ship(samples.sparkSession)
     shape = shape or (NATIVE if kind == "native" else CONFORMAL)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        artifact = train_sequence(pdf, steps, q, shape, kind == "native", kind != "native")
+        artifact = train_sequence(pdf, int(pdf["steps_"].iloc[0]), float(pdf["q_"].iloc[0]), shape, kind == "native", kind != "native")
         rows = [] if artifact is None else [[*key, "gru", *encoded(artifact), len(pdf)]]
         return pd.DataFrame(rows, columns=[*SERIES, "engine", "artifact", "artifact_sha256", "rows"])
 
-    return samples.select(*SERIES, "observed_at", "observed_value").groupBy(*SERIES).applyInPandas(fit, ARTIFACT)
+    clock = ["clock"] if "clock" in samples.columns else []
+    return _own(samples, steps, q).select(*SERIES, "observed_at", "observed_value", *clock, "steps_", "q_").groupBy(*SERIES).applyInPandas(fit, ARTIFACT)
 
 
-def train_tree_models(rows: DataFrame, q: float) -> DataFrame:
-    """One artifact row per series, from the rows of ``tree_rows``."""
-    names = sorted(c for c in rows.columns if c not in (*SERIES, "observed_at", "label"))
+def train_tree_models(rows: DataFrame, q: Column | float, steps: Column | int = 0, season: Column | int = 0, settings: tuple[str, ...] = (), least: int = 4) -> DataFrame:
+    """One artifact row per series, from the rows of ``tree_rows``, or from feature rows without a label.
+
+    Those get theirs here, the largest of the next ``steps`` values, from row
+    ``season`` of the series on; ``q``, ``steps`` and ``season`` may be columns,
+    then ``settings`` names those that are no features.
+    """
+    ship(rows.sparkSession)
+    given = {"q_": q, "steps_": steps, "season_": season}
+    names = sorted(c for c in rows.columns if c not in (*SERIES, "observed_at", "label", *settings))
+    labelled = "label" in rows.columns
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("observed_at")
-        artifact = train_trees(pdf[names].to_numpy(float), pdf["label"].to_numpy(float), names, q)
-        return pd.DataFrame([[*key, "xgboost", *encoded(artifact), len(pdf)]], columns=[*SERIES, "engine", "artifact", "artifact_sha256", "rows"])
-
-    return rows.groupBy(*SERIES).applyInPandas(fit, ARTIFACT)
+        x, n, places = pdf[names].to_numpy(np.float32 if not labelled else float), int(pdf["steps_"].iloc[0]), slice(None)
+        if labelled:
+            y = pdf["label"].to_numpy(float)
+        else:
+            y = _horizon_maxima(pdf["current_value"].to_numpy(float), n).astype(np.float32)
+            places = slice(max(0, int(pdf["season_"].iloc[0]) - WARM_UP), len(y))
+        x, y = x[places].astype(float), y[places.start or 0 :].astype(float)
+        if len(y) < least:
+            return pd.DataFrame(columns=[*SERIES, "engine", "artifact", "artifact_sha256", "rows"])
+        artifact = train_trees(x, y, names, float(pdf["q_"].iloc[0]))
+        return pd.DataFrame([[*key, "xgboost", *encoded(artifact), len(y)]], columns=[*SERIES, "engine", "artifact", "artifact_sha256", "rows"])
+
+    wide = rows.withColumns({c: x if isinstance(x, Column) else F.lit(x) for c, x in given.items()})
+    return wide.select(*SERIES, "observed_at", *names, *(["label"] if labelled else []), *given).groupBy(*SERIES).applyInPandas(fit, ARTIFACT)
 
 
 def predict_rows(inputs: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -341,8 +377,9 @@ def predict_rows(inputs: DataFrame, artifacts: DataFrame) -> DataFrame:
         low = np.maximum(spec["model"]["p50"].predict(x), 0)
         return rows[[*SERIES, "observed_at"]].assign(p50=low, upper=np.maximum(spec["model"]["upper"].predict(x), low))
 
+    ship(inputs.sparkSession)
     rows = inputs.select(*SERIES, "observed_at", *names)
-    return rows.groupBy(*SERIES).cogroup(artifacts.groupBy(*SERIES)).applyInPandas(score, "workload_id string, source_fingerprint string, observed_at timestamp, p50 double, upper double")
+    return apart(rows).groupBy(*SERIES).cogroup(apart(artifacts).groupBy(*SERIES)).applyInPandas(score, "workload_id string, source_fingerprint string, observed_at timestamp, p50 double, upper double")
 
 
 def predict_last(samples: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -354,8 +391,9 @@ def predict_last(samples: DataFrame, artifacts: DataFrame) -> DataFrame:
         out = predict_sequence(decoded(bytes(models["artifact"].iloc[0]), models["artifact_sha256"].iloc[0]), rows)
         return pd.DataFrame([[*key, *(out or (None, None))]], columns=[*SERIES, "p50", "upper"]).astype({"p50": float, "upper": float})
 
-    rows = samples.select(*SERIES, "observed_at", "observed_value")
-    return rows.groupBy(*SERIES).cogroup(artifacts.groupBy(*SERIES)).applyInPandas(score, "workload_id string, source_fingerprint string, p50 double, upper double")
+    ship(samples.sparkSession)
+    rows = samples.select(*SERIES, "observed_at", "observed_value", *(["clock"] if "clock" in samples.columns else []))
+    return apart(rows).groupBy(*SERIES).cogroup(apart(artifacts).groupBy(*SERIES)).applyInPandas(score, "workload_id string, source_fingerprint string, p50 double, upper double")
 
 
 def refit_walk_forward(rows: DataFrame, q: float, cuts: int, steps: int, least: int = 60) -> DataFrame:
@@ -380,6 +418,7 @@ def refit_walk_forward(rows: DataFrame, q: float, cuts: int, steps: int, least:
         low = max(0.0, float(spec["model"]["p50"].predict(x)[0]))
         return pd.DataFrame([[*key, float(target["label"].iloc[0]), low, max(low, float(spec["model"]["upper"].predict(x)[0]))]], columns=[*SERIES, "cut", "actual", "p50", "upper"])
 
+    ship(rows.sparkSession)
     return used.groupBy(*SERIES, "cut").applyInPandas(fit, "workload_id string, source_fingerprint string, cut int, actual double, p50 double, upper double")
 
 

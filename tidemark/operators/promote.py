@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.features import WARM_UP
 from tidemark.operators.store import append_audit, latest_per
 from tidemark.schema import SERIES, finite
 
@@ -142,8 +144,30 @@ def comparable_contract(a: Column, b: Column) -> Column:
 
 def artifact_intact(quantile: Column) -> Column:
     """Whether a model's artifact is what its digest says and, if it names a quantile, made for this one."""
-    own = F.get_json_object(F.decode("artifact", "UTF-8"), "$.quantile").try_cast("double")
-    return F.coalesce(F.sha2("artifact", 256) == F.col("artifact_sha256"), F.lit(False)) & (own.isNull() | (F.abs(own - quantile) <= SLACK))
+    return _as_written() & _for_quantile(_own_quantile(), quantile)
+
+
+def _as_written() -> Column:
+    return F.coalesce(F.sha2("artifact", 256) == F.col("artifact_sha256"), F.lit(False))
+
+
+def _own_quantile() -> Column:
+    # A cast, as bytes that are no text must not end the query.
+    return F.get_json_object(F.col("artifact").cast("string"), "$.quantile").try_cast("double")
+
+
+def _for_quantile(own: Column, quantile: Column) -> Column:
+    return own.isNull() | (F.abs(own - quantile) <= SLACK)
+
+
+def artifact_lookback() -> Column:
+    """Rows that a model's inference looks at, by its engine and artifact; 0 where it looks at all of its history."""
+    length = F.get_json_object(F.col("artifact").cast("string"), "$.length").try_cast("int")
+    return F.when(F.col("engine") == "xgboost", F.lit(WARM_UP + 1)).when(F.col("engine") == "gru", F.coalesce(length, F.lit(0))).otherwise(F.lit(0))
+
+
+#: Names of the time zones that a contract may have.
+ZONES = sorted(available_timezones())
 
 
 def evaluation_plan(models: DataFrame, contracts: DataFrame, now: Column, season_s: int, p: EvaluationPolicy = EvaluationPolicy()) -> DataFrame:
@@ -163,8 +187,11 @@ def evaluation_plan(models: DataFrame, contracts: DataFrame, now: Column, season
         rows = rows.where("false")
     report = lambda path: F.get_json_object("validation_metrics", f"$.promotion.{path}")
     made_for = F.from_json(F.get_json_object("hyperparameters", "$.evaluation_contract"), CONTRACT)
-    known = evaluation_candidates(models).join(rows.select(*SERIES, "contract"), SERIES)
-    known = known.withColumn("facts", F.struct("created_at", "model_id", "trained_until", "engine", "activated_at", made_for.alias("contract"), F.coalesce(F.try_to_timestamp(report("at")), F.timestamp_seconds(F.lit(0))).alias("report_at"), report("previous_id").alias("followed"), artifact_intact(F.col("contract.quantile")).alias("intact")))
+    # What is asked of an artifact is one row's; the artifacts themselves are not sorted and shuffled.
+    light = models.withColumns({"as_written": _as_written(), "own_quantile": _own_quantile(), "lookback": artifact_lookback()}).drop("artifact")
+    known = evaluation_candidates(light).join(rows.select(*SERIES, "contract"), SERIES)
+    intact = F.col("as_written") & _for_quantile(F.col("own_quantile"), F.col("contract.quantile"))
+    known = known.withColumn("facts", F.struct("created_at", "model_id", "trained_until", "engine", "activated_at", made_for.alias("contract"), F.coalesce(F.try_to_timestamp(report("at")), F.timestamp_seconds(F.lit(0))).alias("report_at"), report("previous_id").alias("followed"), intact.alias("intact"), "lookback"))
     newest = lambda status: F.max(F.when(F.col("status") == status, F.col("facts")))
     found = known.groupBy(*SERIES).agg(newest("candidate").alias("candidate"), newest("active").alias("active"), newest("retired").alias("retired"))
     wide = rows.join(found, SERIES, "left")
@@ -184,12 +211,18 @@ def evaluation_plan(models: DataFrame, contracts: DataFrame, now: Column, season
         .when(has & (age > p.candidate_expiry_s), "candidate_expired")
         .when(~F.col("target.intact"), "invalid_artifact")
         .when(returns & ~F.col("retired.intact"), "invalid_rollback_artifact")
+        .when(~F.coalesce((F.col("contract.interval_s") > 0) & F.col("contract.timezone").isin(*ZONES), F.lit(False)), "invalid_contract")
     )
     action = F.when(reason.isNotNull(), "withheld").when(has, F.lit("shadow" if p.mode == "shadow" else "evaluate_candidate")).otherwise("revalidate")
+    both = lambda is_, m: F.when(is_, F.struct(F.col(f"{m}.lookback").alias("lookback"), F.col(f"{m}.engine").alias("engine")))
+    compared = F.array_compact(F.array(both(F.col("target").isNotNull(), "target"), both(champion, "active"), both(returns, "retired")))
+    # Rows that each origin needs behind it: a season, two where an engine smooths, and what the longest look back takes.
+    seasons = F.when(F.exists(compared, lambda m: m["engine"] == "holt-winters"), 2).otherwise(1)
+    history = F.greatest(F.array_max(F.transform(compared, lambda m: m["lookback"])), F.try_divide(seasons * F.col("contract.season_s"), F.col("contract.interval_s")).cast("int"))
     after = F.greatest("target.trained_until", F.when(champion, F.col("active.trained_until")), F.when(returns, F.col("retired.trained_until")), F.when(returns, F.col("active.activated_at")), now - F.make_dt_interval(secs=F.lit(p.window_s)))
     return wide.select(
         *SERIES, action.alias("action"), reason.alias("reason"), F.col("target.model_id").alias("target_id"), F.col("active.model_id").alias("expected_active_id"), F.when(champion, F.col("active.model_id")).alias("champion_id"),
-        F.when(returns, F.col("retired.model_id")).alias("previous_id"), F.when(reason.isNull(), after).alias("evidence_after"), F.when(has, F.col("active.model_id")).otherwise(F.col("active.followed")).alias("follows_id"), "policy_revision", "contract",
+        F.when(returns, F.col("retired.model_id")).alias("previous_id"), F.when(reason.isNull(), after).alias("evidence_after"), F.when(has, F.col("active.model_id")).otherwise(F.col("active.followed")).alias("follows_id"), "policy_revision", "contract", history.alias("history"),
     )
 
 
@@ -242,6 +275,13 @@ def switched(models: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("activated_at", F.when(wins, now).otherwise(F.col("activated_at"))).withColumn("status", F.when(wins, "active").when(loses, "retired").otherwise(F.col("status"))).select(*models.columns)
 
 
+def committed(models: DataFrame, reports: DataFrame, contracts: DataFrame, now: Column, season_s: int, p: EvaluationPolicy = EvaluationPolicy()) -> DataFrame:
+    """Models after the reports that may be written: switched, and each report on its model."""
+    refused = commit_faults(reports, contracts, models, now, season_s, p).select(*SERIES)
+    passed = reports.where(F.col("target_id").isNotNull()).join(refused, SERIES, "left_anti")
+    return audited(switched(models, passed, now), passed)
+
+
 def audited(models: DataFrame, reports: DataFrame, kept: int = 20) -> DataFrame:
     """Models whose ``validation_metrics`` hold the report written on them, behind the last ones of its ``history``.
 

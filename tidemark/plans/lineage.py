@@ -69,7 +69,7 @@ _PLAN_SQL = f"""{_VERSIONS_SQL}, n AS (SELECT workload_id, max(created_at) AS ac
 @query(f"WITH {_PLAN_SQL} SELECT workload_id, action, reason, target_id, expected_active_id, champion_id, previous_id, evidence_after, follows_id FROM planned")
 def evaluation_plan(spark, sf_dir):
     out = promote.evaluation_plan(versions(spark, sf_dir), declared(spark), ts(NOW), SEASON_S, POLICY)
-    return shown(out.drop("policy_revision", "contract"))
+    return shown(out.drop("policy_revision", "contract", "history"))
 
 
 def reports(spark, sf_dir) -> DataFrame:

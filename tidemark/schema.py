@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A series is what one contract's source query gives; a changed query starts another series.
+#: A series is what one contract's source query gives; a changed query starts another series. Workload ids are unique across clusters.
 SERIES = ["workload_id", "source_fingerprint"]
 
 #: Tables as DDL.
@@ -22,13 +22,18 @@ SNAPSHOTS = (
 )
 MODELS = (
     "model_id string, cluster_id string, workload_id string, source_fingerprint string, engine string, status string, created_at timestamp, activated_at timestamp, "
-    "trained_until timestamp, hyperparameters string, validation_metrics string, artifact binary, artifact_sha256 string"
+    "trained_from timestamp, trained_until timestamp, quantile double, feature_schema string, dataset_fingerprint string, hyperparameters string, validation_metrics string, artifact binary, artifact_sha256 string"
 )
 RUNS = (
     "run_id bigint, cluster_id string, workload_id string, slot timestamp, status string, engine string, window_start timestamp, window_end timestamp, created_at timestamp, model_id string, failure_reason string"
 )
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` with columns of its own, for a join or cogroup with a table that it was made from."""
+    return df.toDF(*df.columns)
+
+
 def finite(value: Column) -> Column:
     """Neither null, NaN nor infinite; NaN compares as the largest number, so order alone can't tell."""
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
