@@ -85,3 +85,19 @@ def surges(suffix: DataFrame, interval_s: int, leads: DataFrame, policy: SurgePo
     out = out.withColumn("triggered", triggered & (F.col("lead_minutes") > 0))
     demand = F.when(F.col("triggered"), projected(F.col("value"), F.col("slope"), F.col("lead_minutes"), policy)).otherwise(0.0)
     return out.select(*SERIES, "triggered", demand.alias("demand"), "value", "slope", "baseline", "slope_p95")
+
+
+def surge_of(suffix: Column, lead: Column, policy: SurgePolicy = SurgePolicy()) -> Column:
+    """struct(triggered, demand) of a series' latest contiguous real rows, an array of (observed_at, observed_value, slope, baseline) in order: what ``surges`` finds."""
+    k, n = policy.confirmations, F.size(suffix)
+    slopes = F.filter(F.transform(F.slice(suffix, F.lit(1), F.greatest(n - k, F.lit(0))), lambda x: x["slope"]), lambda x: x.isNotNull())
+    last = F.slice(suffix, F.greatest(n - k + 1, F.lit(1)), F.lit(k))
+    enough = (n >= k + BASELINE_ROWS) & (lead > 0)
+
+    def found(p95: Column) -> Column:
+        candidate = lambda x: F.coalesce(is_candidate(x["observed_value"], x["baseline"], x["slope"], p95, policy), F.lit(False))
+        newest = F.element_at(last, -1)
+        triggered = enough & F.forall(last, candidate)
+        return F.struct(triggered.alias("triggered"), F.when(triggered, projected(newest["observed_value"], newest["slope"], lead, policy)).otherwise(0.0).alias("demand"))
+
+    return F.when(n > 0, F.transform(F.array(nearest_rank(slopes, 0.95)), found)[0])

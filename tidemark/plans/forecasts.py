@@ -359,7 +359,9 @@ def holdout_split(spark, sf_dir):
     return shown(training.holdout_split(sparse(spark, sf_dir), HOUR))
 
 
-@query()
+@query(f"""WITH {SERIES_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY workload_id ORDER BY observed_at DESC) AS back FROM dense)
+SELECT workload_id, sha256(concat_ws('|', workload_id, any_value(source_fingerprint), 'xgboost', sha256(string_agg(CAST(epoch_us(observed_at) AS VARCHAR) || ':' || CAST(CAST(round(observed_value * 1000000) AS BIGINT) AS VARCHAR), chr(10) ORDER BY observed_at)), CAST(epoch_us(TIMESTAMP '{END}') AS VARCHAR))) AS model_id,
+  count(*) AS dataset_size, 'succeeded' AS status, CAST(NULL AS VARCHAR) AS failure_reason FROM f WHERE back > 48 GROUP BY 1""")
 def training_run(spark, sf_dir):
     """Outcomes of a training run of the tree engine over all series."""
     _, outcomes = training.train_candidates(full(spark, sf_dir), "xgboost", HOUR, SEASON, STEPS, Q, ts(END))
