@@ -106,24 +106,25 @@ def compared(origins: DataFrame, forecasts: DataFrame, q: Column | float, thresh
     return scores(rows, [*SERIES, "model"], q, threshold, horizon_minutes)
 
 
-def matured(snapshots: DataFrame, samples: DataFrame, now: Column, interval_s: int) -> DataFrame:
+def matured(snapshots: DataFrame, samples: DataFrame, now: Column, interval_s: Column | int) -> DataFrame:
     """Snapshots whose horizon is over and that are not evaluated yet, with what happened in (observed, observed + horizon].
 
     The range join is an equality on the series and on day buckets that the
     horizon touches, so a series' samples only meet the snapshots near them.
     ``complete`` tells whether each slot of the horizon has a sample; a
-    snapshot without any sample gives no row.
+    snapshot without any sample gives no row. The interval may be a column of
+    ``snapshots``.
     """
     day = 86_400
     end = F.col("observed_at") + F.make_dt_interval(secs=F.col("horizon_s"))
     bucket = lambda t: F.floor(F.unix_micros(t) / (day * 1_000_000)).cast("long")
-    due = snapshots.where(F.col("evaluated_at").isNull()).withColumn("target_end", end).where(F.col("target_end") <= now)
-    near = due.select("snapshot_id", *SERIES, "observed_at", "target_end", "horizon_s", "upper").withColumn("bucket", F.explode(F.sequence(bucket(F.col("observed_at")), bucket(F.col("target_end")))))
+    due = snapshots.where(F.col("evaluated_at").isNull()).withColumns({"target_end": end, "step_s": _column(interval_s).cast("long")}).where(F.col("target_end") <= now)
+    near = due.select("snapshot_id", *SERIES, "observed_at", "target_end", "horizon_s", "step_s", "upper").withColumn("bucket", F.explode(F.sequence(bucket(F.col("observed_at")), bucket(F.col("target_end")))))
     points = samples.select(*SERIES, F.col("observed_at").alias("point_at"), "observed_value").withColumn("bucket", bucket(F.col("point_at")))
     hits = near.join(points, [*SERIES, "bucket"]).where((F.col("point_at") > F.col("observed_at")) & (F.col("point_at") <= F.col("target_end")))
-    out = hits.groupBy("snapshot_id", *SERIES, "upper", "horizon_s").agg(F.max("observed_value").alias("realized"), F.countDistinct(slot(F.col("point_at"), interval_s)).alias("slots"))
+    out = hits.groupBy("snapshot_id", *SERIES, "upper", "horizon_s", "step_s").agg(F.max("observed_value").alias("realized"), F.countDistinct(slot(F.col("point_at"), F.col("step_s"))).alias("slots"))
     covered = F.col("upper") >= F.col("realized")
-    return out.select("snapshot_id", *SERIES, "upper", "realized", covered.alias("covered"), (~covered).alias("underpredicted"), F.abs(F.col("upper") - F.col("realized")).alias("absolute_error"), (F.col("slots") >= F.col("horizon_s") / interval_s).alias("complete"))
+    return out.select("snapshot_id", *SERIES, "upper", "realized", covered.alias("covered"), (~covered).alias("underpredicted"), F.abs(F.col("upper") - F.col("realized")).alias("absolute_error"), (F.col("slots") >= F.col("horizon_s") / F.col("step_s")).alias("complete"))
 
 
 def with_evaluations(snapshots: DataFrame, evaluated: DataFrame, now: Column) -> DataFrame:

@@ -143,18 +143,24 @@ def replicas(declared: DataFrame) -> DataFrame:
     return declared.select(*SERIES, (part + 1).cast("double").alias("current"), F.lit(True).alias("healthy"), (part != 3).alias("allowed"))
 
 
-_CYCLE_SQL = f"""WITH {_DECLARED_SQL}, k AS (SELECT workload_id, any_value(part) AS part, any_value(season) AS season, any_value(steps) AS steps, any_value(q) AS q, any_value(thr) AS thr, any_value(i) AS i, any_value(engine) AS engine, any_value(kind) AS kind, max(tm) AS latest, min(v) < 0 AS bad, count(*) AS n, list(v ORDER BY tm) AS v
-  FROM d WHERE tm >= epoch(TIMESTAMP '{END}') - {WINDOW_S} AND tm <= epoch(TIMESTAMP '{END}') GROUP BY 1
+def _cycle_sql(now: str, where: str = "true") -> str:
+    """Decisions at ``now`` from the rows of ``d`` for which ``where`` holds."""
+    end = f"(CAST(epoch(TIMESTAMP '{now}') AS BIGINT) // i * i)"
+    return f"""k AS (SELECT workload_id, any_value(part) AS part, any_value(season) AS season, any_value(steps) AS steps, any_value(q) AS q, any_value(thr) AS thr, any_value(i) AS i, any_value(engine) AS engine, any_value(kind) AS kind, max(tm) AS latest, min(v) < 0 AS bad, count(*) AS n, list(v ORDER BY tm) AS v
+  FROM d WHERE tm >= {end} - {WINDOW_S} AND tm <= {end} AND {where} GROUP BY 1
 ), w AS (SELECT *, list_sort(list_transform(range(1, n - steps + 2), lambda x: list_max(v[x : x + steps - 1]))) AS peaks, list_max(v[n - season + 1 : n - season + least(steps, season)]) AS seasonal, list_transform(range(1, n + 1), lambda x: (v[x] - v[x - 1]) / (i / 60)) AS slope FROM k
 ), z AS (SELECT *, list_sort(slope[2 : n - 2])[CAST(ceil(0.95::DOUBLE * (n - 3)) AS INTEGER)] AS p95, CASE WHEN engine = 'seasonal-baseline' THEN seasonal ELSE peaks[CAST(ceil(0.5::DOUBLE * len(peaks)) AS INTEGER)] END AS p50, CASE WHEN engine = 'seasonal-baseline' THEN seasonal ELSE peaks[CAST(ceil(q * len(peaks)) AS INTEGER)] END AS upper FROM w
 ), t AS (SELECT *, len(list_filter([n - 1, n], lambda x: slope[x] > 0 AND list_avg(v[x - 5 : x - 1]) > 0 AND (p95 <= 0 OR slope[x] >= p95 * 3) AND v[x] >= list_avg(v[x - 5 : x - 1]) * 1.5)) = 2 AS triggered, least(v[n] + greatest(0, slope[n]) * i / 60, v[n] * 1.5) AS sd,
-  CASE WHEN epoch(TIMESTAMP '{END}') - latest > 2 * i THEN 'stale_source' WHEN bad THEN 'unreliable_inputs' ELSE 'ok' END AS status, CAST(part + 1 AS DOUBLE) AS cur FROM z
+  CASE WHEN {end} - latest > 2 * i THEN 'stale_source' WHEN bad THEN 'unreliable_inputs' ELSE 'ok' END AS status, CAST(part + 1 AS DOUBLE) AS cur FROM z
 ), a AS (SELECT *, triggered AND sd > upper AS surging, ceil(CASE WHEN triggered AND sd > upper THEN sd ELSE upper END / thr) AS desired FROM t), b AS (SELECT *, least(desired, 50) AS wanted FROM a)
 SELECT workload_id, status, engine, CAST(steps AS BIGINT) AS steps, make_timestamp(CAST(latest AS BIGINT) * 1000000) AS latest, n AS rows, CASE WHEN status = 'ok' THEN round(p50, 6) END AS p50, CASE WHEN status = 'ok' THEN round(upper, 6) END AS upper, CASE WHEN status = 'ok' THEN round(CASE WHEN surging THEN sd ELSE 0 END, 6) END AS surge, CASE WHEN status = 'ok' THEN desired END AS desired,
   CASE WHEN status = 'ok' THEN CASE WHEN part = 3 THEN cur WHEN wanted <= cur THEN wanted ELSE least(wanted, cur + 3, cur * 2) END END AS safe,
   CASE WHEN status = 'ok' THEN CASE WHEN surging THEN 'sustained_abnormal_slope_and_baseline' ELSE 'baseline_replicas' END || ';' || CASE WHEN part = 3 THEN 'capacity_unavailable' WHEN wanted <= cur THEN 'no_predictive_scale_up' ELSE 'rate_limited' END END AS reason FROM b"""
 
 
+_CYCLE_SQL = f"WITH {_DECLARED_SQL}, {_cycle_sql(END)}"
+
+
 @query(_CYCLE_SQL)
 def interval_decision(spark, sf_dir):
     """The forecast cycle over contracts of one, two and three hours' interval, in one plan."""

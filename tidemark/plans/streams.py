@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans import lifecycle
 from tidemark.plans.features import rounded
 from tidemark.plans.registry import HOUR, SEASON, SERIES_SQL, STEPS, query
 from tidemark.plans.series import shown
-from tidemark.schema import SERIES
+from tidemark.schema import SAMPLES, SERIES
 from tidemark.session import shared_folder
 from tidemark.sources.series import observations
-from tidemark.streaming import twins
+from tidemark.streaming import loops, twins
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -76,3 +77,33 @@ def stream_batches(spark, sf_dir):
     loop = twins.each_batch(stream(spark, sf_dir), lambda batch, number: batch.write.mode("append").parquet(f"{at}/rows"), f"{at}/state")
     loop.awaitTermination()
     return spark.read.parquet(f"{at}/rows").groupBy("workload_id").agg(F.count("*").alias("rows"), F.round(F.sum("observed_value"), 4).alias("total"))
+
+
+#: The batches of the forecast loop: what lies before each of these times, and behind the one before.
+BATCHES = ("2024-01-29 00:00:00", "2024-01-30 00:00:00", "2024-01-31 00:00:00")
+_AT = [f"{day} 23:00:00" for day in ("2024-01-28", "2024-01-29", "2024-01-30")]
+
+
+def _forecasts_sql() -> str:
+    """What the cycle decides at each batch's latest sample, from the samples up to then."""
+    parts = []
+    for number, at in enumerate(_AT):
+        rows = lifecycle._cycle_sql(at, f"tm <= epoch(TIMESTAMP '{at}')")
+        parts.append(f"SELECT CAST({number} AS BIGINT) AS batch, * FROM (WITH {rows})")
+    return f"WITH {lifecycle._DECLARED_SQL} SELECT batch, workload_id, engine, latest AS observed_at, steps * CASE split_part(workload_id, '-', 2) WHEN '1' THEN 7200 WHEN '2' THEN 10800 ELSE 3600 END AS horizon_s, p50, upper, surge, safe, reason FROM ({' UNION ALL '.join(parts)}) WHERE status = 'ok'"
+
+
+@query(_forecasts_sql())
+def stream_forecasts(spark, sf_dir):
+    """The forecaster's loop over three days' batches of samples: the snapshots that it leaves."""
+    at = folder(spark)
+    declared = lifecycle.contracts(spark, sf_dir)
+    samples = lifecycle.demand(spark, sf_dir, declared)
+    for k, until in enumerate(BATCHES):
+        since = BATCHES[k - 1] if k else "1970-01-01 00:00:00"
+        part = samples.where((F.col("observed_at") >= F.lit(since).cast("timestamp")) & (F.col("observed_at") < F.lit(until).cast("timestamp")))
+        part.select("cluster_id", *SERIES, "observed_at", "observed_value").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    forecaster = loops.Forecaster(f"{at}/store", loops.LastGood(spark, lambda: declared, f"{at}/contracts"), loops.LastGood(spark, lambda: lifecycle.replicas(declared), f"{at}/state"))
+    source = spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    loops.run(source, forecaster, f"{at}/checkpoint").awaitTermination()
+    return rounded(forecaster.snapshots(spark).select("batch", "workload_id", "engine", "observed_at", "horizon_s", "p50", "upper", "surge", "safe", "reason"))
