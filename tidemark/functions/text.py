@@ -31,6 +31,14 @@ def fingerprint(*parts: Column) -> Column:
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 
 
+def fnv1a(text: str) -> int:
+    """FNV-1a over one text's UTF-8 bytes."""
+    state = FNV_OFFSET
+    for byte in text.encode():
+        state = (state ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+    return state
+
+
 @F.pandas_udf(DecimalType(20, 0))
 def fnv1a_64(texts: pd.Series) -> pd.Series:
     """FNV-1a over UTF-8 bytes, for all rows a byte place at a time; null for null."""

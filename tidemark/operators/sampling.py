@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import urllib.parse
-import urllib.request
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -17,8 +15,9 @@ from tidemark.operators.quality import sufficient_history
 from tidemark.operators.repair import query_chunks
 from tidemark.operators.store import insert_missing
 from tidemark.schema import SERIES
-from tidemark.session import cut
+from tidemark.session import cut, ship
 from tidemark.sources.payloads import instant_values
+from tidemark.sources.sampler import CONCURRENT, fetch_all
 
 Ask = Callable[[DataFrame], DataFrame]
 
@@ -64,25 +63,22 @@ def bootstrap(samples: DataFrame, contracts: DataFrame, start: Column, end: Colu
     return insert_missing(samples, ask(query_chunks(windows, points)), interval_s)
 
 
-def ask_instants(now: Column, timeout_s: float = 10.0) -> Ask:
-    """An ``ask`` that puts each contract's query to its server over HTTP, in Arrow batches on the executors; a source that can't be reached is a fault."""
+def ask_instants(now: Column, timeout_s: float = 10.0, concurrent: int = CONCURRENT) -> Ask:
+    """An ``ask`` that puts each contract's query to its server over HTTP, in Arrow batches on the executors; a source that can't be reached is a fault.
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
+    A batch pauses once, as long as any of its rows is to wait, and then has
+    ``concurrent`` requests under way.
+    """
 
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                time.sleep(r.wait_s)
-                address = f"{r.server_address.rstrip('/')}/api/v1/query?{urllib.parse.urlencode({'query': r.query, 'time': r.at})}"
-                try:
-                    with urllib.request.urlopen(address, timeout=timeout_s) as answer:
-                        out.append((r.workload_id, r.source_fingerprint, answer.read().decode("utf-8", "replace")))
-                except OSError as e:
-                    out.append((r.workload_id, r.source_fingerprint, json.dumps({"status": "error", "errorType": "unreachable", "error": str(e)})))
-            yield pd.DataFrame(out, columns=[*SERIES, "body"])
+            if len(pdf):
+                time.sleep(float(pdf["wait_s"].max()))
+            bodies = list(fetch_all(pdf[["server_address", "query", "at"]].itertuples(index=False, name=None), concurrent, timeout_s=timeout_s))
+            yield pdf[SERIES].assign(body=bodies)
 
     def ask(rows: DataFrame) -> DataFrame:
+        ship(rows.sparkSession)
         asked = rows.select(*SERIES, "server_address", "query", "wait_s", F.unix_seconds(now).alias("at"))
         return instant_values(asked.mapInPandas(fetch, "workload_id string, source_fingerprint string, body string")).select(*SERIES, "value", "fault")
 
