@@ -1,10 +1,14 @@
 
+import datetime as dt
+import time as clock
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.helpers import START, at, minutes, series
+from tidemark import config
 from tidemark.functions import time
 from tidemark.functions.stats import nearest_rank
 from tidemark.operators import quality, repair, store
@@ -134,7 +138,7 @@ def test_repair_fills_and_is_idempotent(spark):
         return plan.withColumn("place", F.explode(F.sequence("first", "last"))).select(*SERIES, F.timestamp_seconds(F.lit(int(START.timestamp())) + F.col("place") * 60).alias("observed_at"), F.lit(123.0).alias("value"))
 
     after, report = repair.repair(df, df, *args, ask)
-    assert report.first()[2:] == (60, 3, 0, 2, 3)
+    assert report.first()[2:] == (60, 3, 0, 2, 3, 0)
     values = {m: r.observed_value for m, r in zip(minutes(after.collect()), sorted(after.collect(), key=lambda r: r.observed_at), strict=True)}
     assert values[3] == values[4] == values[30] == 123 and values[5] == 5
     again, report = repair.repair(after, df, *args, ask)
@@ -148,6 +152,54 @@ def test_repair_refuses_points_off_the_grid(spark):
     assert report.first().missing_after == 1
 
 
+def test_repair_keeps_good_parts_and_its_budget(spark):
+    """Parts at places 2, 5, 8, ...: one is never to be had, one only at the second try, one has a wrong value, one lacks its slot."""
+    holes = list(range(2, 60, 3))
+    df = series(spark, [(k, k) for k in range(60) if k not in holes])
+    asked, tries = [], {}
+
+    def ask(plan):
+        out = []
+        for r in plan.orderBy("part").collect():
+            asked.append((r.first, r.deadline_s > 0))
+            tries[r.first] = tries.get(r.first, 0) + 1
+            where = (START + dt.timedelta(minutes=r.first)).replace(tzinfo=None)
+            if r.first == 5 or (r.first == 8 and tries[8] == 1):
+                out.append((r.workload_id, r.source_fingerprint, None, None, r.part, "timeout"))
+            elif r.first != 14:
+                out.append((r.workload_id, r.source_fingerprint, where, -1.0 if r.first == 11 else 7.0, r.part, None))
+        return spark.createDataFrame(out, "workload_id string, source_fingerprint string, observed_at timestamp, value double, part int, fault string")
+
+    args = df, df, "2026-01-01 00:00:00", "2026-01-01 01:00:00", 60, ask
+    after, report = repair.repair(*args, repair.RepairLimits(requests=12))
+    r = report.first()
+    # Of 20 parts eight are beyond the budget, and there is none left for second tries.
+    assert [a for a, _ in asked] == holes[:12] and (r.requests, r.failed_parts, r.inserted, r.missing_after) == (12, 3, 8, 12)
+    asked.clear(), tries.clear()
+    after, report = repair.repair(*args)
+    r = report.first()
+    assert [a for a, _ in asked] == [*holes, 5, 8] and (r.requests, r.failed_parts, r.inserted, r.missing_after) == (22, 2, 17, 3)
+    assert {m for m in range(60)} - set(minutes(after.collect())) == {5, 11, 14}
+    asked.clear(), tries.clear()
+    slow = lambda plan: clock.sleep(1.1) or ask(plan)
+    _, report = repair.repair(*args[:5], slow, repair.RepairLimits(timeout_s=1, query_timeout_s=1))
+    assert len(asked) == 20 and report.first().failed_parts == 3  # no second try behind the deadline
+    for start, end in (("2026-01-01 00:00:30", "2026-01-01 01:00:00"), ("2026-01-01 00:00:00", "2026-06-01 00:00:00"), ("2026-01-01 01:00:00", "2026-01-01 01:00:00")):
+        with pytest.raises(ValueError):
+            repair.repair(df, df, start, end, 60, ask)
+
+
+def test_limits_and_policies_from_settings():
+    env = {"REPAIR_TIMEOUT": "5m", "REPAIR_MAX_POINTS": "500", "PROMOTION_MODE": "shadow", "EVALUATION_WINDOW": "72h", "ROLLBACK_ENABLED": "false"}
+    lookup = lambda name: env.get(name.removeprefix(config.PREFIX))
+    assert config.repair_limits(lookup) == repair.RepairLimits(timeout_s=300, points=500)
+    policy = config.evaluation_policy(lookup)
+    assert (policy.mode, policy.window_s, policy.rollback, policy.min_windows) == ("shadow", 72 * 3600, False, 72)
+    for name, text in (("REPAIR_TIMEOUT", "2h"), ("EVALUATION_WINDOW", "1h"), ("PROMOTION_MODE", "maybe"), ("REPAIR_MAX_POINTS", "x")):
+        with pytest.raises(ValueError):
+            (config.repair_limits if "REPAIR" in name else config.evaluation_policy)(lambda n, name=name, text=text: text if n == config.PREFIX + name else None)
+
+
 def test_chunks_overlap_by_an_end():
     assert repair.chunks(0, 25, 1, 11) == [(0, 10), (10, 20), (20, 25)]
     assert repair.chunks(0, 0, 60) == [(0, 0)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -9,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import slot, slot_start
+from tidemark.functions.time import GRID_ORIGIN_S, slot, slot_start
 from tidemark.operators.store import insert_missing
 from tidemark.schema import SERIES
 from tidemark.session import cut
@@ -91,37 +93,75 @@ def repair_points(points: DataFrame, missing: DataFrame, interval_s: int, tolera
     return rows.withColumn("fault", fault).join(missing.select(*SERIES, "slot"), [*SERIES, "slot"], "left_semi").drop("off_us")
 
 
+#: Fixed value: the longest range of a repair, in seconds.
+LONGEST_S = 90 * 86_400
+
+
+def _range(start: str, end: str, interval_s: int) -> None:
+    """ValueError for a range that no repair is for."""
+    at = [dt.datetime.fromisoformat(str(t)).replace(tzinfo=dt.timezone.utc).timestamp() for t in (start, end)]
+    if interval_s < 1 or not 0 < at[1] - at[0] <= LONGEST_S or any((t + GRID_ORIGIN_S) % interval_s for t in at):
+        raise ValueError("a repair is of a range of 90 days at most, with both ends on the grid")
+
+
 def repair(samples: DataFrame, contracts: DataFrame, start: str, end: str, interval_s: int, ask: Callable[[DataFrame], DataFrame], limits: RepairLimits = RepairLimits()) -> tuple[DataFrame, DataFrame]:
     """Samples with the missing slots of [start, end) filled by what ``ask`` answers to the plan, and a report per series.
 
-    ``ask`` gets (series, first, last, points, timeout_s) and returns (series,
-    observed_at, value). A series any of whose answers has a fault takes none
-    of them. What a try leaves missing is planned and asked for again, up to
-    ``limits.tries`` times and, over all tries, ``limits.requests`` queries a
-    series; a series of more slots than ``limits.points`` is not asked for.
-    The plan is over all series at once; nothing passes the driver.
+    ``ask`` gets (series, part, first, last, points, timeout_s, deadline_s)
+    and returns (series, observed_at, value); with ``part`` and ``fault``
+    columns it may say of a part that it could not be had. A series' parts are
+    ordered, and the first ``limits.requests`` of them are asked for; parts
+    that could not be had are asked for again, up to ``limits.tries`` times,
+    from what is left of the budget and while the repair is within
+    ``limits.timeout_s``. A slot that a source answers without is not asked
+    for again. Each part stands for itself: one with an answer that has a
+    fault, or with none, gives nothing and takes nothing from the others.
+
+    A series of more slots than ``limits.points`` is not asked for; a range
+    off the grid or longer than 90 days is a ValueError. The plan is over all
+    series at once; nothing passes the driver. The report has, per series,
+    expected, missing_before, missing_after, requests, inserted and the
+    number of parts that gave nothing.
     """
+    _range(start, end, interval_s)
+    began = time.time()
     first, last = (slot(F.lit(t).cast("timestamp"), interval_s) for t in (start, end))
     before = cut(missing_slots(samples, contracts, start, end, interval_s))
     cluster = contracts.select(*SERIES, F.col("cluster_id") if "cluster_id" in contracts.columns else F.lit("main").alias("cluster_id")).dropDuplicates(SERIES)
-    left, spent, made = before, cluster.select(*SERIES, F.lit(0).cast("long").alias("requests")), []
-    for _ in range(limits.tries):
-        plan = cut(repair_plan(left).where(last - first <= limits.points).withColumn("timeout_s", F.lit(limits.query_timeout_s)))
-        costs = plan.groupBy(*SERIES).agg(F.count("*").alias("cost"))
-        paid = spent.join(costs, SERIES, "left").withColumn("cost", F.coalesce("cost", F.lit(0))).withColumn("cost", F.when(F.col("requests") + F.col("cost") <= limits.requests, F.col("cost")).otherwise(0))
+    numbered = repair_plan(before).where(last - first <= limits.points).withColumn("part", F.row_number().over(Window.partitionBy(*SERIES).orderBy("first")))
+    plan = cut(numbered.withColumns({"timeout_s": F.lit(limits.query_timeout_s), "deadline_s": F.lit(began + limits.timeout_s)}))
+    # Which part a missing slot is asked for in.
+    places = plan.select(*SERIES, "part", F.explode(F.sequence("first", "last")).alias("place"))
+    wanted = cut(before.join(places, [*SERIES, "place"]).select(*SERIES, "slot", "part"))
+    spent, open_, made, lost = cluster.select(*SERIES, F.lit(0).cast("long").alias("requests")), plan, [], []
+    for turn in range(limits.tries):
+        if turn and time.time() - began > limits.timeout_s:
+            break
+        order = F.row_number().over(Window.partitionBy(*SERIES).orderBy("part"))
+        asked = cut(open_.join(spent, SERIES).withColumn("order", order).where(F.col("requests") + F.col("order") <= limits.requests).select(*plan.columns))
         # Kept, so that no source is asked twice for one answer.
-        answers = cut(repair_points(ask(plan.join(paid.where("cost > 0").select(*SERIES), SERIES, "left_semi")), left, interval_s))
-        faulty = answers.where("fault is not null").select(*SERIES).distinct()
-        good = answers.where("fault is null").join(faulty, SERIES, "left_anti")
-        made.append(good.join(cluster, SERIES).select("cluster_id", *SERIES, "observed_at", F.col("value").alias("observed_value")))
-        left = cut(left.join(good.select(*SERIES, "slot"), [*SERIES, "slot"], "left_anti"))
-        spent = cut(paid.select(*SERIES, (F.col("requests") + F.col("cost")).alias("requests")))
-    after = insert_missing(samples, reduce(DataFrame.unionByName, made), interval_s)
+        got = ask(asked)
+        got = cut(got.select(*SERIES, "observed_at", "value", *[F.col(c) if c in got.columns else F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("fault", "string"))]))
+        unanswered = got.where("fault is not null").select(*SERIES, "part").distinct()
+        points = repair_points(got.where("fault is null").select(*SERIES, "observed_at", "value"), wanted, interval_s).join(wanted, [*SERIES, "slot"])
+        bad = points.where("fault is not null").select(*SERIES, "part").distinct().unionByName(unanswered).distinct()
+        good = points.where("fault is null").join(asked.select(*SERIES, "part"), [*SERIES, "part"], "left_semi").join(bad, [*SERIES, "part"], "left_anti")
+        made.append(cut(good.select(*SERIES, "slot", "observed_at", "value")))
+        lost.append((unanswered, bad))
+        spent = cut(spent.join(asked.groupBy(*SERIES).agg(F.count("*").alias("cost")), SERIES, "left").select(*SERIES, (F.col("requests") + F.coalesce("cost", F.lit(0))).alias("requests")))
+        answered = asked.join(unanswered, [*SERIES, "part"], "left_anti").select(*SERIES, "part")
+        open_ = cut((open_ if turn else asked).join(answered, [*SERIES, "part"], "left_anti"))
+    found = reduce(DataFrame.unionByName, made)
+    after = insert_missing(samples, found.join(cluster, SERIES).select("cluster_id", *SERIES, "observed_at", F.col("value").alias("observed_value")), interval_s)
+    left = before.join(found.select(*SERIES, "slot"), [*SERIES, "slot"], "left_anti")
+    # A part that could not be had counts if it never could; one with a wrong answer counts at once.
+    failed = reduce(DataFrame.unionByName, [b.join(u, [*SERIES, "part"], "left_anti") for u, b in lost]).unionByName(open_.select(*SERIES, "part"))
     count = lambda df, name: df.groupBy(*SERIES).agg(F.count("*").alias(name))
     report = contracts.select(*SERIES).distinct().withColumn("expected", last - first)
     for df, name in ((before, "missing_before"), (left, "missing_after")):
         report = report.join(count(df, name), SERIES, "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return after, report.join(spent, SERIES, "left").withColumn("inserted", F.col("missing_before") - F.col("missing_after"))
+    report = report.join(spent, SERIES, "left").withColumn("inserted", F.col("missing_before") - F.col("missing_after"))
+    return after, report.join(count(failed.distinct(), "failed_parts"), SERIES, "left").withColumn("failed_parts", F.coalesce("failed_parts", F.lit(0)))
 
 
 def repair_faults(asked: DataFrame, contracts: DataFrame, now: Column) -> DataFrame:

@@ -229,7 +229,24 @@ def repair_report(spark, sf_dir):
         places = plan.withColumn("place", F.explode(F.sequence("first", "last")))
         return places.select(*SERIES, F.timestamp_seconds(F.unix_seconds(ts(START)) + F.col("place") * HOUR).alias("observed_at"), F.lit(123.0).alias("value"))
 
-    return shown(repair.repair(rows, rows.select("cluster_id", *SERIES).distinct(), START, END, HOUR, ask)[1])
+    return shown(repair.repair(rows, rows.select("cluster_id", *SERIES).distinct(), START, END, HOUR, ask)[1].drop("failed_parts"))
+
+
+@query(MISSING_SQL + """, r AS (SELECT *, place - row_number() OVER (PARTITION BY workload_id ORDER BY place) AS run FROM missing
+), p AS (SELECT workload_id, min(place) AS first, count(*) AS n, row_number() OVER (PARTITION BY workload_id ORDER BY min(place)) AS part, count(*) OVER (PARTITION BY workload_id) AS parts FROM r GROUP BY workload_id, run
+), a AS (SELECT workload_id, sum(n) AS missing_before, least(40, any_value(parts)) AS requests, coalesce(sum(CASE WHEN part <= 40 AND first % 3 <> 0 THEN n END), 0) AS inserted, count(CASE WHEN part <= 40 AND first % 3 = 0 THEN 1 END) AS failed_parts FROM p GROUP BY 1)
+SELECT s.workload_id, coalesce(requests, 0) AS requests, CAST(720 AS BIGINT) AS expected, CAST(coalesce(missing_before, 0) AS BIGINT) AS missing_before, CAST(coalesce(missing_before - inserted, 0) AS BIGINT) AS missing_after, CAST(coalesce(inserted, 0) AS BIGINT) AS inserted, coalesce(failed_parts, 0) AS failed_parts
+FROM (SELECT DISTINCT workload_id FROM hourly) s LEFT JOIN a USING (workload_id)""")
+def partial_repair(spark, sf_dir):
+    """A repair of 40 requests a series from a source that answers some parts wrongly: what is good is kept."""
+    rows = sparse(spark, sf_dir)
+
+    def ask(plan: DataFrame) -> DataFrame:
+        places = plan.withColumn("place", F.explode(F.sequence("first", "last")))
+        value = F.when((F.col("place") == F.col("first")) & (F.col("first") % 3 == 0), -1.0).otherwise(5.0)
+        return places.select(*SERIES, F.timestamp_seconds(F.unix_seconds(ts(START)) + F.col("place") * HOUR).alias("observed_at"), value.alias("value"))
+
+    return shown(repair.repair(rows, rows.select("cluster_id", *SERIES).distinct(), START, END, HOUR, ask, repair.RepairLimits(requests=40))[1])
 
 
 @query("""
