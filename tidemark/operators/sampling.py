@@ -24,6 +24,7 @@ Ask = Callable[[DataFrame], DataFrame]
 
 def due(contracts: DataFrame, now: Column, window_s: int = 15) -> DataFrame:
     """The active contracts whose second of the interval this is: its start and a repeatable delay below the window, or below the interval if that is shorter."""
+    ship(contracts.sparkSession)
     interval, second = F.col("interval_s"), F.unix_seconds(now)
     window = F.when(interval < window_s, interval).otherwise(window_s) if window_s > 0 else interval
     rows = contracts.where((F.col("status") == "active") & (interval >= 1)).withColumn("delay_s", jitter_s(F.col("workload_id"), window))

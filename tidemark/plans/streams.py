@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans import lifecycle
+from tidemark.plans import forecasts, lifecycle
 from tidemark.plans.features import rounded
 from tidemark.plans.registry import HOUR, SEASON, SERIES_SQL, STEPS, query
-from tidemark.plans.series import shown
+from tidemark.plans.series import full, shown
 from tidemark.schema import SAMPLES, SERIES
 from tidemark.session import shared_folder
 from tidemark.sources.series import observations
-from tidemark.streaming import loops, twins
+from tidemark.streaming import loops, surge_state, twins
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -107,3 +107,20 @@ def stream_forecasts(spark, sf_dir):
     source = spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     loops.run(source, forecaster, f"{at}/checkpoint").awaitTermination()
     return rounded(forecaster.snapshots(spark).select("batch", "workload_id", "engine", "observed_at", "horizon_s", "p50", "upper", "surge", "safe", "reason"))
+
+
+@query(f"""WITH {SERIES_SQL}, {forecasts.SURGE_SQL.replace('MULT', '3.0').replace('BASE', '1.5')}, last_ AS (SELECT workload_id, max(observed_at) AS observed_at FROM dense GROUP BY 1)
+SELECT workload_id, observed_at, triggered, round(CASE WHEN triggered THEN least(value + greatest(0, slope) * 15, value * 1.5) ELSE 0 END, 6) AS demand, value, round(slope, 6) AS slope, round(baseline, 6) AS baseline, round(slope_p95, 6) AS slope_p95 FROM surges JOIN last_ USING (workload_id)""")
+def stream_surges(spark, sf_dir):
+    """Surge detection in state over the month in three batches: the signals after each series' last row."""
+    at = folder(spark)
+    rows = full(spark, sf_dir).withColumn("lead_minutes", F.lit(15.0))
+    for since, until in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01")):
+        part = rows.where((F.col("observed_at") >= F.lit(since).cast("timestamp")) & (F.col("observed_at") < F.lit(until).cast("timestamp")))
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+    surge_state.surge_stream(source, HOUR).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
+    last = out.groupBy(*SERIES).agg(F.max_by(F.struct("observed_at", "triggered", "demand", "value", "slope", "baseline", "slope_p95"), "batch").alias("r"))
+    return rounded(last.select("workload_id", "r.*"))

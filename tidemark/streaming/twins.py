@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.forecast import ALPHA, BETA, GAMMA
 from tidemark.schema import SERIES
+from tidemark.session import ship
 
 
 def slot_stream(samples: DataFrame, interval_s: int, lateness: str = "24 hours") -> DataFrame:
@@ -72,6 +73,7 @@ def smooth_stream(slots: DataFrame, season: int, steps: int) -> DataFrame:
             yield pd.DataFrame([[*key, rows["observed_at"].max(), n, peak]], columns=[*SERIES, "observed_at", "n", "peak"])
 
     schema = "workload_id string, source_fingerprint string, observed_at timestamp, n long, peak double"
+    ship(slots.sparkSession)
     return slots.groupBy(*SERIES).applyInPandasWithState(update, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -90,6 +92,7 @@ def outcome_stream(results: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=[*SERIES, "observed_at", "event"])
 
     schema = "workload_id string, source_fingerprint string, observed_at timestamp, event string"
+    ship(results.sparkSession)
     return results.groupBy(*SERIES).applyInPandasWithState(update, schema, "failed boolean", "append", GroupStateTimeout.NoTimeout)
 
 
