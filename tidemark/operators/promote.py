@@ -203,7 +203,9 @@ def evaluation_plan(models: DataFrame, contracts: DataFrame, now: Column, season
     age = (F.unix_micros(now) - F.unix_micros("candidate.created_at")) / 1_000_000
     champion = has & serving & (F.col("active.engine") == F.col("target.engine")) & (unversioned("active") | comparable_contract(F.col("active.contract"), F.col("contract"))) & F.col("active.intact")
     returns = ~has & serving & F.lit(p.rollback) & F.col("retired.model_id").eqNullSafe(F.col("active.followed")) & F.col("retired").isNotNull() & F.col("retired.contract").eqNullSafe(F.col("contract"))
-    champion, returns = F.coalesce(champion, F.lit(False)), F.coalesce(returns, F.lit(False))
+    # As columns, since each is asked for several times.
+    wide = wide.withColumns({"is_champion": F.coalesce(champion, F.lit(False)), "may_return": F.coalesce(returns, F.lit(False))})
+    champion, returns = F.col("is_champion"), F.col("may_return")
     reason = (
         F.when(F.col("target").isNull(), "no_model")
         .when(~F.col("target.contract").eqNullSafe(F.col("contract")) & ~legacy, "incompatible_contract")
@@ -213,6 +215,7 @@ def evaluation_plan(models: DataFrame, contracts: DataFrame, now: Column, season
         .when(returns & ~F.col("retired.intact"), "invalid_rollback_artifact")
         .when(~F.coalesce((F.col("contract.interval_s") > 0) & F.col("contract.timezone").isin(*ZONES), F.lit(False)), "invalid_contract")
     )
+    wide, reason = wide.withColumn("reason", reason), F.col("reason")
     action = F.when(reason.isNotNull(), "withheld").when(has, F.lit("shadow" if p.mode == "shadow" else "evaluate_candidate")).otherwise("revalidate")
     both = lambda is_, m: F.when(is_, F.struct(F.col(f"{m}.lookback").alias("lookback"), F.col(f"{m}.engine").alias("engine")))
     compared = F.array_compact(F.array(both(F.col("target").isNotNull(), "target"), both(champion, "active"), both(returns, "retired")))
