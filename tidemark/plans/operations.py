@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark import config
 from tidemark.operators import recovery, repair, sampling, schedule
 from tidemark.plans.registry import query
 from tidemark.plans.series import shown, ts
@@ -90,29 +89,3 @@ def repair_policy(spark, sf_dir):
     end = F.when(k % 5 == 0, ts("2024-02-01 10:01:00")).when(k % 6 == 0, ts("2024-02-01 09:59:33")).when(k % 11 == 0, ts("2024-02-01 09:00:00")).otherwise(ts("2024-02-01 10:00:00"))
     asked = rows.select("workload_id", F.when(k % 7 == 0, "r99").otherwise(F.col("policy_revision")).alias("policy_revision"), end.alias("end"))
     return repair.repair_faults(asked, rows, ts(NOW))
-
-
-ENVIRONMENTS = {
-    "plain": {"CLUSTER_ID": "main", "STORE": "/data", "SCALER_ADDRESSES": "a:1, b:2,a:1"},
-    "own": {"CLUSTER_ID": " east ", "STORE": "s", "SCALER_ADDRESSES": "a:1", "RECOVERY_INTERVAL": "1m30s", "RECOVERY_ENABLED": "false", "MAX_RETRIES": "0", "JITTER_WINDOW": "500ms", "MIN_TRAINING_WINDOW": "36h"},
-    "no cluster": {"STORE": "s"},
-    "no scaler": {"CLUSTER_ID": "c", "STORE": "s", "SCALER_ADDRESSES": " , ", "MAX_RETRIES": "-1"},
-    "bad": {"CLUSTER_ID": "c", "STORE": "s", "SCALER_ADDRESSES": "a:1", "RECOVERY_INTERVAL": "0s", "MAX_CONCURRENT": "0"},
-}
-
-
-@query("""SELECT * FROM (VALUES ('plain', 'control', 'main', 'a:1,b:2', 30.0::DOUBLE, 604800.0::DOUBLE, true, NULL::DOUBLE, NULL::BIGINT, NULL), ('plain', 'sampling', 'main', NULL, NULL, NULL, NULL, 15.0, 2, NULL), ('own', 'control', 'east', 'a:1', 90.0, 129600.0, false, NULL, NULL, NULL), ('own', 'sampling', 'east', NULL, NULL, NULL, NULL, 0.5, 0, NULL),
-  ('no cluster', 'control', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'TIDEMARK_CLUSTER_ID is required'), ('no cluster', 'sampling', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'TIDEMARK_CLUSTER_ID is required'), ('no scaler', 'control', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'TIDEMARK_SCALER_ADDRESSES must name at least one'),
-  ('no scaler', 'sampling', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'TIDEMARK_MAX_RETRIES must be a whole number of 0 at least'), ('bad', 'control', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'TIDEMARK_RECOVERY_INTERVAL must be a positive duration'), ('bad', 'sampling', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'TIDEMARK_MAX_CONCURRENT must be a whole number of 1 at least')
-) t(environment, process, cluster, scalers, recovery_interval_s, least_window_s, recovers, jitter_s, retries, fault)""")
-def environment_settings(spark, sf_dir):
-    """What the two processes make of several environments."""
-    rows = []
-    for name, values in ENVIRONMENTS.items():
-        for process, settings in (("control", config.CONTROL), ("sampling", config.SAMPLING)):
-            try:
-                got, fault = config.load(settings, lambda key, values=values: values.get(key.removeprefix(config.PREFIX))), None
-            except ValueError as e:
-                got, fault = {}, str(e)
-            rows.append((name, process, got.get("cluster_id"), ",".join(got.get("scaler_addresses", ())) or None, got.get("recovery_interval"), got.get("min_training_window"), got.get("recovery_enabled"), got.get("jitter_window"), got.get("max_retries"), fault))
-    return spark.createDataFrame(rows, "environment string, process string, cluster string, scalers string, recovery_interval_s double, least_window_s double, recovers boolean, jitter_s double, retries long, fault string")

@@ -114,6 +114,11 @@ class DueSamples(DataSource):
 FIELDS = ["cluster_id", *SERIES, "server_address", "query", "interval_s"]
 
 
+def options_of(settings: dict) -> dict:
+    """Options of the source from the sampling process' settings (``config.SAMPLING``); a jitter below a second counts as one."""
+    return {"concurrent": settings["max_concurrent"], "tries": settings["max_retries"] + 1, "backoff": settings["initial_backoff"], "timeout": settings["query_timeout"], "jitter": max(1, int(settings["jitter_window"]))}
+
+
 def due_stream(spark: SparkSession, contracts: DataFrame, **options) -> DataFrame:
     """(cluster_id, series, observed_at, observed_value, fault) of the active contracts as they fall due: a value, or why there is none.
 
