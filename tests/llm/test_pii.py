@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import random
 
 import pytest
 import regex
@@ -63,7 +64,7 @@ def one(kind, v):
     if kind == "secret":
         head = regex.match(r"AKIA|.*?[=:]\s*[\"']?", v)[0]
         rest = v[len(head) :]
-        return head + chars(rest, kind, pii.HEX if regex.fullmatch("[0-9a-f]+", rest) else pii.CLASSES)
+        return head + chars(rest, kind, pii.HEX if regex.fullmatch("[0-9a-f]+", rest) else pii.CLASSES + pii.SCRIPTS)
     if kind == "iban":
         if iban_rest(v[4:] + v[:4]) != 1:
             return None
@@ -102,22 +103,47 @@ def one(kind, v):
     return relaid(v, head + chars(bare(v)[len(head) :], kind, pii.DIGITS))
 
 
+#: How a card may stand behind other numbers.
+GROUPS = {(4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 4), (4, 6, 5)} | {(n,) for n in range(13, 20)}
+
+
+def parts(kind, text):
+    """The match with all its cards or IBANs replaced, and their number: every start at a group, every end at one, from the left."""
+    out, at, n = "", 0, 0
+    ends = [m.end() for m in regex.finditer("[A-Z0-9]+", text)]
+    for m in regex.finditer("[A-Z0-9]+", text):
+        if m.start() < at or (kind == "iban" and not regex.match(r"[A-Z]{2}\d{2}", m[0])):
+            continue
+        for end in sorted((e for e in ends if e >= m.end()), reverse=True):
+            value = text[m.start() : end]
+            size = len(regex.sub("[ -]", "", value))
+            if kind == "card":
+                laid = tuple(map(len, regex.split("[ -]", value))) in GROUPS and (len(set(regex.findall("[ -]", value))) < 2 or size < 16)
+                made = one(kind, value) if 13 <= size <= 19 and (m.start() == 0 or laid) else None
+            else:
+                made = one(kind, value.replace(" ", "")) if 15 <= size <= 34 else None
+                made = made and (" ".join(regex.findall(".{1,4}", made)) if " " in value else made)
+            if made is not None:
+                out, at, n = out + text[at : m.start()] + made, end, n + 1
+                break
+    return out + text[at:], n
+
+
 def plain(text):
     found = []
 
     def swap(m):
         for kind, pattern in pii.PATTERNS.items():
             if regex.fullmatch(pattern, m[0], regex.ASCII):
-                made = one(kind, m[0])
-                found.append(kind if made is not None else None)
+                made, n = parts(kind, m[0]) if kind in ("card", "iban") else (one(kind, m[0]), 1)
+                found.extend([kind] * (n if made is not None else 0))
                 return m[0] if made is None else made
         raise AssertionError(m[0])
 
     if text is None or not regex.search(pii.HINT, text):
         return text, 0, ""
     out = regex.sub(pii.ANY, swap, text, flags=regex.ASCII)
-    kinds = [k for k in found if k]
-    return out, len(kinds), ",".join(sorted(set(kinds)))
+    return out, len(found), ",".join(sorted(set(found)))
 
 
 TEXTS = [
@@ -138,16 +164,16 @@ TEXTS = [
 
 def test_texts(spark):
     df = spark.createDataFrame([(k, t, "p") for k, t in enumerate(TEXTS * 2)], "doc_id int, text string, pii string")
-    out = pseudonymise(df, count_col="n", kinds_col="kinds")
+    out = pseudonymise(df, KEY, count_col="n", kinds_col="kinds")
     assert out.columns == ["doc_id", "text", "pii", "n", "kinds"]
     for r in out.collect():
         assert (r.text, r.n, r.kinds) == plain(TEXTS[r.doc_id % len(TEXTS)]), r
-    assert pseudonymise(df.limit(0)).count() == 0
+    assert pseudonymise(df.limit(0), KEY).count() == 0
 
 
 def test_values_stay_valid_and_linked(spark):
     df = spark.createDataFrame([("a 4041894974608795 b",), ("c 4041894974608795",), ("DE89370400440532013000",)], "text string")
-    a, c, i = (r.text for r in pseudonymise(df).collect())
+    a, c, i = (r.text for r in pseudonymise(df, KEY).collect())
     assert a[2:18] == c[2:] != "4041894974608795" and luhn(a) == 0
     assert i != "DE89370400440532013000" and i[:2] == "DE" and iban_rest(i[4:] + i[:4]) == 1
     other = pseudonymise(df, key="another").first().text
@@ -165,17 +191,17 @@ def test_pairs_are_permuted(spark, sides):
 def test_whole_table(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     want = {r.doc_id: plain(r.text) for r in docs.collect()}
-    got = {r.doc_id: (r.text, r.n, r.kinds) for r in pseudonymise(docs, count_col="n", kinds_col="kinds").collect()}
+    got = {r.doc_id: (r.text, r.n, r.kinds) for r in pseudonymise(docs, KEY, count_col="n", kinds_col="kinds").collect()}
     assert got == want and any(n for _, n, _ in want.values())
 
 
 def test_no_python_on_the_way(spark):
-    df = pseudonymise(spark.createDataFrame([("x",)], "text string"))
+    df = pseudonymise(spark.createDataFrame([("x",)], "text string"), KEY)
     assert "Python" not in df._jdf.queryExecution().toString()
 
 
 def hidden(spark, texts):
-    rows = pseudonymise(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), count_col="n", kinds_col="kinds").collect()
+    rows = pseudonymise(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), KEY, count_col="n", kinds_col="kinds").collect()
     return [(r.text, r.n, r.kinds) for r in sorted(rows, key=lambda r: r.k)]
 
 
@@ -191,9 +217,43 @@ BY_HAND = [
     ("server 192.168.0.1:8080", ["192.168.0.1"]),
     ("on 1999-12-31.", ["1999-12-31"]),
     ("api_key='zX9zX9zX9zX9'", ["zX9zX9zX9zX9"]),
+    ("order 12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("room 305 4111111111111111 at 7", ["4111111111111111"]),
+    ("1234 5678 4111 1111 1111 1111 99 3782 822463 10005", ["4111 1111 1111 1111", "3782 822463 10005"]),
+    ("id 99 123-45-6789 and 1234 5678 9012 212-555-0123", ["123-45-6789", "212-555-0123"]),
+    ("ref AB12 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+    ("password: correcthorsebattery.", ["correcthorsebattery"]),
+    ("DB_PASSWORD=p@ss!w0rd99", ["p@ss!w0rd99"]),
+    ("api_key = sk-abc_def.ghi123456789, next", ["sk-abc_def.ghi123456789"]),
+    ('{"password": "correct horse battery", "x": 1}', ["correct horse battery"]),
+    ("the secret: patience and a token: gratitude", []),
 ]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_numbers_around_cards_and_ibans(spark, seed):
+    rng = random.Random(seed)
+    cards = ["4111 1111 1111 1111", "4111111111111111", "5500-0055-5555-5559", "3782 822463 10005", "30569309025904", "DE89 3704 0044 0532 0130 00", "BE68539007547034"]
+    other = lambda: str(rng.randrange(10 ** rng.randint(1, 6)))
+    texts = [rng.choice([" ", "-"]).join(other() if rng.random() < 0.7 else rng.choice(cards) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    assert hidden(spark, texts) == [plain(t) for t in texts]
+
+
+def test_one_run_of_many_numbers(spark):
+    text = " ".join(str(k % 97) for k in range(30_000))
+    assert hidden(spark, [text, "1 " * 20_000, "password=" + "a" * 20_000]) == [plain(text), plain("1 " * 20_000), plain("password=" + "a" * 20_000)]
+
+
+def test_key_of_the_session(spark):
+    with pytest.warns(UserWarning):
+        assert pii.session_key(spark) == pii.OPEN_KEY
+    spark.conf.set(pii.KEY_SETTING, "own")
+    try:
+        assert pii.session_key(spark) == "own"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_found_by_hand(spark):
     for (text, values), (made, n, _) in zip(BY_HAND, hidden(spark, [t for t, _ in BY_HAND]), strict=True):
         parts, at = [], 0

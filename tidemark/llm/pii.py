@@ -8,26 +8,41 @@ can be reversed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
-#: Kinds in the order in which they are tried at a place of the text. Quantifiers have ends or are possessive.
+#: A credential's value: what stands in quotes, or all up to white space or a quote but the punctuation at its end.
+_QUOTED = r"(?:\"[^\"\r\n]{6,200}(?=\"|$)|'[^'\r\n]{6,200}(?='|$))"
+_OPEN = r"[\"']?[^\s\"']{7,}[^\s\"'.,;:!?)\]}]"
+_MARK = r"[\"']?\s{0,2}[=:]\s{0,2}"
+#: Names whose value is a credential whatever it looks like, and those that prose uses too: their value is in quotes or has a digit.
+_NAMED = rf"(?i:password|passwd|pwd|api[_-]?key){_MARK}(?:{_QUOTED}|{_OPEN})"
+_VAGUE = rf"(?i:secret|token){_MARK}(?:{_QUOTED}|(?=\S{{0,80}}\d){_OPEN})"
+#: What a number's run of groups doesn't go into: days of expiry, social security and telephone numbers, dates.
+_OTHERS = r"\d{1,4}/\d|\d{3}-\d{2}-\d{4}(?![\w-])|\d{3}-\d{3}-\d{4}(?![\w-])|(?:19|20)\d\d-\d\d-\d\d(?![\w-])|\d\d-\d\d-(?:19|20)\d\d(?![\w-])"
+
+#: Kinds in the order in which they are tried at a place of the text. Quantifiers of groups have ends, so that the matcher's stack has one too.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{M}\p{N}_.%+-])[\p{L}\p{M}\p{N}_.%+-]{1,64}+@(?:[\p{L}\p{M}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}(?![\p{L}\p{M}\p{N}_-])",
-    "secret": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?<!\w)(?i:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?(?=[\w+/-]{0,80}\d)[\w+/-]{8,}+",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+(?!\w)|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?!\w|[-/.]\d))",
+    "secret": rf"(?<!\w)AKIA[A-Z0-9]{{16}}(?!\w)|{_NAMED}|{_VAGUE}",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+(?!\w)|(?: [A-Z0-9]{4}){2,9}(?: [A-Z0-9]{1,3})?(?!\w|[-/.]\d))",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "date": r"(?<![\w.-])(?:(?:19|20)\d\d([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2(?:19|20)\d\d)(?!(?!T\d)[\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.+-])\d(?:(?:[ -](?!\d{1,4}/\d))?\d){12,18}(?![\w-]|\.\d)",
+    "card": rf"(?<![\w.+-])\d(?:(?:[ -](?!{_OTHERS}))?\d){{12,200}}(?![\w-]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
 }
 #: The dates' back references hold here too, as no kind before them has a capturing group.
 ANY = "|".join(PATTERNS.values())
 #: What each kind holds at least one of; texts without are left as they are after one quick look.
-HINT = r"[0-9@]|AKIA"
+HINT = r"[0-9@]|AKIA|(?i:passw|pwd|secret|token|api[_-]?key)"
+
+#: How cards are written behind other numbers of their run: fours (and three), American Express and Diners, or in one piece.
+CARD_FORMS = (r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}(?!\d)", r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)", r"^\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)", r"^\d{13,19}(?!\d)")
 
 #: A country code at the start of an international number: fixed values of the numbering plan, of one or two digits, or else three.
 COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
@@ -144,23 +159,35 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.filter(F.split(value, ""), lambda c: F.length(c) > 0), F.lit(0), step)
 
 
-def _valid_start(value: Column, least: int, valid) -> Column:
-    """How long the longest valid start of ``value`` is that ends with a group and has ``least`` letters and digits or more; null if none is."""
+def _valid_start(value: Column, least: int, most: int, valid) -> Column:
+    """How long the longest valid start of ``value`` is that ends with a group and has from ``least`` to ``most`` letters and digits; null if none is."""
 
     def fits(n: Column) -> Column:
         start = F.substr(value, F.lit(1), n)
-        return F.substr(value, n + 1, F.lit(1)).isin("", " ", "-") & (F.length(F.regexp_replace(start, "[ -]", "")) >= least) & valid(start)
+        return F.substr(value, n + 1, F.lit(1)).isin("", " ", "-") & F.length(F.regexp_replace(start, "[ -]", "")).between(least, most) & valid(start)
+
+    longest = F.least(F.length(value), F.lit(2 * most))
+    return F.when(longest >= least, F.get(F.filter(F.sequence(longest, F.lit(least), F.lit(-1)), fits), F.lit(0)))
+
 
-    return F.get(F.filter(F.sequence(F.length(value), F.lit(least), F.lit(-1)), fits), F.lit(0))
+def _parts_made(value: Column, length_at, made) -> Column:
+    """struct(value, n): ``value`` with ``made`` of its valid parts, ``n`` of them, and what is before, between and behind as it is; n is 0 if it has none.
 
+    ``length_at`` gives the length of the part that begins at a group's
+    place, or null. Parts are taken from the left, so a short number before,
+    between or behind cards or IBANs hides none.
+    """
 
-def _start_made(value: Column, least: int, valid, made) -> Column:
-    """``value`` with ``made`` of its valid start, if it has one, and what is behind that as it is: short numbers that follow a card or an IBAN."""
+    def step(state: Column, p: Column) -> Column:
+        def joined(n: Column) -> Column:
+            text = F.concat(state["text"], F.substr(value, state["at"], p - state["at"]), _let(F.substr(value, p, n), made))
+            return F.when(n.isNotNull(), F.struct((p + n).alias("at"), text.alias("text"), (state["n"] + 1).alias("n"))).otherwise(state)
 
-    def joined(n: Column) -> Column:
-        return F.when(n.isNotNull(), F.concat(_let(F.substr(value, F.lit(1), n), made), F.substr(value, n + 1)))
+        return _let(F.when(p >= state["at"], length_at(p)), joined)
 
-    return _let(_valid_start(value, least, valid), joined)
+    starts = F.filter(F.sequence(F.lit(1), F.length(value)), lambda p: (p == 1) | F.substr(value, p - 1, F.lit(1)).isin(" ", "-"))
+    begin = F.struct(F.lit(1).alias("at"), F.lit("").alias("text"), F.lit(0).alias("n"))
+    return F.aggregate(starts, begin, step, lambda s: F.struct(F.concat(s["text"], F.substr(value, s["at"])).alias("value"), s["n"].alias("n")))
 
 
 def _card(value: Column, key: str) -> Column:
@@ -172,7 +199,15 @@ def _card(value: Column, key: str) -> Column:
         whole = _let(permute_chars(F.substr(_bare(card), F.lit(1), F.length(_bare(card)) - 1), key, F.lit("card"), DIGITS), finished)
         return _let(whole, lambda digits: _relaid(card, digits))
 
-    return _start_made(value, 13, lambda card: luhn_rest(card) == 0, made)
+    valid = lambda card: luhn_rest(card) == 0
+
+    def length_at(p: Column) -> Column:
+        # At the run's own start groups of any length count; elsewhere only a card's usual forms, as tables of numbers hold many that are right by chance.
+        forms = [F.regexp_extract(F.substr(value, p, F.lit(24)), form, 0) for form in CARD_FORMS]
+        laid_out = F.coalesce(*(_let(form, lambda card: F.when((F.length(card) > 0) & valid(card), F.length(card))) for form in forms))
+        return F.when(p == 1, _valid_start(value, 13, 19, valid)).otherwise(laid_out)
+
+    return _parts_made(value, length_at, made)
 
 
 def _iban(value: Column, key: str) -> Column:
@@ -191,7 +226,10 @@ def _iban(value: Column, key: str) -> Column:
         whole = _let(permute_chars(F.substr(compact(iban), F.lit(5)), key, F.lit("iban"), CLASSES), finished)
         return F.when(F.instr(iban, " ") > 0, F.regexp_replace(whole, "(.{4})(?=.)", "$1 ")).otherwise(whole)
 
-    return _start_made(value, 15, valid, made)
+    def length_at(p: Column) -> Column:
+        return _let(F.substr(value, p), lambda rest: F.when(rest.rlike(r"^[A-Z]{2}\d{2}"), _valid_start(rest, 15, 34, valid)))
+
+    return _parts_made(value, length_at, made)
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -241,10 +279,10 @@ def _date(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    head = F.regexp_extract(value, r"^(AKIA|.*?[=:]\s*[\"']?)", 1)
+    head = F.regexp_extract(value, r"^(AKIA|[^=:]*[=:]\s*[\"']?)", 1)
     rest = F.substr(value, F.length(head) + 1)
     tweak = F.lit("secret")
-    return F.concat(head, F.when(rest.rlike("^[0-9a-f]+$"), permute_chars(rest, key, tweak, HEX)).otherwise(permute_chars(rest, key, tweak, CLASSES)))
+    return F.concat(head, F.when(rest.rlike("^[0-9a-f]+$"), permute_chars(rest, key, tweak, HEX)).otherwise(permute_chars(rest, key, tweak, CLASSES + SCRIPTS)))
 
 
 def _email(value: Column, key: str) -> Column:
@@ -264,26 +302,50 @@ def _phone(value: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
+#: Kinds whose matches can hold several values, and other numbers.
+_RUNS = ("iban", "card")
+
+
 def pseudonym(value: Column, key: str) -> Column:
-    """struct(kind, value): a found value's kind and pseudonym; kind null and the value as it is where it isn't valid."""
-    out = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value"))
+    """struct(kind, value, n): a match's kind, the match with its pseudonyms, and their number; kind null, n 0 and the match as it is where nothing in it is valid."""
+
+    def row(kind: Column, made: Column, n: Column) -> Column:
+        return F.struct(kind.alias("kind"), made.alias("value"), n.alias("n"))
 
     def kept(kind: str):
-        return lambda made: F.struct(F.when(made.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(made, value).alias("value"))
+        if kind in _RUNS:
+            return lambda made: row(F.when(made["n"] > 0, F.lit(kind)), made["value"], made["n"])
+        return lambda made: row(F.when(made.isNotNull(), F.lit(kind)), F.coalesce(made, value), F.when(made.isNotNull(), 1).otherwise(0))
 
+    out = row(F.lit(None).cast("string"), value, F.lit(0))
     for kind in reversed(PATTERNS):
         out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), _let(_MAKERS[kind](value, key), kept(kind))).otherwise(out)
     return out
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "change me", count_col: str | None = None, kinds_col: str | None = None) -> DataFrame:
+#: The setting that holds the key, and what stands for it where a session sets none: results are then repeatable, and not secret.
+KEY_SETTING, OPEN_KEY = "spark.tidemark.pii.key", "change me"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets. Without one the open key, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms under the open key can be reversed by anyone", stacklevel=2)
+    return key or OPEN_KEY
+
+
+def pseudonymise(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, kinds_col: str | None = None) -> DataFrame:
     """``df`` with the personal data in ``text_col`` replaced, all other columns as they are.
 
     Emails (all but the top-level name), credentials, IBANs (with right check
     digits), IPv4 addresses, dates from 1900 to 2099, social security
     numbers, card numbers (with a right Luhn digit) and telephone numbers
     (but the country code) that pass their kind's validation give way to
-    their pseudonym under ``key``; numbers that fail it stay. Cards, IBANs
+    their pseudonym under ``key``; numbers that fail it stay. A card or an
+    IBAN is found before, between and behind other numbers too: behind them a
+    card in its usual forms (``CARD_FORMS``), and within a run of 201 digits.
+    A credential goes up to white space or its closing quote. Cards, IBANs
     and telephone numbers keep their separators, which don't enter the
     pseudonym. In mail names letters of Latin, Greek, Cyrillic, Kana, Hangul
     and Han move within their script. One narrow
@@ -292,7 +354,12 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "change me",
 
     ``count_col`` and ``kinds_col``, if given, are added: the number of
     replacements and their kinds, sorted and comma-separated ('' for none).
-    A null text stays null (0 and ''), an empty one empty.
+    A null text stays null (0 and ''), an empty one empty; repeated rows and
+    an empty table give as many rows. Time and memory grow with a text's
+    length.
+
+    ``key`` is the deployment's own; a name that the session sets is read by
+    ``session_key``.
     """
     text = F.col(f"`{text_col}`")
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
@@ -304,7 +371,7 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "change me",
     whole = F.array_join(F.flatten(F.zip_with(between, F.transform(made, lambda m: m["value"]), lambda b, m: F.array(b, F.coalesce(m, F.lit(""))))), "")
     kinds = F.filter(F.transform(made, lambda m: m["kind"]), lambda k: k.isNotNull())
     if count_col:
-        rows = rows.withColumn(count_col, F.when(made.isNotNull(), F.size(kinds)).otherwise(0))
+        rows = rows.withColumn(count_col, F.coalesce(F.aggregate(made, F.lit(0), lambda n, m: n + m["n"]), F.lit(0)))
     if kinds_col:
         rows = rows.withColumn(kinds_col, F.coalesce(F.array_join(F.array_sort(F.array_distinct(kinds)), ","), F.lit("")))
     return rows.withColumn(text_col, F.when(F.size(made) > 0, whole).otherwise(text)).drop(held)

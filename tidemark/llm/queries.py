@@ -13,7 +13,7 @@ from tidemark.llm.frames import read
 from tidemark.llm.licenses import license_labels, license_sql
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack
-from tidemark.llm.pii import pseudonymise
+from tidemark.llm.pii import pseudonymise, session_key
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.runs import run_digests
 from tidemark.llm.simhash import near_duplicates
@@ -51,7 +51,7 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, count_col="n_replaced", kinds_col="kinds")
+    return pseudonymise(docs, session_key(spark), count_col="n_replaced", kinds_col="kinds")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
