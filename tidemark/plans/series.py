@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import is_plain_address, parse_finite
 from tidemark.operators import fill, quality, repair
-from tidemark.plans.registry import END, HOUR, SERIES_SQL, START, query
+from tidemark.operators.fill_function import register
+from tidemark.plans.registry import END, HOUR, ORACLES, SERIES_SQL, START, query
 from tidemark.schema import SERIES
 from tidemark.sources.series import dense, hourly, observations, table
 
@@ -194,6 +195,14 @@ def bounded_fill(spark, sf_dir):
     return shown(out.withColumn("observed_value", F.round("observed_value", 6)).withColumn("estimated_count", F.col("estimated_count").cast("long")))
 
 
+@query(ORACLES["bounded_fill"])
+def fill_function(spark, sf_dir):
+    """The same rows from SQL, by the table function."""
+    register(spark)
+    rows = spark.sql(f"SELECT * FROM bounded_fill(TABLE({{samples}}), {HOUR}, {5 * HOUR})", samples=sparse(spark, sf_dir))
+    return shown(rows.withColumn("observed_value", F.round("observed_value", 6)))
+
+
 MISSING_SQL = f"""WITH {SERIES_SQL}, missing AS (
   SELECT d.workload_id, CAST(epoch_us(d.observed_at) // 3600000000 AS BIGINT) - 473352 AS place FROM dense d LEFT JOIN hourly h ON h.workload_id = d.workload_id AND h.observed_at = d.observed_at WHERE h.workload_id IS NULL)"""
 
