@@ -7,7 +7,7 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 from tidemark.llm.frames import read
-from tidemark.llm.packing import first_fit_decreasing, pack
+from tidemark.llm.packing import first_fit_decreasing, numbered, pack
 
 
 def test_tree_finds_what_a_scan_finds():
@@ -73,3 +73,17 @@ def test_one_id_in_many_rows(spark):
     rows = pack(df, group_size=100).collect()
     sizes = Counter(r.sequence_id >> 32 for r in rows)
     assert len(rows) == 2000 and len(sizes) == 20 and max(sizes.values()) < 300
+
+
+def test_splits_do_not_matter(spark):
+    docs = read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(20)).unionByName(spark.range(300).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text"))
+    one, other = (sorted(map(str, pack(docs.repartition(n), group_size=64).collect())) for n in (1, 7))
+    assert one == other
+
+
+def test_copies_are_numbered_in_blocks(spark):
+    pieces = spark.range(10_000).selectExpr("1L AS id", "0L AS start", "5L AS length", "7L AS ids_crc32", "5L AS doc_tokens").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id, 0L AS start, 1L AS length, 2L AS ids_crc32, 1L AS doc_tokens"))
+    rows = numbered(pieces).collect()
+    assert sorted(r["copy"] for r in rows if r.id == 1) == list(range(10_000)) and [r["copy"] for r in rows if r.id is None] == [0]
+    assert numbered(pieces.limit(0)).count() == 0

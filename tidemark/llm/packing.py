@@ -81,14 +81,29 @@ def pieces_of(df: DataFrame, capacity: int, end_id: int, vocabulary: str | None)
     return df.mapInArrow(cut, "id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
+#: A piece's columns, and equal ones that are numbered at a time.
+PIECE, BLOCK = ["id", "start", "length", "ids_crc32", "doc_tokens"], 4096
+
+
+def numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``copy``, which numbers equal ones from 0.
+
+    They are counted, which combines before the shuffle, and counts are
+    unfolded block by block: no array grows with the number of copies.
+    """
+    counted = pieces.groupBy(*PIECE).agg(F.count("*").alias("n"))
+    blocks = counted.withColumn("first", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK)))).withColumn("first", F.col("first") * BLOCK)
+    return blocks.select(*PIECE, F.explode(F.sequence("first", F.least(F.col("first") + BLOCK, "n") - 1)).alias("copy"))
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, group_size: int = 4096, vocabulary: str | None = None, seed: int = 17) -> DataFrame:
     """Pieces of all documents, placed gaplessly into sequences of ``capacity`` ids.
 
     Pieces are dealt into groups, one for each ``group_size`` documents, by a
-    seeded hash of id, place and content and by the partition they are read
-    in, and each group is packed by itself, first-fit decreasing; so a group
-    is of about one size whatever the table's, and a lost task packs its
-    group again to the same result. What is dealt are the pieces' numbers,
+    seeded hash of id, place, content and the number among equal ones, and
+    each group is packed by itself, first-fit decreasing; so a group is of
+    about one size whatever the table's, and the same rows are packed the
+    same way however they are split, also by a lost task that runs again. What is dealt are the pieces' numbers,
     never ids or texts. A sequence belongs to one group: its id holds the
     group and the bin.
 
@@ -99,8 +114,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     groups = max(1, -(-df.count() // group_size))
-    # By what is cut from a row too, and by where it is read: so rows with one id, or equal ones, are not one group.
-    dealt = pieces_of(rows, capacity, end_id, vocabulary).withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "id", "start", "ids_crc32", F.spark_partition_id()), F.lit(groups)))
+    # Equal pieces, of rows with one id, are numbered, so that they are not one group, and so that no file or partition has a say.
+    dealt = numbered(pieces_of(rows, capacity, end_id, vocabulary)).withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), *PIECE, "copy"), F.lit(groups))).drop("copy")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "start", "ids_crc32", "length"], kind="stable", ignore_index=True)
