@@ -27,8 +27,8 @@ def plain_statistics(text):
     if words:
         sizes, k = [len(w) for w in words], len(words)
         lone = [w for w in words if len(w) == 1 and not w.isalnum()]
-        bar_ends = sum(chr(w[-1]) in SETS[8] for w in words)  # what the statistic named symbol_ends counts
-        out += [st.fmean(sizes), st.pstdev(sizes), math.log1p(max(sizes)), len(set(words)) / k, sum(a == b for a, b in zip(words, words[1:])) / k, sum(w.isupper() for w in words) / k, bar_ends / k, len(lone) / k]
+        symbol_ends = sum(chr(w[-1]) in "#$%&*+=@^_~\\/<>" for w in words)
+        out += [st.fmean(sizes), st.pstdev(sizes), math.log1p(max(sizes)), len(set(words)) / k, sum(a == b for a, b in zip(words, words[1:])) / k, sum(w.isupper() for w in words) / k, symbol_ends / k, len(lone) / k]
     else:
         out += [0.0] * 8
     return out + [len(set(lines)) / len(lines), math.log1p(len(words) / len(lines)), max(seen.values()) / n, len(zlib.compress(raw, 1)) / n]

@@ -27,6 +27,7 @@ _SETS = {
     "letters": b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "capitals": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": b"0123456789", "spaces": b" \t", "line_ends": b"\n\r",
     "stops": b".?", "commas": b",;:", "exclamations": b"!", "bars": b"|", "symbols": b"#$%&*+=@^_~\\/<>", "brackets": b"()[]{}", "other_marks": b"'\"`-",
 }
+_SYMBOLS = list(_SETS).index("symbols")
 _MASK = np.zeros((256, len(_SETS)))
 for _k, _chars in enumerate(_SETS.values()):
     _MASK[list(_chars), _k] = 1
@@ -51,7 +52,7 @@ def statistics(raw: bytes) -> np.ndarray:
         out[19] = sum(map(bytes.__eq__, words, words[1:])) / n
         out[20] = sum(map(bytes.isupper, words)) / n
         ends = np.fromiter((w[-1] for w in words), np.int64, n)
-        out[21] = _MASK[ends, 8].mean()
+        out[21] = _MASK[ends, _SYMBOLS].mean()
         out[22] = (lengths == 1).mean() - np.fromiter(map(bytes.isalnum, words), bool, n)[lengths == 1].sum() / n
     lines = raw.split(b"\n")
     out[23], out[24] = len(set(lines)) / len(lines), np.log1p(n / len(lines))
