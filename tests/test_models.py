@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import START, at, series
-from tidemark.operators import cycle, evaluate, features, forecast, guard, learned, promote, surge
+from tidemark.operators import cycle, evaluate, features, forecast, gated, guard, learned, promote, surge
 from tidemark.schema import SERIES
 
 
@@ -166,6 +166,84 @@ def test_network_gradients(reset_first):
         assert abs((losses[0] - losses[1]) / (2 * step) - g[name][place]) < 1e-4
 
 
+SMALL = {"length": 8, "hidden": 3, "epochs": 2, "batch": 8, "rate": 0.01, "clip": 0.5, "decay": 0.001, "examples": 40}
+
+
+def _waves(n, k):
+    return pd.DataFrame({"observed_at": pd.date_range("2026-01-01", periods=n, freq="h"), "observed_value": 5 + np.sin(np.arange(n) / (3.0 + k)) * (k + 1)})
+
+
+@pytest.mark.parametrize("reset_first", [True, False])
+def test_networks_are_the_same_alone_and_in_stacks(reset_first):
+    frames = [_waves(n, k) for k, n in enumerate([90, 120, 90, 30, 20, 90, 200])]
+    alone = [learned.train_sequence(f, 3, 0.9 + k / 100, SMALL, reset_first, not reset_first) for k, f in enumerate(frames)]
+    assert [a is None for a in alone] == [False, False, False, False, True, False, False]
+    for high in (2, 3, 32):
+        stacks, done = learned.Stacks(SMALL, reset_first, not reset_first), []
+        stacks.high = high
+        for k, f in enumerate(frames):
+            done += stacks.add(k, f["observed_value"].to_numpy(float), learned._calendar(f["observed_at"]), 3, 0.9 + k / 100)
+        done += stacks.rest()
+        assert sorted(k for k, _ in done) == [0, 1, 2, 3, 5, 6] and not stacks.waiting and not stacks.rows
+        for k, got in done:
+            assert {x: v for x, v in got.items() if x != "network"} == {x: v for x, v in alone[k].items() if x != "network"}
+            assert abs(got["network"]["offset"] - alone[k]["network"]["offset"]) < 1e-9
+            for name, weights in alone[k]["network"]["weights"].items():
+                assert np.allclose(got["network"]["weights"][name], weights, atol=1e-10, rtol=0)
+
+
+def test_stacks_wait_with_few_rows(monkeypatch):
+    monkeypatch.setattr(learned, "WAITING", 150)
+    stacks, f = learned.Stacks(SMALL, True, False), _waves(100, 0)
+    add = lambda k: stacks.add(k, f["observed_value"].to_numpy(float), learned._calendar(f["observed_at"]), 3, 0.9)
+    assert add(0) == [] and [k for k, _ in add(1)] == [0, 1] and not stacks.rows
+    f.loc[50, "observed_value"] = np.nan
+    assert add(2) == [] and stacks.rest() == []
+
+
+def test_clipping_is_by_entry_or_by_norm():
+    g = {"a": np.array([[[3.0, -4.0]], [[0.3, 0.4]]])}
+    assert np.allclose(gated._clipped(g, 1.0, True)["a"], [[[1, -1]], [[0.3, 0.4]]])
+    assert np.allclose(gated._clipped(g, 1.0, False)["a"], [[[0.6, -0.8]], [[0.3, 0.4]]])
+
+
+def test_series_over_batches_are_put_together():
+    rows = pd.DataFrame({"workload_id": ["a"] * 5 + ["b"] * 2 + ["b"], "source_fingerprint": ["f"] * 7 + [None], "observed_value": range(8)})
+    for size in (1, 2, 3, 8):
+        got = [(key, pdf["observed_value"].tolist()) for key, pdf in learned._each_series(rows.iloc[k : k + size] for k in range(0, 8, size))]
+        assert got == [(("a", "f"), [0, 1, 2, 3, 4]), (("b", "f"), [5, 6]), (("b", None), [7])]
+    assert list(learned._each_series(iter([]))) == []
+
+
+@pytest.mark.parametrize("kind", ["native", "conformal"])
+def test_networks_by_series(spark, kind):
+    frames = {"w": _waves(90, 0), "v": _waves(120, 1), "short": _waves(20, 2)}
+    rows = pd.concat([f.assign(workload_id=w, source_fingerprint="f") for w, f in frames.items()])
+    df = spark.createDataFrame(rows.sample(frac=1, random_state=1))
+    got = {r.workload_id: r for r in learned.train_networks(df, 3, 0.9, kind, SMALL).collect()}
+    assert sorted(got) == ["v", "w"] and (got["w"].rows, got["v"].rows) == (90, 120)
+    for w in got:
+        want = learned.train_sequence(frames[w], 3, 0.9, SMALL, kind == "native", kind != "native")["network"]["weights"]
+        have = learned.decoded(bytes(got[w].artifact), got[w].artifact_sha256, 0.9)["network"]["weights"]
+        assert all(np.allclose(have[k], want[k], atol=1e-10, rtol=0) for k in want)
+    assert learned.train_networks(df.where("false"), 3, 0.9, kind, SMALL).count() == 0
+
+
+def test_refit_networks_see_nothing_behind_a_cut(spark):
+    frames = {"w": _waves(90, 0), "v": _waves(70, 1), "short": _waves(14, 2)}
+    rows = pd.concat([f.assign(workload_id=w, source_fingerprint="f") for w, f in frames.items()])
+    got = learned.refit_networks(spark.createDataFrame(rows), 3, 0.9, 5, "native", SMALL).orderBy("workload_id", "cut").collect()
+    assert [(r.workload_id, r.cut) for r in got] == [(w, c) for w, n in (("v", 70), ("w", 90)) for c in range(n - 7, n - 2)]
+    for r in got:
+        past, ahead = frames[r.workload_id][: r.cut], frames[r.workload_id]["observed_value"][r.cut : r.cut + 3]
+        want = learned.predict_sequence(learned.decoded(learned.encoded(learned.train_sequence(past, 3, 0.9, SMALL, True, False))[0]), past)
+        assert r.actual == ahead.max() and np.allclose((r.p50, r.upper), want, atol=1e-8)
+    scored = {r.workload_id: r for r in evaluate.window_scores(spark.createDataFrame(got), 0.9).collect()}
+    own = [r for r in got if r.workload_id == "w"]
+    assert scored["w"].windows == 5 and scored["w"].coverage == sum(r.upper >= r.actual for r in own) / 5
+    assert abs(scored["w"].pinball - sum(max(0.9 * (r.actual - r.upper), 0.1 * (r.upper - r.actual)) for r in own) / 5) < 1e-12
+
+
 @pytest.mark.parametrize("reset_first", [True, False])
 def test_constant_network(reset_first):
     net = learned.GatedNetwork(10, 1, reset_first)

@@ -33,6 +33,18 @@ def scores(rows: DataFrame, key: list[str], q: Column | float, threshold: Column
     )
 
 
+def window_scores(rows: DataFrame, q: Column | float) -> DataFrame:
+    """Per series of (series, actual, upper): windows, coverage, under rate, mean error and loss."""
+    hit = F.col("upper") >= F.col("actual")
+    return rows.groupBy(*SERIES).agg(
+        F.count("*").alias("windows"),
+        F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("coverage"),
+        F.avg(F.when(hit, 0.0).otherwise(1.0)).alias("underprediction_rate"),
+        F.avg(F.abs(F.col("upper") - F.col("actual"))).alias("mean_absolute_error"),
+        F.avg(pinball(F.col("actual"), F.col("upper"), q)).alias("pinball"),
+    )
+
+
 def walk_forward(forecasts: DataFrame, steps: int, season: int, q: float, most: int = 0) -> DataFrame:
     """Per series: windows, coverage, under rate, mean error and loss of per-row forecasts (``upper`` at each row).
 
@@ -42,14 +54,7 @@ def walk_forward(forecasts: DataFrame, steps: int, season: int, q: float, most:
     rows = rows.where((F.col("place") >= season) & F.col("actual").isNotNull() & F.col("upper").isNotNull())
     if most:
         rows = rows.withColumn("back", F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.col("observed_at").desc()))).where(F.col("back") <= most)
-    hit = F.col("upper") >= F.col("actual")
-    return rows.groupBy(*SERIES).agg(
-        F.count("*").alias("windows"),
-        F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("coverage"),
-        F.avg(F.when(hit, 0.0).otherwise(1.0)).alias("underprediction_rate"),
-        F.avg(F.abs(F.col("upper") - F.col("actual"))).alias("mean_absolute_error"),
-        F.avg(pinball(F.col("actual"), F.col("upper"), q)).alias("pinball"),
-    )
+    return window_scores(rows, q)
 
 
 def _column(value: Column | float) -> Column:

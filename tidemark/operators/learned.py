@@ -1,8 +1,8 @@
 """Learned forecasters of the horizon maximum: quantile-boosted trees and gated recurrent networks.
 
-Each series is one group of ``applyInPandas``: its training window bounds the
-group, and series are fitted side by side. Artifacts are JSON, so that no
-code is ever loaded with a model.
+A series is one group, bounded by its training window, and series are fitted
+side by side: trees one by one, networks of one shape in stacks. Artifacts are
+JSON, so that no code is ever loaded with a model.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import base64
 import hashlib
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import FEATURE_SCHEMA, WARM_UP
+from tidemark.operators.gated import GatedNetwork, train_stack
 from tidemark.schema import SERIES, apart
 from tidemark.session import ship
 
@@ -25,6 +27,8 @@ from tidemark.session import ship
 TREES = {"p50": (80, 0.1), "upper": (120, 0.08)}
 DEPTH = 4
 NATIVE = {"length": 60, "hidden": 12, "epochs": 8, "batch": 16, "rate": 0.003, "clip": 5.0, "decay": 0.0, "examples": 512}
+#: The native network as it is fitted at each cut of a walk-forward.
+VALIDATION = NATIVE | {"epochs": 3}
 CONFORMAL = {"length": 120, "hidden": 32, "epochs": 24, "batch": 128, "rate": 0.001, "clip": 1.0, "decay": 0.0001, "examples": 2048}
 
 
@@ -97,119 +101,6 @@ class QuantileTrees:
         return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-
-
-class GatedNetwork:
-    """A gated recurrent layer with a head of two outputs: the median, and how far above it the upper quantile lies.
-
-    ``reset_first``: the reset gate acts on the state before the hidden
-    product, and the new state is (1-z)*old + z*candidate. Otherwise it acts
-    on the product with its bias, and the new state is (1-z)*candidate + z*old.
-    """
-
-    def __init__(self, inputs: int, hidden: int, reset_first: bool, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        spread = 1 / math.sqrt(hidden)
-        draw = lambda *shape: rng.uniform(-spread, spread, shape)
-        self.reset_first, self.hidden, self.offset = reset_first, hidden, 0.0
-        self.p = {"wi": draw(3, inputs, hidden), "wh": draw(3, hidden, hidden), "bi": draw(3, hidden), "bh": draw(3, hidden), "wo": draw(hidden, 2), "bo": np.array([0.0, 0.1])}
-
-    def forward(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        p, h = self.p, np.zeros((len(x), self.hidden))
-        for t in range(x.shape[1]):
-            i = np.einsum("bi,gih->gbh", x[:, t], p["wi"]) + p["bi"][:, None]
-            r, z = _sigmoid(i[0] + h @ p["wh"][0] + p["bh"][0]), _sigmoid(i[1] + h @ p["wh"][1] + p["bh"][1])
-            inner = (r * h) @ p["wh"][2] + p["bh"][2] if self.reset_first else r * (h @ p["wh"][2] + p["bh"][2])
-            c = np.tanh(i[2] + inner)
-            new = (1 - z) * h + z * c if self.reset_first else (1 - z) * c + z * h
-            if keep is not None:
-                keep.append((x[:, t], h, r, z, c))
-            h = new
-        if keep is not None:
-            keep.append(h)
-        return h @ p["wo"] + p["bo"]
-
-    def gradients(self, x: np.ndarray, push) -> dict[str, np.ndarray]:
-        """Gradients of a loss whose derivative by the outputs is ``push(outputs)``."""
-        keep: list = []
-        out = self.forward(x, keep)
-        p, g = self.p, {k: np.zeros_like(v) for k, v in self.p.items()}
-        d_out, last = push(out) / len(x), keep.pop()
-        g["wo"], g["bo"] = last.T @ d_out, d_out.sum(axis=0)
-        dh = d_out @ p["wo"].T
-        for xt, h, r, z, c in reversed(keep):
-            if self.reset_first:
-                dc, dz, before = dh * z, dh * (c - h), dh * (1 - z)
-            else:
-                dc, dz, before = dh * (1 - z), dh * (h - c), dh * z
-            dn = dc * (1 - c**2)
-            if self.reset_first:
-                drh = dn @ p["wh"][2].T
-                dr, before = drh * h, before + drh * r
-                g["wh"][2] += (r * h).T @ dn
-                g["bh"][2] += dn.sum(axis=0)
-            else:
-                dm = dn * r
-                dr, before = dn * (h @ p["wh"][2] + p["bh"][2]), before + dm @ p["wh"][2].T
-                g["wh"][2] += h.T @ dm
-                g["bh"][2] += dm.sum(axis=0)
-            for k, d in ((0, dr * r * (1 - r)), (1, dz * z * (1 - z))):
-                before = before + d @ p["wh"][k].T
-                g["wh"][k] += h.T @ d
-                g["bh"][k] += d.sum(axis=0)
-                g["wi"][k] += xt.T @ d
-                g["bi"][k] += d.sum(axis=0)
-            g["wi"][2] += xt.T @ dn
-            g["bi"][2] += dn.sum(axis=0)
-            dh = before
-        return g
-
-    def quantiles(self, x: np.ndarray) -> np.ndarray:
-        """(p50, upper) in scaled units, upper no less than p50."""
-        out = self.forward(x)
-        return np.stack([out[:, 0], out[:, 0] + np.maximum(out[:, 1], 0) + self.offset], axis=1)
-
-    def train(self, x: np.ndarray, y: np.ndarray, q: float, epochs: int, batch: int, rate: float, clip: float, decay: float, seed: int = 1) -> GatedNetwork:
-        rng = np.random.default_rng(seed)
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        turn = 0
-        for _ in range(epochs):
-            for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-                target = y[part]
-
-                def push(out, target=target):
-                    low = np.where(target > out[:, 0], -0.5, 0.5)
-                    upper = out[:, 0] + np.maximum(out[:, 1], 0)
-                    high = np.where(target > upper, -q, 1 - q)
-                    return np.stack([low + high, np.where(out[:, 1] > 0, high, np.minimum(high, 0))], axis=1)
-
-                g, turn = self.gradients(x[part], push), turn + 1
-                norm = math.sqrt(sum(float((v**2).sum()) for v in g.values()))
-                scale = min(1.0, clip / max(norm, 1e-12))
-                for k, v in self.p.items():
-                    d = g[k] * scale
-                    first[k] = 0.9 * first[k] + 0.1 * d
-                    second[k] = 0.999 * second[k] + 0.001 * d**2
-                    v -= rate * (first[k] / (1 - 0.9**turn) / (np.sqrt(second[k] / (1 - 0.999**turn)) + 1e-8) + decay * v)
-        return self
-
-    def dump(self) -> dict:
-        return {"reset_first": self.reset_first, "offset": self.offset, "weights": {k: v.tolist() for k, v in self.p.items()}}
-
-    @classmethod
-    def load(cls, spec: dict) -> GatedNetwork:
-        weights = {k: np.array(v, float) for k, v in spec["weights"].items()}
-        inputs, hidden = weights["wi"].shape[1:]
-        out = cls(inputs, hidden, bool(spec["reset_first"]))
-        for k, v in out.p.items():
-            if weights.get(k) is None or weights[k].shape != v.shape or not np.isfinite(weights[k]).all():
-                raise ValueError(f"weights {k} are missing, misshapen or not finite")
-        out.p, out.offset = weights, float(spec["offset"])
-        return out
-
-
 def time_split(n: int, steps: int, shares=(0.8, 0.1)) -> tuple[slice, slice, slice]:
     """Training, calibration and holdout examples in time order, with a horizon left out between them so that no label reaches over."""
     a, b = int(n * shares[0]), int(n * (shares[0] + shares[1]))
@@ -244,26 +135,96 @@ def _clock(pdf: pd.DataFrame) -> pd.Series:
     return pdf["clock"] if "clock" in pdf else pdf["observed_at"]
 
 
+#: Networks that are fitted together at most; numbers of their states at one step, which should stay in a core's cache; rows of the series that wait for a stack.
+STACK, STATES, WAITING = 32, 1 << 12, 1 << 20
+
+
+class _Task:
+    """One network to fit: what a series shows of it, and where its result goes."""
+
+    def __init__(self, values: np.ndarray, inputs: np.ndarray, steps: int, q: float, shape: dict, conformal: bool):
+        length = shape["length"]
+        n = len(values) - steps - length + 1
+        self.q, self.length, self.usable = q, length, n >= 20 and bool(np.isfinite(values).all())
+        if not self.usable:
+            return
+        self.parts = time_split(n, steps) if conformal else (slice(0, n), slice(0, 0), slice(0, 0))
+        # The scale sees training inputs only, so later values can't leak into it.
+        seen = values[: self.parts[0].stop + length - 1]
+        low, scale = float(seen.min()), float(seen.max() - seen.min())
+        self.low, self.scale = low, scale if scale >= 1e-9 else 1.0
+        rows = np.hstack([((values - self.low) / self.scale)[:, None], inputs])
+        self.windows = np.lib.stride_tricks.sliding_window_view(rows, length, axis=0)[:n].transpose(0, 2, 1)
+        self.labels = (_horizon_maxima(values, steps)[length - 1 : length - 1 + n] - self.low) / self.scale
+        self.pick, self.rows = evenly_spaced(self.parts[0].stop, shape["examples"]), len(rows)
+
+
+def _fitted(tasks: list[_Task], shape: dict, reset_first: bool) -> list[dict]:
+    """The artifacts of usable tasks with as many examples each, fitted together."""
+    nets = [GatedNetwork(t.windows.shape[2], shape["hidden"], reset_first) for t in tasks]
+    windows, picks = [_Picked(t.windows, t.pick) for t in tasks], [t.labels[t.pick] for t in tasks]
+    train_stack(nets, windows, picks, [t.q for t in tasks], shape["epochs"], min(shape["batch"], max(1, len(picks[0]))), shape["rate"], shape["clip"], shape["decay"], clip_each=reset_first)
+    for t, net in zip(tasks, nets, strict=True):
+        spare = t.parts[1]
+        if spare.stop > spare.start:
+            # In parts, as the windows overlap and are copied.
+            ends = [*range(spare.start, spare.stop, 256), spare.stop]
+            over = [t.labels[i:j] - net.quantiles(t.windows[i:j])[:, 1] for i, j in zip(ends, ends[1:], strict=False)]
+            net.offset = residual_quantile(np.concatenate(over), t.q)
+    return [{"format": "gated-network", "length": t.length, "minimum": t.low, "scale": t.scale, "quantile": t.q, "network": net.dump()} for t, net in zip(tasks, nets, strict=True)]
+
+
+class _Picked:
+    """Some of a series' windows, copied as they are asked for."""
+
+    def __init__(self, windows: np.ndarray, pick: np.ndarray):
+        self.windows, self.pick = windows, pick
+
+    def __getitem__(self, part: np.ndarray) -> np.ndarray:
+        return self.windows[self.pick[part]]
+
+
+class Stacks:
+    """Collects networks to fit, with a tag each, and fits those with equally many examples together.
+
+    What waits is bounded by ``STACK`` networks of a kind and ``WAITING`` rows
+    in all, and a stack by ``STATES`` numbers a step, so that wide networks are
+    fitted one by one, as their products are large enough alone.
+    """
+
+    def __init__(self, shape: dict, reset_first: bool, conformal: bool):
+        self.shape, self.reset_first, self.conformal = shape, reset_first, conformal
+        self.high = max(1, min(STACK, STATES // (shape["batch"] * shape["hidden"])))
+        self.waiting: dict[int, list] = {}
+        self.rows = 0
+
+    def add(self, tag, values: np.ndarray, inputs: np.ndarray, steps: int, q: float) -> list[tuple]:
+        """The (tag, artifact) pairs that are done with this one; a series that is too short gets none."""
+        task = _Task(values, inputs, steps, q, self.shape, self.conformal)
+        if not task.usable:
+            return []
+        same = self.waiting.setdefault(len(task.pick), [])
+        same.append((tag, task))
+        self.rows += task.rows
+        if len(same) >= self.high:
+            return self._fit(len(task.pick))
+        return self.rest() if self.rows > WAITING else []
+
+    def _fit(self, size: int) -> list[tuple]:
+        tags, tasks = zip(*self.waiting.pop(size), strict=True)
+        self.rows -= sum(t.rows for t in tasks)
+        return list(zip(tags, _fitted(list(tasks), self.shape, self.reset_first), strict=True))
+
+    def rest(self) -> list[tuple]:
+        """The pairs of all that still waits."""
+        return [pair for size in sorted(self.waiting) for pair in self._fit(size)]
+
+
 def train_sequence(pdf: pd.DataFrame, steps: int, q: float, shape: dict, reset_first: bool, conformal: bool) -> dict | None:
     """An artifact of one series, or None if it is too short."""
-    pdf = pdf.sort_values("observed_at")
-    values, length = pdf["observed_value"].to_numpy(float), shape["length"]
-    n = len(values) - steps - length + 1
-    if n < 20 or not np.isfinite(values).all():
-        return None
-    parts = time_split(n, steps) if conformal else (slice(0, n), slice(0, 0), slice(0, 0))
-    # The scale sees training inputs only, so later values can't leak into it.
-    seen = values[: parts[0].stop + length - 1]
-    low, scale = float(seen.min()), float(seen.max() - seen.min())
-    scale = scale if scale >= 1e-9 else 1.0
-    rows = np.hstack([((values - low) / scale)[:, None], _calendar(_clock(pdf))])
-    windows = np.lib.stride_tricks.sliding_window_view(rows, length, axis=0)[:n].transpose(0, 2, 1)
-    labels = (_horizon_maxima(values, steps)[length - 1 : length - 1 + n] - low) / scale
-    pick = evenly_spaced(parts[0].stop, shape["examples"])
-    net = GatedNetwork(rows.shape[1], shape["hidden"], reset_first).train(windows[pick], labels[pick], q, shape["epochs"], min(shape["batch"], max(1, len(pick))), shape["rate"], shape["clip"], shape["decay"])
-    if conformal and parts[1].stop > parts[1].start:
-        net.offset = residual_quantile(labels[parts[1]] - net.quantiles(windows[parts[1]])[:, 1], q)
-    return {"format": "gated-network", "length": length, "minimum": low, "scale": scale, "quantile": q, "network": net.dump()}
+    pdf, stacks = pdf.sort_values("observed_at"), Stacks(shape, reset_first, conformal)
+    done = stacks.add(None, pdf["observed_value"].to_numpy(float), _calendar(_clock(pdf)), steps, q) + stacks.rest()
+    return done[0][1] if done else None
 
 
 def train_trees(x: np.ndarray, y: np.ndarray, names: list[str], q: float) -> dict:
@@ -317,22 +278,50 @@ def _own(rows: DataFrame, steps: Column | int, q: Column | float) -> DataFrame:
     return rows.withColumns({"steps_": one(steps).cast("int"), "q_": one(q).cast("double")})
 
 
+def _by_series(samples: DataFrame, steps: Column | int, q: Column | float) -> DataFrame:
+    """Whole series in time order, one after the other in their partition, with their steps and quantile."""
+    clock = ["clock"] if "clock" in samples.columns else []
+    rows = _own(samples, steps, q).select(*SERIES, "observed_at", "observed_value", *clock, "steps_", "q_")
+    return rows.repartition(*SERIES).sortWithinPartitions(*SERIES, "observed_at")
+
+
+def _each_series(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(key, rows) of each series in batches that hold them one after the other; one that goes over batches is put together."""
+    key, parts = None, []
+    for batch in batches:
+        for found, rows in batch.groupby(SERIES, sort=False, dropna=False):
+            found = tuple(None if pd.isna(k) else k for k in found)
+            if parts and found != key:
+                yield key, pd.concat(parts, ignore_index=True)
+                parts = []
+            key = found
+            parts.append(rows)
+    if parts:
+        yield key, pd.concat(parts, ignore_index=True)
+
+
 def train_networks(samples: DataFrame, steps: Column | int, q: Column | float, kind: str = "native", shape: dict | None = None) -> DataFrame:
     """One artifact row per series that is long enough. ``kind``: 'native' (reset first) or 'conformal' (reset after, with an offset).
 
     ``steps`` and ``q`` may be columns of ``samples``; ``clock``, if there is
-    one, is the wall clock that the calendar's inputs are taken from.
+    one, is the wall clock that the calendar's inputs are taken from. Samples
+    are dealt by series once; a task reads its series one after the other and
+    fits them in stacks.
     """
     ship(samples.sparkSession)
     shape = shape or (NATIVE if kind == "native" else CONFORMAL)
+    columns = [*SERIES, "engine", "artifact", "artifact_sha256", "rows"]
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        artifact = train_sequence(pdf, int(pdf["steps_"].iloc[0]), float(pdf["q_"].iloc[0]), shape, kind == "native", kind != "native")
-        rows = [] if artifact is None else [[*key, "gru", *encoded(artifact), len(pdf)]]
-        return pd.DataFrame(rows, columns=[*SERIES, "engine", "artifact", "artifact_sha256", "rows"])
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stacks = Stacks(shape, kind == "native", kind != "native")
+        table = lambda done: pd.DataFrame([[*key, "gru", *encoded(artifact), rows] for (key, rows), artifact in done], columns=columns)
+        for key, pdf in _each_series(batches):
+            done = stacks.add((key, len(pdf)), pdf["observed_value"].to_numpy(float), _calendar(_clock(pdf)), int(pdf["steps_"].iloc[0]), float(pdf["q_"].iloc[0]))
+            if done:
+                yield table(done)
+        yield table(stacks.rest())
 
-    clock = ["clock"] if "clock" in samples.columns else []
-    return _own(samples, steps, q).select(*SERIES, "observed_at", "observed_value", *clock, "steps_", "q_").groupBy(*SERIES).applyInPandas(fit, ARTIFACT)
+    return _by_series(samples, steps, q).mapInPandas(fit, ARTIFACT)
 
 
 def train_tree_models(rows: DataFrame, q: Column | float, steps: Column | int = 0, season: Column | int = 0, settings: tuple[str, ...] = (), least: int = 4) -> DataFrame:
@@ -422,6 +411,46 @@ def refit_walk_forward(rows: DataFrame, q: float, cuts: int, steps: int, least:
     return used.groupBy(*SERIES, "cut").applyInPandas(fit, "workload_id string, source_fingerprint string, cut int, actual double, p50 double, upper double")
 
 
+def refit_networks(samples: DataFrame, steps: Column | int, q: Column | float, most: int = 12, kind: str = "native", shape: dict | None = None) -> DataFrame:
+    """(series, cut, q, actual, p50, upper): the network fitted anew to the rows before each of the last ``most`` cuts, and the maximum of the ``steps`` rows behind it.
+
+    A cut is the number of rows before it; the first has a sequence, a horizon
+    and one row before it. Values behind a cut take no part in its fit. Where
+    a series is too short for two horizons behind that, or a cut for a fit, it
+    has no row. Rows are dealt by series once, however many cuts there are; a
+    series' cuts are fitted in stacks.
+    """
+    shape = shape or (VALIDATION if kind == "native" else CONFORMAL)
+    columns = [*SERIES, "cut", "q", "actual", "p50", "upper"]
+
+    def table(done: list[tuple]) -> pd.DataFrame:
+        rows = []
+        for (key, cut, actual, past), artifact in done:
+            low, upper = predict_sequence(decoded(encoded(artifact)[0]), past)
+            rows.append([*key, cut, artifact["quantile"], actual, low, upper])
+        return pd.DataFrame(rows, columns=columns)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stacks = Stacks(shape, kind == "native", kind != "native")
+        for key, pdf in _each_series(batches):
+            values, inputs = pdf["observed_value"].to_numpy(float), _calendar(_clock(pdf))
+            ahead, level, n = int(pdf["steps_"].iloc[0]), float(pdf["q_"].iloc[0]), len(pdf)
+            first = shape["length"] + ahead + 1
+            if n <= first + ahead:
+                continue
+            maxima = _horizon_maxima(values, ahead)
+            for cut in range(max(first, n - ahead - most + 1), n - ahead + 1):
+                if not np.isfinite(maxima[cut - 1]):
+                    continue
+                done = stacks.add((key, cut, float(maxima[cut - 1]), pdf.iloc[cut - shape["length"] : cut]), values[:cut], inputs[:cut], ahead, level)
+                if done:
+                    yield table(done)
+        yield table(stacks.rest())
+
+    ship(samples.sparkSession)
+    return _by_series(samples, steps, q).mapInPandas(fit, "workload_id string, source_fingerprint string, cut int, q double, actual double, p50 double, upper double")
+
+
 def text_of(raw: bytes) -> str:
     """An artifact's bytes as text for JSON columns."""
     return base64.b64encode(raw).decode()

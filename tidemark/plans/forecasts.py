@@ -340,6 +340,12 @@ def tree_walk_forward(spark, sf_dir):
     return rounded(learned.refit_walk_forward(rows, Q, 4, STEPS))
 
 
+@query()
+def network_walk_forward(spark, sf_dir):
+    """Scores of the native network, fitted anew before each of a series' last twelve cuts."""
+    return rounded(evaluate.window_scores(learned.refit_networks(full(spark, sf_dir), STEPS, Q), F.col("q")))
+
+
 @query()
 def recurrent_native(spark, sf_dir):
     rows = full(spark, sf_dir)
