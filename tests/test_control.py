@@ -22,6 +22,7 @@ def test_fnv(spark):
 
     texts = ["", "a", "workload-1", "é漢", "x" * 300]
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    assert "Python" not in df.select(fnv1a_64("t"))._jdf.queryExecution().executedPlan().toString()
     assert [int(r[0]) if r[0] is not None else None for r in df.select(fnv1a_64("t")).collect()] == [plain(t) for t in texts] + [None]
     assert [r[0] for r in df.where("t is not null").select(jitter_s(F.col("t"), 15)).collect()] == [plain(t) % 15 for t in texts]
 

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 from tidemark.schema import finite
 
@@ -39,21 +36,25 @@ def fnv1a(text: str) -> int:
     return state
 
 
-@F.pandas_udf(DecimalType(20, 0))
-def fnv1a_64(texts: pd.Series) -> pd.Series:
-    """FNV-1a over UTF-8 bytes, for all rows a byte place at a time; null for null."""
-    from decimal import Decimal
-
-    raw = [t.encode() if t is not None else b"" for t in texts]
-    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-    table = np.zeros((len(raw), int(lengths.max(initial=0))), np.uint64)
-    for k, b in enumerate(raw):
-        table[k, : len(b)] = np.frombuffer(b, np.uint8)
-    state = np.full(len(raw), FNV_OFFSET, np.uint64)
-    for place in range(table.shape[1]):
-        on = lengths > place
-        state[on] = (state[on] ^ table[on, place]) * np.uint64(FNV_PRIME)
-    return pd.Series([None if t is None else Decimal(int(s)) for t, s in zip(texts, state, strict=True)], dtype=object)
+def fnv1a_64(text: Column) -> Column:
+    """FNV-1a over the UTF-8 bytes, as a decimal; null for null.
+
+    The state is two halves of 32 bits, so that no product leaves 64 bits: the
+    prime is 2^40 and a small rest, and the first part only moves the lower half.
+    """
+    half = lambda x: F.lit(x).cast("long")
+    rest, mask = half(FNV_PRIME - (1 << 40)), half(0xFFFFFFFF)
+
+    def step(state: Column, pair: Column) -> Column:
+        low = state["low"].bitwiseXOR(F.conv(pair, 16, 10).cast("long"))
+        product = low * rest
+        high = state["high"] * rest + F.shiftright(product, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(mask).alias("high"), product.bitwiseAND(mask).alias("low"))
+
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    start = F.struct(half(FNV_OFFSET >> 32).alias("high"), half(FNV_OFFSET & 0xFFFFFFFF).alias("low"))
+    whole = lambda s: (s["high"].cast("decimal(10,0)") * F.lit(1 << 32).cast("decimal(10,0)") + s["low"].cast("decimal(10,0)")).cast("decimal(20,0)")
+    return F.aggregate(pairs, start, step, whole)
 
 
 def jitter_s(workload_id: Column, window_s: Column | int) -> Column:
