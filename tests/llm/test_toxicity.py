@@ -87,3 +87,17 @@ def test_equal_texts_with_different_labels(spark):
         out = toxicity(spark.createDataFrame(rows, schema[0]).repartition(seed + 2), spark.createDataFrame(marks, schema[1]))
         scores.append({r.doc_id: r.score for r in out.collect()})
     assert scores[0] == scores[1]
+
+
+def test_a_word_is_weighed_by_the_beginnings_that_are_listed():
+    from tidemark.llm.toxicity import Lexicon, entries_of
+
+    weights = {"idiots": 1.5, "idio-": 2.0, "stup-": 1.0, "stupid-": 3.0, "n": 0.5}
+    looks = Lexicon(weights)
+    assert [k for k, _ in looks.stems] == [4, 6]  # others are not looked up
+    for word in ["", "n", "idio", "idiot", "idiots", "stup", "stupi", "stupid", "stupidly", "stupidest", "漢字漢字漢字"]:
+        assert looks._weigh(word) == max(weights.get(e, 0.0) for e in entries_of(word))
+    look = [False, False, False, False, False]
+    assert [list(map(bool, looks._look(w)[2:])) for w in ("noooo", "no!!!", "²²²", "1d1ot", "YOU", "you")] == [
+        [*look[:4], True], look, [*look[:4], False], [False, False, True, True, False], [True, True, False, False, False], [True, False, False, False, False],
+    ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ INSULTS = "idiot idiots idiotic moron moronic stupid dumb dumbass loser losers t
 SECOND_PERSON = "you your yours yourself u ur ya tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch ti tus usted ustedes vosotros vuestro".split()
 #: Characters that stand in for letters.
 STAND_INS = str.maketrans("013457@$!|+€", "oieastasiite")
+#: A character three times in a row.
+THRICE = re.compile(r"(?s)(.)\1\1")
 
 FEATURES = (
     "entry_density", "entry_weight", "heaviest", "log_entries", "distinct_entries", "insult_density",
@@ -50,25 +54,39 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float]):
         self.weights, self.insults, self.second = weights, set(INSULTS), set(SECOND_PERSON)
+        # Beginnings by their length, without the mark behind them; lengths that none is listed of are not looked up.
+        stems = {k: {e[:-1]: w for e, w in weights.items() if len(e) == k + 1 and e[-1] == "-"} for k in STEMS}
+        self.stems = [(k, own) for k, own in stems.items() if own]
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: list[tuple] = []
+        self.rows = np.zeros((1024, 7))
         self.number: dict[str, int] = {}
 
+    def _weigh(self, word: str) -> float:
+        """The largest weight of ``entries_of(word)``, 0 for those that are not listed."""
+        weight, size = self.weights.get(word, 0.0), len(word)
+        for k, own in self.stems:
+            if size <= k:
+                break
+            w = own.get(word[:k], weight)
+            if w > weight:
+                weight = w
+        return weight
+
     def _look(self, word: str) -> tuple:
         """weight, insult, second person, all capitals, obfuscated, obfuscated and listed, stretched."""
         bare = word.strip(".,;:!?\"'()[]{}*#%&$-_«»¿¡…")
         low = bare.lower()
-        weigh = lambda w: max([self.weights.get(e, 0.0) for e in entries_of(w)])
-        weight, insult = weigh(low), low in self.insults
-        mixed = any(c.isalpha() for c in bare) and not bare.isalpha() and "@" not in bare[1:-1] and not any(c in "-'’./:" for c in bare)
-        hidden = False
-        if mixed:
-            clear = "".join(c for c in low.translate(STAND_INS) if c.isalpha())
-            hidden = clear in self.insults or weigh(clear) > 0
-        stretched = any(a == b == c and a.isalpha() for a, b, c in zip(low, low[1:], low[2:], strict=False))
-        return (weight, insult, low in self.second, len(bare) > 2 and bare.isupper(), mixed, hidden, stretched)
+        mixed = hidden = False
+        if not bare.isalpha():
+            mixed = "@" not in bare[1:-1] and not any(c in bare for c in "-'’./:") and any(map(str.isalpha, bare))
+            if mixed:
+                clear = "".join(c for c in low.translate(STAND_INS) if c.isalpha())
+                hidden = clear in self.insults or self._weigh(clear) > 0
+        thrice = THRICE.search(low)
+        stretched = thrice is not None and (thrice[1].isalpha() or any(a == b == c and a.isalpha() for a, b, c in zip(low, low[1:], low[2:], strict=False)))
+        return (self._weigh(low), low in self.insults, low in self.second, len(bare) > 2 and bare.isupper(), mixed, hidden, stretched)
 
     def features(self, text: str) -> np.ndarray:
         out = np.zeros(len(FEATURES))
@@ -76,20 +94,22 @@ class Lexicon:
         n = len(words)
         if not n:
             return out
-        if len(self.rows) > self.REMEMBERED:
+        if len(self.number) > self.REMEMBERED:
             self._forget()
-        for w in set(words).difference(self.number):
-            self.number[w] = len(self.rows)
-            self.rows.append(self._look(w))
+        new = set(words).difference(self.number)
+        if new:
+            first, last = len(self.number), len(self.number) + len(new)
+            if last > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(last, len(self.rows)), 7))])
+            self.rows[first:last] = [self._look(w) for w in new]
+            self.number.update(zip(new, range(first, last), strict=True))
         numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, n)
-        used, back = np.unique(numbers, return_inverse=True)
-        table = np.array([self.rows[k] for k in used.tolist()], dtype=float)
-        rows = table[back]
+        rows = self.rows[numbers]
         weight, insult, second = rows[:, 0], rows[:, 1] > 0, rows[:, 2] > 0
         hit = (weight > 0) | insult
         size = len(text)
         out[0], out[1], out[2], out[3] = hit.mean(), weight.sum() / n, weight.max(), np.log1p(hit.sum())
-        out[4], out[5] = np.log1p(((table[:, 0] > 0) | (table[:, 1] > 0)).sum()), insult.mean()
+        out[4], out[5] = np.log1p(len(set(numbers[hit].tolist()))), insult.mean()
         if hit.any() and second.any():
             at, you = np.flatnonzero(hit), np.flatnonzero(second)
             k = np.searchsorted(you, at)
