@@ -145,6 +145,13 @@ def test_repair_fills_and_is_idempotent(spark):
     assert report.first().inserted == 0 and again.count() == 60
 
 
+def test_repair_asks_by_runs_up_to_the_number_that_is_set(spark):
+    df = series(spark, [(k, k) for k in range(12) if k % 3 != 1])
+    ask = lambda plan: plan.select(*SERIES, F.timestamp_seconds(F.lit(int(START.timestamp())) + F.col("first") * 60).alias("observed_at"), F.lit(1.0).alias("value"))
+    asked = lambda runs: repair.repair(df, df, "2026-01-01 00:00:00", "2026-01-01 00:12:00", 60, ask, repair.RepairLimits(runs=runs))[1].first().requests
+    assert (asked(4), asked(3)) == (4, 1)
+
+
 def test_repair_refuses_points_off_the_grid(spark):
     df = series(spark, [(k, k) for k in range(10) if k != 4])
     ask = lambda plan: plan.select(*SERIES, F.timestamp_micros(F.lit(int(START.timestamp()) * 1_000_000 + 4 * 60_000_000 + 5000)).alias("observed_at"), F.lit(1.0).alias("value"))

@@ -27,6 +27,7 @@ class RepairLimits:
     points: int = 1_000_000
     requests: int = 256
     tries: int = 2
+    runs: int = MOST_RUNS
 
     def __post_init__(self):
         if not 0 < self.timeout_s <= 1800 or not 0 < self.query_timeout_s <= min(self.timeout_s, 120):
@@ -113,7 +114,8 @@ def repair(samples: DataFrame, contracts: DataFrame, start: str, end: str, inter
     ordered, and the first ``limits.requests`` of them are asked for; parts
     that could not be had are asked for again, up to ``limits.tries`` times,
     from what is left of the budget and while the repair is within
-    ``limits.timeout_s``. A slot that a source answers without is not asked
+    ``limits.timeout_s``. A series with more than ``limits.runs`` runs is
+    asked for in shards. A slot that a source answers without is not asked
     for again. Each part stands for itself: one with an answer that has a
     fault, or with none, gives nothing and takes nothing from the others.
 
@@ -128,7 +130,7 @@ def repair(samples: DataFrame, contracts: DataFrame, start: str, end: str, inter
     first, last = (slot(F.lit(t).cast("timestamp"), interval_s) for t in (start, end))
     before = cut(missing_slots(samples, contracts, start, end, interval_s))
     cluster = contracts.select(*SERIES, F.col("cluster_id") if "cluster_id" in contracts.columns else F.lit("main").alias("cluster_id")).dropDuplicates(SERIES)
-    numbered = repair_plan(before).where(last - first <= limits.points).withColumn("part", F.row_number().over(Window.partitionBy(*SERIES).orderBy("first")))
+    numbered = repair_plan(before, most_runs=limits.runs).where(last - first <= limits.points).withColumn("part", F.row_number().over(Window.partitionBy(*SERIES).orderBy("first")))
     plan = cut(numbered.withColumns({"timeout_s": F.lit(limits.query_timeout_s), "deadline_s": F.lit(began + limits.timeout_s)}))
     # Which part a missing slot is asked for in.
     places = plan.select(*SERIES, "part", F.explode(F.sequence("first", "last")).alias("place"))

@@ -247,7 +247,7 @@ def repair_report(spark, sf_dir):
 SELECT s.workload_id, coalesce(requests, 0) AS requests, CAST(720 AS BIGINT) AS expected, CAST(coalesce(missing_before, 0) AS BIGINT) AS missing_before, CAST(coalesce(missing_before - inserted, 0) AS BIGINT) AS missing_after, CAST(coalesce(inserted, 0) AS BIGINT) AS inserted, coalesce(failed_parts, 0) AS failed_parts
 FROM (SELECT DISTINCT workload_id FROM hourly) s LEFT JOIN a USING (workload_id)""")
 def partial_repair(spark, sf_dir):
-    """A repair of 40 requests a series from a source that answers some parts wrongly: what is good is kept."""
+    """A repair of 40 requests a series from a source that answers some parts wrongly: what is good is kept. Each run is a part, whatever their number; a series has 720 slots."""
     rows = sparse(spark, sf_dir)
 
     def ask(plan: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def partial_repair(spark, sf_dir):
         value = F.when((F.col("place") == F.col("first")) & (F.col("first") % 3 == 0), -1.0).otherwise(5.0)
         return places.select(*SERIES, F.timestamp_seconds(F.unix_seconds(ts(START)) + F.col("place") * HOUR).alias("observed_at"), value.alias("value"))
 
-    return shown(repair.repair(rows, rows.select("cluster_id", *SERIES).distinct(), START, END, HOUR, ask, repair.RepairLimits(requests=40))[1])
+    return shown(repair.repair(rows, rows.select("cluster_id", *SERIES).distinct(), START, END, HOUR, ask, repair.RepairLimits(requests=40, runs=720))[1])
 
 
 @query("""
